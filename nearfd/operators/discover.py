@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import Metric
 from ..plans.blocks import DOMINANCE_ROWS, dominance_cells, local_minima
-from ..plans.prefix import bucket_of, minima_above, range_splits
+from ..plans.prefix import minima_above, range_splits, with_buckets
 from ..session import materialize
 from .pairs import Sides, distance_medians, pair_distances, side_combinations
 from .rfd import make_rfds
 
 SALTS = 4
+SMALL = 20_000  # relevant points that one bucket can hold
 
 
 def _dims(k: int) -> list[str]:
@@ -74,7 +75,15 @@ def _side_medians(medians: DataFrame, sides: Sides) -> DataFrame:
     return one.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
 
 
-def rfd_minima(intervals: DataFrame, medians: DataFrame, sides: Sides) -> DataFrame:
+def level_splits(intervals: DataFrame) -> DataFrame | None:
+    """Level ranges per side, or None while all points fit one small bucket."""
+    if intervals.count() <= SMALL:
+        return None
+    return materialize(range_splits(intervals, "side", "r"), "splits")
+
+
+def rfd_minima(intervals: DataFrame, medians: DataFrame, sides: Sides,
+               splits: DataFrame | None = None) -> DataFrame:
     """Per side and level: what the level's best values are and which improve.
 
     ``a{i}`` is the level's minimum when it is at most the median and below every
@@ -82,7 +91,6 @@ def rfd_minima(intervals: DataFrame, medians: DataFrame, sides: Sides) -> DataFr
     """
     k = max(len(left) for _, left in sides)
     dims = _dims(k)
-    splits = range_splits(intervals, "side", "r")
     mins = minima_above(intervals, "side", "r", dims, splits)
     med = _side_medians(medians, sides)
     out = mins.join(F.broadcast(med), "side").filter(F.col("r") <= F.col("m_rhs"))
@@ -107,7 +115,8 @@ def _bits(flags: list[Column]) -> Column:
     return total
 
 
-def _multi(intervals: DataFrame, minima: DataFrame, sides: Sides) -> DataFrame:
+def _multi(intervals: DataFrame, minima: DataFrame, sides: Sides,
+           splits: DataFrame | None = None) -> DataFrame:
     """Dependencies with several left attributes.
 
     A candidate keeps as used attributes those where it is not its level's
@@ -127,12 +136,12 @@ def _multi(intervals: DataFrame, minima: DataFrame, sides: Sides) -> DataFrame:
             .withColumn("full", F.bit_count("used") == width)
             .select("side", "r", "used", "full", *dims))
 
-    splits = F.broadcast(range_splits(intervals, "side", "r"))
-    y = (cand.join(splits, "side").withColumn("bucket", bucket_of(F.col("r"))).drop("splits")
-         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    x = (intervals.join(splits, "side")
-         .withColumn("salt", F.pmod(F.xxhash64(*dims), F.lit(SALTS)).cast("int"))
-         .withColumn("bucket", F.explode(F.sequence(bucket_of(F.col("reach")), bucket_of(F.col("r")))))
+    salts = 1 if splits is None else SALTS
+    y = (with_buckets(cand, "side", splits, bucket=F.col("r"))
+         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    x = (with_buckets(intervals, "side", splits, first=F.col("reach"), last=F.col("r"))
+         .withColumn("salt", F.pmod(F.xxhash64(*dims), F.lit(salts)).cast("int"))
+         .withColumn("bucket", F.explode(F.sequence("first", "last")))
          .select("side", "bucket", "salt", "reach", F.col("r").alias("top"),
                  *[F.col(d).alias(f"x{i}") for i, d in enumerate(dims)]))
     met = y.join(x, ["side", "bucket", "salt"]).filter(
@@ -177,8 +186,8 @@ def name_sides(found: DataFrame, sides: Sides) -> DataFrame:
 def rfd_single(pairs: DataFrame, sides: Sides, medians: DataFrame | None = None) -> DataFrame:
     """Only the dependencies with one left attribute."""
     medians = medians if medians is not None else distance_medians(pairs)
-    intervals = rfd_intervals(rfd_points(pairs, sides))
-    minima = rfd_minima(intervals, medians, sides)
+    intervals = materialize(rfd_intervals(rfd_points(pairs, sides)), "intervals")
+    minima = rfd_minima(intervals, medians, sides, level_splits(intervals))
     return name_sides(_single(minima, max(len(left) for _, left in sides)).distinct(), sides)
 
 
@@ -213,9 +222,10 @@ def discover(
         medians = materialize(distance_medians(pairs), "medians")
     points = rfd_points(pairs, sides, medians, compat_int_rhs)
     intervals = materialize(rfd_intervals(points), "intervals")
-    minima = materialize(rfd_minima(intervals, medians, sides), "minima")
+    splits = level_splits(intervals)
+    minima = materialize(rfd_minima(intervals, medians, sides, splits), "minima")
     k = max(len(left) for _, left in sides)
-    found = _single(minima, k).unionByName(_multi(intervals, minima, sides)).distinct()
+    found = _single(minima, k).unionByName(_multi(intervals, minima, sides, splits)).distinct()
     return name_sides(found, sides)
 
 

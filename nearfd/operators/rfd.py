@@ -6,9 +6,11 @@ lhs MAP<STRING,DOUBLE>``; an attribute that is not in the map is unused.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,12 +129,12 @@ def title(c: Column) -> Column:
 
 
 def format_rfd(rfds: DataFrame, style: str = "human", attrs: list[str] | None = None,
-               digits: int = 2, name: str = "text") -> DataFrame:
+               digits: int | None = None, name: str = "text") -> DataFrame:
     """Add the dependency as text.
 
-    ``human``: ``a(<= 1.0), b(<= 2.0) -> y(<= 0.0)``;
-    ``arrow``: ``(a <= 1.0, b <= 2.0) ---> (y <= 0.0)``;
-    ``unicode``: ``(A ≤ 1.0, B ≤ 2.0) → (Y ≤ 0.0)``.
+    ``human``: ``a(<= 1.0), b(<= 2.0), -> y(<= 0.0)`` with two decimals;
+    ``arrow``: ``(a <= 1.0) (b <= 2.0) ---> (y <= 0.0)``;
+    ``unicode``: ``(A ≤ 1.0, B ≤ 2.0) → (Y ≤ 0.0)``, empty if a side is empty.
     Left side attributes come in the order of ``attrs``, else by name.
     """
     if attrs:
@@ -142,27 +144,64 @@ def format_rfd(rfds: DataFrame, style: str = "human", attrs: list[str] | None =
             lambda e: e.getField("value").isNotNull())
     else:
         entries = F.array_sort(F.map_entries("lhs"))
+    if digits is None and style == "human":
+        digits = 2
 
     def num(v: Column) -> Column:
-        return F.bround(v, digits).cast("string")
+        return (v if digits is None else F.bround(v, digits)).cast("string")
 
+    def each(one: Callable[[Column, Column], Column]) -> Column:
+        return F.transform(entries, lambda e: one(e.getField("key"), e.getField("value")))
+
+    rhs, thr = F.col("rhs"), F.col("rhs_threshold")
     if style == "human":
-        one = lambda k, v: F.concat(k, F.lit("(<= "), num(v), F.lit(")"))
+        left = each(lambda k, v: F.concat(k, F.lit("(<= "), num(v), F.lit("), ")))
+        text = F.concat(F.array_join(left, ""), F.lit("-> "), rhs, F.lit("(<= "), num(thr), F.lit(")"))
     elif style == "arrow":
-        one = lambda k, v: F.concat(k, F.lit(" <= "), num(v))
+        left = each(lambda k, v: F.concat(F.lit("("), k, F.lit(" <= "), num(v), F.lit(") ")))
+        text = F.concat(F.array_join(left, ""), F.lit("---> ("), rhs, F.lit(" <= "), num(thr), F.lit(")"))
+        text = F.coalesce(text, F.lit("None"))
     elif style == "unicode":
-        one = lambda k, v: F.concat(title(k), F.lit(" ≤ "), num(v))
+        left = each(lambda k, v: F.concat(title(k), F.lit(" ≤ "), num(v)))
+        text = F.concat(F.lit("("), F.array_join(left, ", "), F.lit(") → ("),
+                        title(rhs), F.lit(" ≤ "), num(thr), F.lit(")"))
+        text = F.when((F.size("lhs") > 0) & rhs.isNotNull(), text).otherwise(F.lit(""))
     else:
         raise ValueError(f"unknown style {style!r}")
-    left = F.concat_ws(", ", F.transform(entries, lambda e: one(e.getField("key"), e.getField("value"))))
-    right = one(F.col("rhs"), F.col("rhs_threshold"))
-    if style == "human":
-        text = F.concat(left, F.lit(" -> "), right)
-    else:
-        arrow = " ---> " if style == "arrow" else " → "
-        text = F.concat(F.lit("("), left, F.lit(")" + arrow + "("), right, F.lit(")"))
-        if style == "arrow":
-            text = F.coalesce(text, F.lit("None"))
-        else:
-            text = F.when((F.size("lhs") > 0) & F.col("rhs").isNotNull(), text).otherwise(F.lit(""))
     return rfds.withColumn(name, text)
+
+
+@dataclass(frozen=True)
+class Rfd:
+    """One dependency on the driver, as queries are extended and relaxed with it."""
+
+    lhs: dict[str, float]
+    rhs: str
+    rhs_threshold: float
+    rfd_id: str | None = field(default=None, compare=False)
+
+    @classmethod
+    def from_row(cls, row: Row) -> Rfd:
+        return cls(dict(row["lhs"]), row["rhs"], row["rhs_threshold"], row["rfd_id"])
+
+    @classmethod
+    def from_dict(cls, sides: dict) -> Rfd:
+        (rhs, threshold), = sides["RHS"].items()
+        return cls(dict(sides["LHS"]), rhs, threshold)
+
+    def to_dict(self) -> dict:
+        return {"LHS": dict(self.lhs), "RHS": {self.rhs: self.rhs_threshold}}
+
+    def thresholds(self) -> dict[str, float]:
+        return {self.rhs: self.rhs_threshold, **self.lhs}
+
+    def __contains__(self, attr: str) -> bool:
+        return attr in self.lhs or attr == self.rhs
+
+    def __getitem__(self, attr: str) -> float:
+        return self.thresholds()[attr]
+
+
+def first_rfds(rfds: DataFrame, n: int) -> list[Rfd]:
+    """The first ``n`` rows (a user-chosen, small number) as driver objects."""
+    return [Rfd.from_row(r) for r in rfds.head(max(1, n))]

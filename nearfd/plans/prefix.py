@@ -21,27 +21,34 @@ def range_splits(df: DataFrame, key: str, value: str, buckets: int = BUCKETS) ->
         F.array_distinct(F.percentile_approx(value, steps, F.lit(10_000))).alias("splits"))
 
 
-def bucket_of(value: Column, splits: Column | str = "splits") -> Column:
-    s = F.col(splits) if isinstance(splits, str) else splits
-    return F.size(F.filter(s, lambda x: x < value))
+def with_buckets(df: DataFrame, key: str, splits: DataFrame | None, **values: Column) -> DataFrame:
+    """Add bucket columns, e.g. ``bucket=F.col('r')``; one bucket if ``splits`` is None."""
+    if splits is None:
+        return df.withColumns({name: F.lit(0) for name in values})
+    return df.join(F.broadcast(splits), key).withColumns({
+        name: F.size(F.filter("splits", lambda s, v=v: s < v)) for name, v in values.items()
+    }).drop("splits")
 
 
 def exact_medians(hist: DataFrame) -> DataFrame:
-    """Interpolated median per ``attr`` of a histogram ``(attr, value, cnt)``."""
-    splits = range_splits(hist, "attr", "value")
-    h = hist.join(F.broadcast(splits), "attr").select(
-        "attr", "value", "cnt", bucket_of(F.col("value")).alias("bucket"))
-    by_bucket = Window.partitionBy("attr").orderBy("bucket")
-    totals = (h.groupBy("attr", "bucket").agg(F.sum("cnt").alias("n"))
+    """Interpolated median per ``attr`` of a histogram ``(attr, part, value, cnt)``.
+
+    ``part`` orders before ``value``; rows of part -1 and 1 are only counted.
+    """
+    splits = range_splits(hist.filter("part = 0"), "attr", "value")
+    h = with_buckets(hist, "attr", splits, bucket=F.col("value"))
+    by_bucket = Window.partitionBy("attr").orderBy("part", "bucket")
+    whole = Window.partitionBy("attr")
+    totals = (h.groupBy("attr", "part", "bucket").agg(F.sum("cnt").alias("n"))
               .withColumn("upto", F.sum("n").over(by_bucket))
-              .withColumn("total", F.sum("n").over(Window.partitionBy("attr")))
+              .withColumn("total", F.sum("n").over(whole))
               .withColumn("start", F.col("upto") - F.col("n"))
               .withColumn("k1", F.floor((F.col("total") - 1) / 2))
               .withColumn("k2", F.ceil((F.col("total") - 1) / 2))
               .filter((F.col("start") <= F.col("k2")) & (F.col("upto") > F.col("k1")))
-              .select("attr", "bucket", "start", "k1", "k2"))
-    inside = Window.partitionBy("attr", "bucket").orderBy("value")
-    ranked = (h.join(totals, ["attr", "bucket"])
+              .select("attr", "part", "bucket", "start", "k1", "k2"))
+    inside = Window.partitionBy("attr", "part", "bucket").orderBy("value")
+    ranked = (h.join(F.broadcast(totals), ["attr", "part", "bucket"])
               .withColumn("hi", F.col("start") + F.sum("cnt").over(inside))
               .withColumn("lo", F.col("hi") - F.col("cnt")))
 
@@ -52,7 +59,8 @@ def exact_medians(hist: DataFrame) -> DataFrame:
         "attr", ((F.col("v1") + F.col("v2")) / 2).alias("median"))
 
 
-def minima_above(df: DataFrame, key: str, level: str, values: list[str], splits: DataFrame) -> DataFrame:
+def minima_above(df: DataFrame, key: str, level: str, values: list[str],
+                 splits: DataFrame | None) -> DataFrame:
     """For each (key, level): minima of ``values`` over all rows of higher level.
 
     Columns ``min_<v>`` hold the minima of the row's own level, ``above_<v>``
@@ -60,14 +68,16 @@ def minima_above(df: DataFrame, key: str, level: str, values: list[str], splits:
     """
     inf = F.lit(float("inf"))
     levels = df.groupBy(key, level).agg(*[F.min(v).alias(f"min_{v}") for v in values])
-    levels = levels.join(F.broadcast(splits), key).withColumn(
-        "bucket", bucket_of(F.col(level))).drop("splits")
+    inside = (Window.partitionBy(key, "bucket").orderBy(F.desc(level))
+              .rowsBetween(Window.unboundedPreceding, -1))
+    levels = with_buckets(levels, key, splits, bucket=F.col(level))
+    own = [f"min_{v}" for v in values]
+    near = {v: F.coalesce(F.min(f"min_{v}").over(inside), inf) for v in values}
+    if splits is None:
+        return levels.select(key, level, *own, *[near[v].alias(f"above_{v}") for v in values])
     higher = Window.partitionBy(key).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     tops = (levels.groupBy(key, "bucket").agg(*[F.min(f"min_{v}").alias(f"m_{v}") for v in values])
             .select(key, "bucket", *[F.min(f"m_{v}").over(higher).alias(f"top_{v}") for v in values]))
-    inside = (Window.partitionBy(key, "bucket").orderBy(F.desc(level))
-              .rowsBetween(Window.unboundedPreceding, -1))
     return levels.join(tops, [key, "bucket"]).select(
-        key, level, *[f"min_{v}" for v in values],
-        *[F.least(F.coalesce(F.min(f"min_{v}").over(inside), inf),
-                  F.coalesce(F.col(f"top_{v}"), inf)).alias(f"above_{v}") for v in values])
+        key, level, *own,
+        *[F.least(near[v], F.coalesce(F.col(f"top_{v}"), inf)).alias(f"above_{v}") for v in values])
