@@ -2,14 +2,16 @@
 
 Every join is an equi-join on derived keys followed by an exact check: numbers
 and dates meet in bands of the threshold's width, equal values meet as they are,
-strings meet through shared segments (a string cut into t+1 pieces keeps one
-piece intact under t edits; Li et al., PassJoin, VLDB 2012).  The keys of one
+strings meet through common deletion variants or through shared segments (a
+string cut into t+1 pieces keeps one piece intact under t edits; Li et al.,
+PassJoin, VLDB 2012).  The keys of one
 side are copied to the neighbouring bands, the other side is never copied.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from ..functions.metrics import INF, MICROS_PER_DAY, Metric, micros, within
 
 MAX_BANDS = 3
 SALTS = 16
+DELETION_LENGTH = {1: 256, 2: 64}  # longest string per threshold that meets on deletions
 
 Side = Callable[[str], Column]
 Conditions = Mapping[str, tuple[Metric, float]]
@@ -31,20 +34,34 @@ def similar_values(df: DataFrame, column: str, source: str, t: float) -> DataFra
 
 def string_pairs(left: DataFrame, right: DataFrame, t: int) -> DataFrame:
     """``(l, r)``: pairs of the distinct strings of two one-column tables within
-    edit distance ``t``."""
+    edit distance ``t``.
+
+    Two candidate schemes, chosen by the length of ``r``, both exact.  Short
+    strings with t <= 2 meet on a common string left after at most t deletions
+    on each side; such keys are shared by true neighbours only, so a prefix that
+    all values have in common does no harm.  Other strings meet on segments.
+    """
     a = left.toDF("l").dropna().distinct()
     b = right.toDF("r").dropna().distinct()
     if t <= 0:
         return a.join(b, F.col("l") == F.col("r"))
     near = F.levenshtein("l", "r", t) >= 0
-    n = F.length("r")
-    segments = b.filter(n > t).select("r", n.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(t))).alias("i"))
+    n, m = F.length("r"), F.length("l")
+    short = DELETION_LENGTH.get(t, 0)
+    found = []
+    if short:
+        by_l = _deletions(a.filter(m <= short + t), "l", t)
+        by_r = _deletions(b.filter(n <= short), "r", t)
+        found.append(by_l.join(by_r, "key").select("l", "r").distinct().filter(near))
+    long_b = b.filter(n > short)
+    segments = long_b.filter(n > t).select(
+        "r", n.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(t))).alias("i"))
     start, width = _segment(F.col("n"), F.col("i"), t)
     index = segments.select("r", "n", "i", F.substring("r", start + 1, width).alias("seg"))
 
-    m = F.length("l")
-    lengths = F.sequence(F.greatest(m - t, F.lit(t + 1)), m + t)
-    probe = (a.filter(m >= 1)
+    first = max(t, short) + 1
+    lengths = F.sequence(F.greatest(m - t, F.lit(first)), m + t)
+    probe = (a.filter(m >= first - t)
              .select("l", m.alias("m"), F.explode(lengths).alias("n"))
              .select("*", F.explode(F.sequence(F.lit(0), F.lit(t))).alias("i"))
              .select("*", F.explode(F.sequence(F.lit(-t), F.lit(t))).alias("shift"))
@@ -54,13 +71,28 @@ def string_pairs(left: DataFrame, right: DataFrame, t: int) -> DataFrame:
     at = start + F.col("shift")
     probe = (probe.filter((at >= 0) & (at + width <= F.col("m")))
              .select("l", "n", "i", F.substring("l", at + 1, width).alias("seg")))
-    by_segment = probe.join(index, ["n", "i", "seg"]).filter(near).select("l", "r")
-
-    # strings too short to be cut: spread one side, copy the other
-    short_l = a.filter(m <= 2 * t).withColumn("salt", F.pmod(F.xxhash64("l"), F.lit(SALTS)).cast("int"))
-    short_r = b.filter(n <= t).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    by_length = short_l.join(short_r, "salt").filter(near).select("l", "r")
-    return by_segment.unionByName(by_length).distinct()
+    found.append(probe.join(index, ["n", "i", "seg"]).filter(near).select("l", "r"))
+
+    if not short:
+        # strings too short to be cut: spread one side, copy the other
+        tiny_l = a.filter(m <= 2 * t).withColumn("salt", F.pmod(F.xxhash64("l"), F.lit(SALTS)).cast("int"))
+        tiny_r = b.filter(n <= t).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found.append(tiny_l.join(tiny_r, "salt").filter(near).select("l", "r"))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _deletions(values: DataFrame, column: str, t: int) -> DataFrame:
+    """``(value, key)``: hashes of all strings left after at most t deletions."""
+    out = values.select(column, F.col(column).alias("rest"))
+    for _ in range(t):
+        size = F.length("rest")
+        spots = F.when(size > 0, F.sequence(F.lit(0), size)).otherwise(F.array(F.lit(0)))
+        at = F.col("at")
+        # place 0 deletes nothing
+        cut = F.when(at == 0, F.col("rest")).otherwise(
+            F.concat(F.expr("substring(rest, 1, at - 1)"), F.expr("substring(rest, at + 1)")))
+        out = out.select(column, "rest", F.explode(spots).alias("at")).select(column, cut.alias("rest")).distinct()
+    return out.select(column, F.xxhash64("rest").alias("key"))
 
 
 def _segment(n: Column, i: Column, t: int) -> tuple[Column, Column]:

@@ -139,7 +139,7 @@ def stream_topk(sdf: DataFrame, ts: str, keys: list[str], k: int = 5, window: st
             return  # late: the window has been closed
         held = _best(pd.concat(([] if held is None else [held]) + parts, ignore_index=True), keys, k)
         state.update((_pack(held),))
-        state.setTimeoutTimestamp(key[0])
+        state.setTimeoutTimestamp(int(key[0]))
 
     out = T.StructType([*[f for f in schema if f.name != "_end_ms"], T.StructField("rank", T.IntegerType())])
     return (rows.mapInPandas(per_task, schema=schema).groupBy("_end_ms")
