@@ -157,14 +157,14 @@ def q_discover_events(spark, d):
 
 
 def q_discover_one(spark, d):
-    pairs = materialize(pair_distances(part_profile(spark, d), PARTS))
-    attrs = ["avg_price", "n_parts", "avg_size"]
-    return wide(discover(pairs, "avg_price", ["n_parts", "avg_size"]), attrs)
+    pairs = materialize(pair_distances(order_profile(spark, d), ORDERS))
+    attrs = ["priority", "order_year", "n_orders", "avg_price"]
+    return wide(discover(pairs, attrs[0], attrs[1:]), attrs)
 
 
 def q_discover_compat(spark, d):
     pairs = materialize(pair_distances(table(spark, d, "supplier"), SUPPLIER_KEYED))
-    return wide(discover(pairs, "s_acctbal", compat_int_rhs=True), SUPPLIER_KEYED)
+    return wide(discover(pairs, compat_int_rhs=True), SUPPLIER_KEYED)
 
 
 # ------------------------------------------------------------------ checks
@@ -216,8 +216,8 @@ PREDICATES: dict[str, tuple[dict | list, str]] = {
     "pred_not_in_null": ([("p_size", "not in", [1, 5, 9])], "p_size IS NULL OR p_size NOT IN (1, 5, 9)"),
     "pred_gt": ([("p_size", ">", 40)], "p_size > 40"),
     "pred_ge": ([("p_size", ">=", 40)], "p_size >= 40"),
-    "pred_lt": ([("p_retailprice", "<", 1000)], "p_retailprice < 1000"),
-    "pred_le": ([("p_retailprice", "<=", 1000)], "p_retailprice <= 1000"),
+    "pred_lt": ([("p_retailprice", "<", 950)], "p_retailprice < 950"),
+    "pred_le": ([("p_retailprice", "<=", 950)], "p_retailprice <= 950"),
     "pred_between": ({"p_size": {"min": 10, "max": 12}}, "p_size BETWEEN 10 AND 12"),
     "pred_range": ({"p_size": range(20, 25)}, "p_size BETWEEN 20 AND 24"),
     "pred_contains": ({"p_name": "%ring%"}, "p_name LIKE '%ring%'"),
@@ -488,9 +488,6 @@ def q_taxonomy(spark, d):
     p = table(spark, d, "part")
     edges = (p.select(F.col("p_name").alias("child"), F.col("p_brand").alias("parent"))
              .union(p.select("p_brand", "p_type")).union(p.select("p_type", F.lit("part"))).distinct())
-    names = p.select("p_name").distinct()
-    pairs = names.select(F.col("p_name").alias("left")).join(
-        p.select(F.col("p_brand").alias("right")).distinct(), F.col("left") != F.col("right"))
     lexicon = edges.select(F.col("child").alias("term"), F.col("child").alias("node")).distinct()
     pairs = p.select(F.col("p_name").alias("left"), F.col("p_type").alias("right")).distinct()
     out = taxonomy_distance(pairs, lexicon, edges)
@@ -504,9 +501,6 @@ def q_bench_summary(spark, d):
 
 # ------------------------------------------------------------------ streams
 
-EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-
-
 def event_stream(spark, d) -> DataFrame:
     schema = table(spark, d, "events").schema
     raw = stream_source(spark, d, schema, "parquet", file_glob="events.parquet")
@@ -835,11 +829,11 @@ def oracle_sql() -> dict[str, str]:
         "discover_all_part": "WITH " + sql_rfds(part_src, part_attrs) + f" SELECT {sql_wide(PARTS)} FROM rfds",
         "discover_all_events": "WITH " + sql_rfds(event_src, event_attrs) + f" SELECT {sql_wide(EVENTS)} FROM rfds",
         "discover_one_side": "WITH " + sql_rfds(
-            part_src, part_attrs, [("avg_price", ["n_parts", "avg_size"])],
-            columns=["avg_price", "n_parts", "avg_size"])
-            + f" SELECT {sql_wide(['avg_price', 'n_parts', 'avg_size'])} FROM rfds",
+            order_src, order_attrs, [("priority", ["order_year", "n_orders", "avg_price"])],
+            columns=["priority", "order_year", "n_orders", "avg_price"])
+            + f" SELECT {sql_wide(['priority', 'order_year', 'n_orders', 'avg_price'])} FROM rfds",
         "discover_compat": "WITH " + sql_rfds(
-            "SELECT * FROM supplier", sup4, side_combinations(SUPPLIER_KEYED, "s_acctbal"), compat=True)
+            "SELECT * FROM supplier", sup4, compat=True)
             + f" SELECT {sql_wide(SUPPLIER_KEYED)} FROM rfds",
         "rfd_violations": "WITH n AS (SELECT c_mktsegment, c_acctbal, c_nationkey, min(c_custkey) AS node, count(*) AS w "
             "FROM customer GROUP BY 1, 2, 3) SELECT a.node AS node_a, b.node AS node_b, a.w * b.w AS n_pairs, "
@@ -856,6 +850,14 @@ def oracle_sql() -> dict[str, str]:
         "rfd_edges": "SELECT a.s_suppkey AS src, b.s_suppkey AS dst FROM supplier a JOIN supplier b "
             "ON a.s_suppkey < b.s_suppkey WHERE round(abs(a.s_acctbal - b.s_acctbal), 6) <= 1500 AND "
             "levenshtein(a.s_name, b.s_name) <= 1 AND abs(a.s_nationkey - b.s_nationkey) <= 6",
+        "rfd_extent": """WITH RECURSIVE e AS (SELECT a.s_suppkey AS src, b.s_suppkey AS dst FROM supplier a JOIN supplier b
+  ON a.s_suppkey < b.s_suppkey WHERE round(abs(a.s_acctbal - b.s_acctbal), 6) <= 1500 AND
+  levenshtein(a.s_name, b.s_name) <= 1 AND abs(a.s_nationkey - b.s_nationkey) <= 6),
+q AS (SELECT [s_suppkey] AS ids, s_suppkey AS last FROM supplier
+  UNION ALL SELECT list_append(q.ids, e.dst), e.dst FROM q JOIN e ON e.src = q.last
+  WHERE (SELECT count(*) FROM e x WHERE x.dst = e.dst AND list_contains(q.ids, x.src)) = len(q.ids)),
+best AS (SELECT ids FROM q ORDER BY len(ids) DESC, ids LIMIT 1)
+SELECT unnest(ids) AS s_suppkey FROM best""",
         "similar_values": "SELECT DISTINCT p_name FROM part WHERE levenshtein(p_name, 'small rings') <= 3",
         "string_join": "WITH n AS (SELECT DISTINCT p_name AS v FROM part) SELECT a.v AS l, b.v AS r FROM n a, n b "
             "WHERE levenshtein(a.v, b.v) <= 3",

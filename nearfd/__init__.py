@@ -1,5 +1,12 @@
 """Relaxed functional dependencies and query relaxation on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run in tasks travel with the job, so executors need no install
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 from .functions.bench import append_results, bench_results, bench_summary
 from .functions.metrics import choose_metrics, distance, within
 from .operators.check import rfd_edges, rfd_holds, rfd_nodes, rfd_violations

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import Metric
@@ -26,29 +26,42 @@ SALTS = 4
 SMALL = 20_000  # relevant points that one bucket can hold
 
 
+# Expressions are written as SQL text here: one text is one call into the JVM,
+# while the same tree built from Column objects takes hundreds.
+
 def _dims(k: int) -> list[str]:
     return [f"v{i}" for i in range(k)]
 
 
-def rfd_points(pairs: DataFrame, sides: Sides, medians: DataFrame | None = None,
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _text(name: str) -> str:
+    return "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _width(sides: Sides) -> int:
+    return max(len(left) for _, left in sides)
+
+
+def rfd_points(pairs: DataFrame, sides: Sides, medians: dict[str, float] | None = None,
                compat_int_rhs: bool = False) -> DataFrame:
     """``(side, v0.., r)``: per left vector the largest right distance.
 
     Shorter left sides are padded with 0, which never affects dominance.
     """
-    k = max(len(left) for _, left in sides)
-    rows = [
-        F.struct(F.lit(i).alias("side"), F.col(f"`{rhs}`").alias("r"),
-                 *[(F.col(f"`{left[j]}`") if j < len(left) else F.lit(0.0)).alias(f"v{j}")
-                   for j in range(k)])
-        for i, (rhs, left) in enumerate(sides)
-    ]
-    points = pairs.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+    dims = _dims(_width(sides))
+    rows = []
+    for i, (rhs, left) in enumerate(sides):
+        values = [_q(c) for c in left] + ["0.0D"] * (len(dims) - len(left))
+        fields = ", ".join(f"'{d}', {v}" for d, v in zip(dims, values, strict=True))
+        rows.append(f"named_struct('side', {i}, {fields}, 'r', {_q(rhs)})")
+    points = pairs.selectExpr(f"inline(array({', '.join(rows)}))")
     if compat_int_rhs:
-        med = _side_medians(medians, sides).select("side", "m_rhs")
-        points = points.join(F.broadcast(med), "side").filter(
-            (F.col("r") > F.col("m_rhs")) | (F.col("r") == F.floor("r"))).drop("m_rhs")
-    return points.groupBy("side", *_dims(k)).agg(F.max("r").alias("r"))
+        limit = _per_side([medians[rhs] for rhs, _ in sides])
+        points = points.filter(f"r > {limit} OR r = floor(r)")
+    return points.groupBy("side", *dims).agg(F.max("r").alias("r"))
 
 
 def rfd_intervals(points: DataFrame) -> DataFrame:
@@ -56,23 +69,23 @@ def rfd_intervals(points: DataFrame) -> DataFrame:
     dims = [c for c in points.columns if c.startswith("v")]
     local = local_minima(points.withColumn("neg", -F.col("r")), [*dims, "neg"], "side").drop("neg")
     near = materialize(local, "points")
-    largest = near.groupBy("side").count().agg(F.max("count")).first()[0] or 0
-    blocks = max(1, math.ceil(largest / DOMINANCE_ROWS))
+    blocks = max(1, math.ceil(near.count() / DOMINANCE_ROWS))
     reached = dominance_cells(near, dims, "side", blocks, value="r")
     return reached.filter(F.col("reach") < F.col("r"))
 
 
-def _side_medians(medians: DataFrame, sides: Sides) -> DataFrame:
-    """One row per side: ``m_rhs`` and the medians of its left attributes."""
-    k = max(len(left) for _, left in sides)
-    one = medians.agg(F.map_from_entries(F.collect_list(F.struct("attr", "median"))).alias("m"))
-    rows = [
-        F.struct(F.lit(i).alias("side"), F.element_at("m", F.lit(rhs)).alias("m_rhs"),
-                 *[(F.element_at("m", F.lit(left[j])) if j < len(left) else F.lit(-1.0)).alias(f"m{j}")
-                   for j in range(k)])
-        for i, (rhs, left) in enumerate(sides)
-    ]
-    return one.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+def _median_map(medians: DataFrame) -> dict[str, float]:
+    """One number per attribute."""
+    return {r["attr"]: r["median"] for r in medians.collect()}
+
+
+def _number(v: float | None) -> str:
+    return "CAST(NULL AS DOUBLE)" if v is None else f"double('{float(v)!r}')"
+
+
+def _per_side(values: list[float | None]) -> str:
+    """The constant of the row's side."""
+    return f"element_at(array({', '.join(map(_number, values))}), side + 1)"
 
 
 def level_splits(intervals: DataFrame) -> DataFrame | None:
@@ -82,37 +95,34 @@ def level_splits(intervals: DataFrame) -> DataFrame | None:
     return materialize(range_splits(intervals, "side", "r"), "splits")
 
 
-def rfd_minima(intervals: DataFrame, medians: DataFrame, sides: Sides,
+def rfd_minima(intervals: DataFrame, medians: dict[str, float], sides: Sides,
                splits: DataFrame | None = None) -> DataFrame:
     """Per side and level: what the level's best values are and which improve.
 
     ``a{i}`` is the level's minimum when it is at most the median and below every
     minimum of the levels above, else NULL.
     """
-    k = max(len(left) for _, left in sides)
-    dims = _dims(k)
-    mins = minima_above(intervals, "side", "r", dims, splits)
-    med = _side_medians(medians, sides)
-    out = mins.join(F.broadcast(med), "side").filter(F.col("r") <= F.col("m_rhs"))
-    return out.select("side", "r", *[
-        F.when((F.col(f"min_v{i}") <= F.col(f"m{i}")) & (F.col(f"min_v{i}") < F.col(f"above_v{i}")),
-               F.col(f"min_v{i}")).alias(f"a{i}") for i in range(k)])
+    k = _width(sides)
+    mins = minima_above(intervals, "side", "r", _dims(k), splits)
+    out = mins.filter(f"r <= {_per_side([medians[rhs] for rhs, _ in sides])}")
+    best = []
+    for i in range(k):
+        limit = _per_side([medians[left[i]] if i < len(left) else -1.0 for _, left in sides])
+        best.append(f"CASE WHEN min_v{i} <= {limit} AND min_v{i} < above_v{i} THEN min_v{i} END AS a{i}")
+    return out.selectExpr("side", "r", *best)
 
 
 def _single(minima: DataFrame, k: int) -> DataFrame:
-    none = F.lit(None).cast("double")
-    rows = F.array(*[
-        F.struct(*[(F.col(f"a{i}") if i == j else none).alias(f"t{i}") for i in range(k)])
-        for j in range(k)])
-    return (minima.select("side", "r", F.explode(rows).alias("t")).select("side", "r", "t.*")
-            .filter(F.coalesce(*[F.col(f"t{i}") for i in range(k)]).isNotNull()))
+    rows = []
+    for j in range(k):
+        fields = [f"'t{i}', {f'a{i}' if i == j else 'CAST(NULL AS DOUBLE)'}" for i in range(k)]
+        rows.append(f"named_struct({', '.join(fields)})")
+    out = minima.selectExpr("side", "r", f"inline(array({', '.join(rows)}))")
+    return out.filter(f"coalesce({', '.join(f't{i}' for i in range(k))}) IS NOT NULL")
 
 
-def _bits(flags: list[Column]) -> Column:
-    total = F.lit(0).cast("bigint")
-    for i, flag in enumerate(flags):
-        total = total + F.when(flag, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    return total
+def _bits(flags: list[str]) -> str:
+    return " + ".join(f"CASE WHEN {flag} THEN {1 << i}L ELSE 0L END" for i, flag in enumerate(flags))
 
 
 def _multi(intervals: DataFrame, minima: DataFrame, sides: Sides,
@@ -125,70 +135,56 @@ def _multi(intervals: DataFrame, minima: DataFrame, sides: Sides,
     it is at or above.  J is emitted iff it is not contained in the D of any pool
     vector, so a pool shrinks to its few distinct bit sets before it is shuffled.
     """
-    k = max(len(left) for _, left in sides)
+    k = _width(sides)
     dims = _dims(k)
-    sizes = F.array(*[F.lit(len(left)) for _, left in sides])
-    width = F.element_at(sizes, F.col("side") + 1)
-    improving = [F.col(f"a{i}").isNotNull() & (F.col(f"v{i}") == F.col(f"a{i}")) for i in range(k)]
-    used = [(F.lit(i) < width) & ~F.coalesce(improving[i], F.lit(False)) for i in range(k)]
-    cand = (intervals.join(minima, ["side", "r"])
-            .withColumn("used", _bits(used)).filter(F.bit_count("used") >= 2)
-            .withColumn("full", F.bit_count("used") == width)
-            .select("side", "r", "used", "full", *dims))
-
+    width = f"element_at(array({', '.join(str(len(left)) for _, left in sides)}), side + 1)"
+    used = _bits([f"{i} < {width} AND NOT coalesce(v{i} = a{i}, FALSE)" for i in range(k)])
+    cand = (intervals.join(minima, ["side", "r"]).selectExpr("side", "r", f"{used} AS used", *dims)
+            .selectExpr("*", f"bit_count(used) = {width} AS full").filter("bit_count(used) >= 2"))
     salts = 1 if splits is None else SALTS
-    y = (with_buckets(cand, "side", splits, bucket=F.col("r"))
-         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    x = (with_buckets(intervals, "side", splits, first=F.col("reach"), last=F.col("r"))
-         .withColumn("salt", F.pmod(F.xxhash64(*dims), F.lit(salts)).cast("int"))
-         .withColumn("bucket", F.explode(F.sequence("first", "last")))
-         .select("side", "bucket", "salt", "reach", F.col("r").alias("top"),
-                 *[F.col(d).alias(f"x{i}") for i, d in enumerate(dims)]))
-    met = y.join(x, ["side", "bucket", "salt"]).filter(
-        (F.col("reach") <= F.col("r")) & (F.col("r") < F.col("top")))
-    bit = [F.col("used").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0 for i in range(k)]
-    sets = met.select(
-        "side", "r", "used", *dims,
-        _bits([bit[i] & (F.col(f"v{i}") <= F.col(f"x{i}")) for i in range(k)]).alias("j"),
-        _bits([bit[i] & (F.col(f"v{i}") >= F.col(f"x{i}")) for i in range(k)]).alias("d"))
-    key = ["side", "r", "used", *dims]
-    pools = sets.distinct().groupBy(*key).agg(F.collect_set("j").alias("js"), F.collect_set("d").alias("ds"))
-
-    empty = F.array().cast("array<bigint>")
-    joined = cand.join(pools, key, "left").select(
-        *key, "full", F.coalesce("js", empty).alias("js"), F.coalesce("ds", empty).alias("ds"))
-
-    def held(mask: Column) -> Column:
-        return F.exists("ds", lambda d: mask.bitwiseAND(d) == mask)
-
-    free = F.filter("js", lambda j: ~held(j))
-    masks = F.when(~F.col("full") & held(F.col("used")), empty).otherwise(
-        F.when(F.size(free) > 0, free).otherwise(F.array("used")))
-    out = joined.select("side", "r", *dims, F.explode(masks).alias("mask"))
-    return out.select("side", "r", *[
-        F.when(F.col("mask").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.col(f"v{i}")).alias(f"t{i}")
-        for i in range(k)])
+    y = (with_buckets(cand, "side", splits, bucket="r")
+         .selectExpr("*", f"explode(sequence(0, {salts - 1})) AS salt"))
+    x = (with_buckets(intervals, "side", splits, first="reach", last="r")
+         .selectExpr("side AS x_side", "explode(sequence(first, last)) AS x_bucket",
+                     f"cast(pmod(xxhash64({', '.join(dims)}), {salts}) AS int) AS x_salt", "reach", "r AS top",
+                     *[f"{d} AS x{i}" for i, d in enumerate(dims)]))
+    # an outer join keeps the candidates whose pool is empty
+    met = y.join(x, F.expr("side = x_side AND bucket = x_bucket AND salt = x_salt AND reach <= r AND r < top"), "left")
+    key = ["side", "r", "used", "full", *dims]
+    below = _bits([f"(used & {1 << i}L) <> 0 AND v{i} <= x{i}" for i in range(k)])
+    above = _bits([f"(used & {1 << i}L) <> 0 AND v{i} >= x{i}" for i in range(k)])
+    sets = met.selectExpr(*key, f"CASE WHEN top IS NOT NULL THEN {below} END AS j",
+                          f"CASE WHEN top IS NOT NULL THEN {above} END AS d")
+    if splits is not None:
+        sets = sets.distinct()
+    pools = sets.groupBy(*key).agg(F.collect_set("j").alias("js"), F.collect_set("d").alias("ds"))
+    held = "exists(ds, d -> (used & d) = used)"
+    free = "filter(js, j -> NOT exists(ds, d -> (j & d) = j))"
+    masks = pools.selectExpr("side", "r", "used", *dims, f"{free} AS free", f"NOT full AND {held} AS stopped")
+    out = masks.filter("NOT stopped").selectExpr(
+        "side", "r", *dims, "explode(CASE WHEN size(free) > 0 THEN free ELSE array(used) END) AS mask")
+    return out.selectExpr("side", "r", *[f"CASE WHEN (mask & {1 << i}L) <> 0 THEN v{i} END AS t{i}" for i in range(k)])
 
 
 def name_sides(found: DataFrame, sides: Sides) -> DataFrame:
     """Rows ``(side, r, t0..)`` to canonical dependency rows."""
-    k = max(len(left) for _, left in sides)
-    rhs = F.element_at(F.array(*[F.lit(r) for r, _ in sides]), F.col("side") + 1)
+    k = _width(sides)
+    rhs = f"element_at(array({', '.join(_text(r) for r, _ in sides)}), side + 1)"
     # padded names are never used: their thresholds are always NULL
-    names = F.element_at(F.array(*[
-        F.array(*[F.lit(left[j] if j < len(left) else f"_{j}") for j in range(k)]) for _, left in sides]),
-        F.col("side") + 1)
-    lhs = F.map_filter(F.map_from_arrays(names, F.array(*[F.col(f"t{i}") for i in range(k)])),
-                       lambda _, v: v.isNotNull())
-    return make_rfds(found.select(rhs.alias("rhs"), F.col("r").alias("rhs_threshold"), lhs.alias("lhs")))
+    padded = [[left[j] if j < len(left) else f"_{j}" for j in range(k)] for _, left in sides]
+    names = ", ".join(f"array({', '.join(map(_text, p))})" for p in padded)
+    thresholds = ", ".join(f"t{i}" for i in range(k))
+    lhs = (f"map_filter(map_from_arrays(element_at(array({names}), side + 1), array({thresholds})), "
+           "(k, v) -> v IS NOT NULL)")
+    return make_rfds(found.selectExpr(f"{rhs} AS rhs", "r AS rhs_threshold", f"{lhs} AS lhs"))
 
 
 def rfd_single(pairs: DataFrame, sides: Sides, medians: DataFrame | None = None) -> DataFrame:
     """Only the dependencies with one left attribute."""
-    medians = medians if medians is not None else distance_medians(pairs)
+    med = _median_map(medians if medians is not None else distance_medians(pairs))
     intervals = materialize(rfd_intervals(rfd_points(pairs, sides)), "intervals")
-    minima = rfd_minima(intervals, medians, sides, level_splits(intervals))
-    return name_sides(_single(minima, max(len(left) for _, left in sides)).distinct(), sides)
+    minima = rfd_minima(intervals, med, sides, level_splits(intervals))
+    return name_sides(_single(minima, _width(sides)).distinct(), sides)
 
 
 def discover(
@@ -214,18 +210,16 @@ def discover(
         for f in frames[1:]:
             out = out.unionByName(f)
         return out
-    if max(len(left) for _, left in sides) > 62:
+    if _width(sides) > 62:
         raise ValueError("at most 62 left-side attributes")
     if not all(left for _, left in sides):
         raise ValueError("a dependency needs at least one left-side attribute")
-    if medians is None:
-        medians = materialize(distance_medians(pairs), "medians")
-    points = rfd_points(pairs, sides, medians, compat_int_rhs)
+    med = _median_map(medians if medians is not None else distance_medians(pairs))
+    points = rfd_points(pairs, sides, med, compat_int_rhs)
     intervals = materialize(rfd_intervals(points), "intervals")
     splits = level_splits(intervals)
-    minima = materialize(rfd_minima(intervals, medians, sides, splits), "minima")
-    k = max(len(left) for _, left in sides)
-    found = _single(minima, k).unionByName(_multi(intervals, minima, sides, splits)).distinct()
+    minima = materialize(rfd_minima(intervals, med, sides, splits), "minima")
+    found = _single(minima, _width(sides)).unionByName(_multi(intervals, minima, sides, splits)).distinct()
     return name_sides(found, sides)
 
 

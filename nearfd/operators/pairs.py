@@ -7,13 +7,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import Metric, choose_metrics, distance, is_whole
+from ..functions.metrics import INF, Metric, choose_metrics, distance, is_whole
 from ..plans.blocks import block_count, pair_blocks
 from ..plans.prefix import exact_medians
 from ..session import materialize
 from .taxonomy import ancestor_maps, with_ancestors
 
 Sides = list[tuple[str, list[str]]]
+WHOLE_HISTOGRAM = 1_000_000  # vectors whose values may be ranked in one task per attribute
 
 
 def side_combinations(columns: list[str], rhs: str | None = None, lhs: list[str] | None = None) -> Sides:
@@ -95,7 +96,8 @@ def pair_distances(
     if not by_row:
         vectors = pairs.select(*gaps)
         return vectors.unionByName(copies.select(*zero)).distinct()
-    ids = [_col("a", id_col).alias(f"{id_col}_a"), _col("b", id_col).alias(f"{id_col}_b")]
+    x, y = _col("a", id_col), _col("b", id_col)
+    ids = [F.least(x, y).alias(f"{id_col}_a"), F.greatest(x, y).alias(f"{id_col}_b")]
     result = pairs.select(*ids, *gaps)
     if not ordered:
         return result
@@ -118,15 +120,18 @@ def split_sides(pairs: DataFrame, rhs: str, lhs: list[str] | None = None) -> Dat
 def distance_medians(pairs: DataFrame, attrs: list[str] | None = None, approx: bool = False) -> DataFrame:
     """``(attr, median)`` of each distance column, exact unless ``approx``.
 
-    The exact form reads ``pairs`` twice and shuffles little: a mergeable sketch
-    brackets the median (its rank error is a tenth of the bracket's margin), then
-    only the values inside the bracket are ranked.
+    The exact form of a large table reads ``pairs`` twice and shuffles little: a
+    mergeable sketch brackets the median (its rank error is a tenth of the
+    bracket's margin), then only the values inside the bracket are ranked.
     """
     attrs = list(attrs) if attrs else list(pairs.columns)
-    ends = [0.5] if approx else [0.498, 0.502]
-    marks = pairs.agg(*[
-        F.percentile_approx(F.col(f"`{c}`"), F.array(*map(F.lit, ends)), F.lit(5_000)).alias(f"m{i}")
-        for i, c in enumerate(attrs)]).first()
+    if approx or pairs.count() > WHOLE_HISTOGRAM:
+        ends = [0.5] if approx else [0.498, 0.502]
+        marks = pairs.agg(*[
+            F.percentile_approx(F.col(f"`{c}`"), F.array(*map(F.lit, ends)), F.lit(5_000)).alias(f"m{i}")
+            for i, c in enumerate(attrs)]).first()
+    else:
+        marks = [(-INF, INF)] * len(attrs)
     if approx:
         rows = [(c, marks[i][0] if marks[i] else None) for i, c in enumerate(attrs)]
         return pairs.sparkSession.createDataFrame(rows, "attr string, median double")
@@ -134,9 +139,11 @@ def distance_medians(pairs: DataFrame, attrs: list[str] | None = None, approx: b
     for i, c in enumerate(attrs):
         lo, hi = marks[i] or (0.0, 0.0)
         v = F.col(f"`{c}`")
-        place = F.when(v < lo, F.lit(-float("inf"))).when(v > hi, F.lit(float("inf"))).otherwise(v)
+        place = F.when(v < lo, F.lit(-INF)).when(v > hi, F.lit(INF)).otherwise(v)
         pieces.append(F.struct(F.lit(c).alias("attr"), place.alias("value"),
                                F.when(v < lo, -1).when(v > hi, 1).otherwise(0).alias("part")))
     hist = (pairs.select(F.explode(F.array(*pieces)).alias("m"))
             .groupBy("m.attr", "m.part", "m.value").agg(F.count("*").alias("cnt")))
+    if marks[0] and marks[0][0] == -INF:
+        return exact_medians(hist, small=True)
     return exact_medians(materialize(hist, "hist"))

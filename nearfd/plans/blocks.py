@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 2048
 DOMINANCE_ROWS = 4096
+STRONGEST = 256
 
 
 def block_count(rows: int, parallelism: int, block_rows: int = BLOCK_ROWS) -> int:
@@ -81,8 +82,10 @@ def _local_pool(pts: np.ndarray) -> np.ndarray:
     kept: list[np.ndarray] = []
     for lo in range(0, len(order), 512):
         idx = order[lo:lo + 512]
-        if len(pool):
-            idx = idx[_undominated(pts[idx], pool)]
+        # the smallest sums rule out most points, so the whole pool sees few
+        for part in (pool[:STRONGEST], pool[STRONGEST:]):
+            if len(part) and len(idx):
+                idx = idx[_undominated(pts[idx], part)]
         if len(idx):
             idx = idx[_undominated(pts[idx], pts[idx])]
             pool = np.vstack([pool, pts[idx]])
@@ -155,6 +158,9 @@ def dominance_cells(points: DataFrame, dims: list[str], key: str | None, blocks:
     schema = points.schema
     if value is not None:
         schema = points.select("*", F.lit(0.0).alias("reach")).schema
+    if blocks > 1:
+        # few bytes but much work: keep adaptive execution from merging the cells
+        both = both.repartition(min(8 * blocks * blocks, 100_000), *keys, "_cell")
     parts = both.groupBy(*keys, "_cell").applyInPandas(cell, schema=schema)
     if value is not None:
         return parts.groupBy(*cols).agg(F.max("reach").alias("reach"))

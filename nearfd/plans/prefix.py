@@ -16,27 +16,35 @@ BUCKETS = 64
 
 def range_splits(df: DataFrame, key: str, value: str, buckets: int = BUCKETS) -> DataFrame:
     """One row per key with at most ``buckets`` ordered split points."""
-    steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    steps = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
     return df.groupBy(key).agg(
-        F.array_distinct(F.percentile_approx(value, steps, F.lit(10_000))).alias("splits"))
+        F.expr(f"array_distinct(percentile_approx({value}, array({steps}), 10000))").alias("splits"))
 
 
-def with_buckets(df: DataFrame, key: str, splits: DataFrame | None, **values: Column) -> DataFrame:
-    """Add bucket columns, e.g. ``bucket=F.col('r')``; one bucket if ``splits`` is None."""
+def with_buckets(df: DataFrame, key: str, splits: DataFrame | None, **values: str) -> DataFrame:
+    """Add bucket columns, e.g. ``bucket='r'``; one bucket if ``splits`` is None."""
     if splits is None:
-        return df.withColumns({name: F.lit(0) for name in values})
-    return df.join(F.broadcast(splits), key).withColumns({
-        name: F.size(F.filter("splits", lambda s, v=v: s < v)) for name, v in values.items()
-    }).drop("splits")
+        return df.selectExpr("*", *[f"0 AS {name}" for name in values])
+    found = df.join(F.broadcast(splits), key)
+    return found.selectExpr("*", *[
+        f"size(filter(splits, s -> s < {v})) AS {name}" for name, v in values.items()]).drop("splits")
 
 
-def exact_medians(hist: DataFrame) -> DataFrame:
+def exact_medians(hist: DataFrame, small: bool = False) -> DataFrame:
     """Interpolated median per ``attr`` of a histogram ``(attr, part, value, cnt)``.
 
     ``part`` orders before ``value``; rows of part -1 and 1 are only counted.
+    A ``small`` histogram is ranked without buckets.
     """
+    if small:
+        whole = Window.partitionBy("attr")
+        upto = F.sum("cnt").over(whole.orderBy("part", "value"))
+        ranked = (hist.withColumns({"hi": upto, "total": F.sum("cnt").over(whole)})
+                  .withColumns({"lo": F.col("hi") - F.col("cnt"), "k1": F.floor((F.col("total") - 1) / 2),
+                                "k2": F.ceil((F.col("total") - 1) / 2)}))
+        return _middle(ranked)
     splits = range_splits(hist.filter("part = 0"), "attr", "value")
-    h = with_buckets(hist, "attr", splits, bucket=F.col("value"))
+    h = with_buckets(hist, "attr", splits, bucket="value")
     by_bucket = Window.partitionBy("attr").orderBy("part", "bucket")
     whole = Window.partitionBy("attr")
     totals = (h.groupBy("attr", "part", "bucket").agg(F.sum("cnt").alias("n"))
@@ -52,6 +60,11 @@ def exact_medians(hist: DataFrame) -> DataFrame:
               .withColumn("hi", F.col("start") + F.sum("cnt").over(inside))
               .withColumn("lo", F.col("hi") - F.col("cnt")))
 
+    return _middle(ranked)
+
+
+def _middle(ranked: DataFrame) -> DataFrame:
+    """Mean of the values at ranks ``k1`` and ``k2``; a row covers [lo, hi)."""
     def at(k: str) -> Column:
         return F.max(F.when((F.col("lo") <= F.col(k)) & (F.col(k) < F.col("hi")), F.col("value")))
 
@@ -66,18 +79,17 @@ def minima_above(df: DataFrame, key: str, level: str, values: list[str],
     Columns ``min_<v>`` hold the minima of the row's own level, ``above_<v>``
     those of the higher levels (+inf at the top).
     """
-    inf = F.lit(float("inf"))
     levels = df.groupBy(key, level).agg(*[F.min(v).alias(f"min_{v}") for v in values])
-    inside = (Window.partitionBy(key, "bucket").orderBy(F.desc(level))
-              .rowsBetween(Window.unboundedPreceding, -1))
-    levels = with_buckets(levels, key, splits, bucket=F.col(level))
+    levels = with_buckets(levels, key, splits, bucket=level)
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    inside = f"(PARTITION BY {key}, bucket ORDER BY {level} DESC {before})"
     own = [f"min_{v}" for v in values]
-    near = {v: F.coalesce(F.min(f"min_{v}").over(inside), inf) for v in values}
+    near = {v: f"coalesce(min(min_{v}) OVER {inside}, double('inf'))" for v in values}
     if splits is None:
-        return levels.select(key, level, *own, *[near[v].alias(f"above_{v}") for v in values])
-    higher = Window.partitionBy(key).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+        return levels.selectExpr(key, level, *own, *[f"{near[v]} AS above_{v}" for v in values])
+    higher = f"(PARTITION BY {key} ORDER BY bucket DESC {before})"
     tops = (levels.groupBy(key, "bucket").agg(*[F.min(f"min_{v}").alias(f"m_{v}") for v in values])
-            .select(key, "bucket", *[F.min(f"m_{v}").over(higher).alias(f"top_{v}") for v in values]))
-    return levels.join(tops, [key, "bucket"]).select(
+            .selectExpr(key, "bucket", *[f"min(m_{v}) OVER {higher} AS top_{v}" for v in values]))
+    return levels.join(tops, [key, "bucket"]).selectExpr(
         key, level, *own,
-        *[F.least(near[v], F.coalesce(F.col(f"top_{v}"), inf)).alias(f"above_{v}") for v in values])
+        *[f"least({near[v]}, coalesce(top_{v}, double('inf'))) AS above_{v}" for v in values])

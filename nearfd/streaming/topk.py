@@ -81,8 +81,13 @@ def tweet_fields() -> dict[str, Column]:
     }
 
 
-def _best(pdf: pd.DataFrame, by: list[str], k: int) -> pd.DataFrame:
-    return pdf.sort_values(by, ascending=False, kind="stable").head(k)
+WINDOWS_PER_GROUP = 64
+
+
+def _best(frames: list[pd.DataFrame], by: list[str], k: int) -> pd.DataFrame:
+    """The k largest rows of each window."""
+    pdf = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]
+    return pdf.sort_values(by, ascending=False, kind="stable").groupby("_end_ms", sort=False).head(k)
 
 
 def _pack(pdf: pd.DataFrame) -> bytes:
@@ -104,7 +109,9 @@ def stream_topk(sdf: DataFrame, ts: str, keys: list[str], k: int = 5, window: st
     Works on streams (append mode: a window is emitted once the watermark has
     passed its end; later rows are dropped) and on static tables.  Every task
     first cuts its batch to ``k`` rows per window, so a busy window reaches its
-    state as few rows, and the state itself never holds more than ``k`` rows.
+    state as few rows, and the state never holds more than ``k`` rows per open
+    window.  Neighbouring windows share a state, so a backlog of many windows
+    does not pay for each of them.
     Make the last key unique to get a fixed order of ties.
     """
     rows = sdf
@@ -115,35 +122,45 @@ def stream_topk(sdf: DataFrame, ts: str, keys: list[str], k: int = 5, window: st
         return _batch_topk(rows, ts, keys, k, window)
     rows = rows.withWatermark(ts, watermark)
     span = F.window(F.col(f"`{ts}`"), window)
+    start, end = F.unix_millis(span.getField("start")), F.unix_millis(span.getField("end"))
     rows = rows.select(span.getField("start").alias("window_start"), span.getField("end").alias("window_end"),
-                       F.unix_millis(span.getField("end")).alias("_end_ms"), *[F.col(f"`{c}`") for c in cols])
+                       end.alias("_end_ms"), F.floor(start / ((end - start) * WINDOWS_PER_GROUP)).alias("_group"),
+                       *[F.col(f"`{c}`") for c in cols])
     schema = rows.schema
 
     def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict = {}
+        best = None
         for pdf in batches:
-            for start, part in pdf.groupby("window_start", sort=False):
-                if start in best:
-                    part = pd.concat([best[start], part], ignore_index=True)
-                best[start] = _best(part, keys, k)
-        yield from best.values()
+            best = _best([pdf] if best is None else [best, pdf], keys, k)
+        if best is not None:
+            yield best
 
-    def per_window(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def per_group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Open windows of one group: k rows each; closed ones are emitted."""
         held = _unpack(state.get[0]) if state.exists else None
-        if state.hasTimedOut:
-            state.remove()
-            yield held.drop(columns="_end_ms").assign(rank=range(1, len(held) + 1))
+        now = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            new = pd.concat(list(batches), ignore_index=True)
+            new = new[new["_end_ms"] > now]  # later rows find their window closed
+            if len(new):
+                held = _best([new] if held is None else [held, new], keys, k)
+        if held is None:
             return
-        parts = list(batches)
-        if state.getCurrentWatermarkMs() >= key[0]:
-            return  # late: the window has been closed
-        held = _best(pd.concat(([] if held is None else [held]) + parts, ignore_index=True), keys, k)
-        state.update((_pack(held),))
-        state.setTimeoutTimestamp(int(key[0]))
-
-    out = T.StructType([*[f for f in schema if f.name != "_end_ms"], T.StructField("rank", T.IntegerType())])
-    return (rows.mapInPandas(per_task, schema=schema).groupBy("_end_ms")
-            .applyInPandasWithState(per_window, out, T.StructType([T.StructField("rows", T.BinaryType())]),
+        closed = held[held["_end_ms"] <= now]
+        held = held[held["_end_ms"] > now]
+        if len(held):
+            state.update((_pack(held),))
+            state.setTimeoutTimestamp(int(held["_end_ms"].min()))
+        elif state.exists:
+            state.remove()
+        if len(closed):
+            rank = closed.groupby("_end_ms", sort=False).cumcount() + 1
+            yield closed.drop(columns=["_end_ms", "_group"]).assign(rank=rank)
+
+    out = T.StructType([*[f for f in schema if f.name not in ("_end_ms", "_group")],
+                        T.StructField("rank", T.IntegerType())])
+    return (rows.mapInPandas(per_task, schema=schema).groupBy("_group")
+            .applyInPandasWithState(per_group, out, T.StructType([T.StructField("rows", T.BinaryType())]),
                                     "append", GroupStateTimeout.EventTimeTimeout))
 
 
