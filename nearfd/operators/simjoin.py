@@ -45,14 +45,17 @@ def string_pairs(left: DataFrame, right: DataFrame, t: int) -> DataFrame:
     b = right.toDF("r").dropna().distinct()
     if t <= 0:
         return a.join(b, F.col("l") == F.col("r"))
-    near = F.levenshtein("l", "r", t) >= 0
+    near = (F.col("l") != F.col("r")) & (F.levenshtein("l", "r", t) >= 0)
     n, m = F.length("r"), F.length("l")
     short = DELETION_LENGTH.get(t, 0)
-    found = []
+    found = [a.join(b, F.col("l") == F.col("r"))]
     if short:
-        by_l = _deletions(a.filter(m <= short + t), "l", t)
-        by_r = _deletions(b.filter(n <= short), "r", t)
-        found.append(by_l.join(by_r, "key").select("l", "r").distinct().filter(near))
+        # keys are small but meet many partners: a fixed number of partitions
+        # keeps adaptive execution from merging them into one task
+        parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        by_l = _deletions(a.filter(m <= short + t), "l", t).repartition(parts, "key")
+        by_r = _deletions(b.filter(n <= short), "r", t).repartition(parts, "key")
+        found.append(by_l.join(by_r, "key").filter(near).select("l", "r"))
     long_b = b.filter(n > short)
     segments = long_b.filter(n > t).select(
         "r", n.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(t))).alias("i"))
