@@ -13,8 +13,8 @@ from nearfd import (
     read_rfds, read_table, relax_best, relax_columns, relax_counts, relax_rows, rfd_edges, rfd_extent, rfd_holds,
     rfd_intervals, rfd_points, rfd_single, rfd_violations, rfds_from_wide, rfds_to_wide, shared_dir, side_combinations,
     similar_values, similarity_join, skyline, sniff_csv, sort_table, split_sides, stream_project, stream_source,
-    stream_topk, string_pairs, table_profile, taxonomy_distance, union_wide, value_islands, write_rfds, write_stream,
-    write_table)
+    stream_topk, string_pairs, table_profile, taxonomy_distance, taxonomy_pairs, union_wide, value_islands, with_row_id, write_rfds,
+    write_stream, write_table)
 from nearfd.plans.profiles import event_profile, order_profile, part_profile, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -477,10 +477,9 @@ def q_consecutive(spark, d):
 
 
 def q_sort(spark, d):
-    from pyspark.sql.window import Window
     df = sort_table(table(spark, d, "customer"), ["c_mktsegment", "c_acctbal", "c_custkey"], [True, False, True])
-    w = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")
-    return df.select("c_custkey", F.row_number().over(w).alias("pos"))
+    # the place of a row in the sorted table, without a window over all rows
+    return with_row_id(df.select("c_custkey"), "pos")
 
 
 def q_taxonomy(spark, d):
@@ -494,6 +493,20 @@ def q_taxonomy(spark, d):
     return out.withColumn("distance", F.round("distance", 6))
 
 
+def q_taxonomy_extension(spark, d):
+    """Customers of one nation, extended to nations two steps away (same region)."""
+    nation = table(spark, d, "nation")
+    node = F.concat(F.lit("N"), F.col("n_nationkey"))
+    lexicon = nation.select(F.col("n_name").alias("term"), node.alias("node"))
+    edges = nation.select(node.alias("child"), F.concat(F.lit("R"), F.col("n_regionkey")).alias("parent"))
+    df = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    names = df.select("n_name").distinct()
+    near = taxonomy_pairs(names, names, lexicon, edges, 0.67)
+    rfd = Rfd({"n_name": 0.67}, "c_acctbal", 1.0)
+    query = QuerySpec([("n_name", "=", "NATION_3"), ("c_mktsegment", "=", "MACHINERY")])
+    return extend_query(query, rfd, df, metrics={"n_name": near}).apply(df).select("c_custkey", "n_name")
+
+
 def q_bench_summary(spark, d):
     s = bench_summary(table(spark, d, "events"), "event_type", ["value"])
     return s.withColumn("value", F.round("value", 6))
@@ -600,6 +613,7 @@ def queries() -> dict[str, Query]:
         "is_consecutive": q_consecutive,
         "sort_table": q_sort,
         "taxonomy_distance": q_taxonomy,
+        "taxonomy_extension": q_taxonomy_extension,
         "bench_summary": q_bench_summary,
         "stream_topk": q_stream_topk,
         "batch_topk": q_batch_topk,
@@ -928,8 +942,10 @@ SELECT unnest(ids) AS s_suppkey FROM best""",
         "is_consecutive": "SELECT max(o_orderkey) - min(o_orderkey) + 1 = count(*) AND count(*) = count(DISTINCT o_orderkey) "
             "AS is_consecutive, 'orders' AS name FROM orders UNION ALL SELECT max(l_orderkey) - min(l_orderkey) + 1 = "
             "count(*) AND count(*) = count(DISTINCT l_orderkey), 'lineitem' FROM lineitem",
-        "sort_table": "SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey)"
-            "::INT AS pos FROM customer",
+        "sort_table": "SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment, c_acctbal DESC, c_custkey) - 1 AS pos "
+            "FROM customer",
+        "taxonomy_extension": "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE "
+            "c_mktsegment = 'MACHINERY' AND n_regionkey = (SELECT n_regionkey FROM nation WHERE n_name = 'NATION_3')",
         "bench_summary": "SELECT event_type, round(avg(value), 6) AS value FROM events GROUP BY event_type",
         "stream_topk": f"SELECT * FROM ({topk}) WHERE rank <= 5 AND start_s + 600 <= (SELECT epoch(max(ts)) FROM events)",
         "batch_topk": f"SELECT * FROM ({topk}) WHERE rank <= 5",

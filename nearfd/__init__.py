@@ -7,7 +7,7 @@ from pyspark import cloudpickle
 # functions that run in tasks travel with the job, so executors need no install
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-from .functions.bench import append_results, bench_results, bench_summary
+from .functions.bench import append_results, bench_results, bench_summary, measure_discovery
 from .functions.metrics import choose_metrics, distance, within
 from .operators.check import rfd_edges, rfd_holds, rfd_nodes, rfd_violations
 from .operators.discover import discover, discover_all, rfd_intervals, rfd_points, rfd_single
@@ -21,9 +21,9 @@ from .operators.rfd import (
     rfds_from_wide, rfds_to_wide, union_wide)
 from .operators.simjoin import similar_values, similarity_join, string_pairs
 from .operators.skyline import dominates, skyline
-from .operators.taxonomy import ancestor_maps, ancestors, taxonomy_distance
+from .operators.taxonomy import ancestor_maps, ancestors, taxonomy_distance, taxonomy_pairs
 from .operators.values import (
-    column_values, format_islands, is_consecutive, sort_table, value_islands, value_lists)
+    column_values, format_islands, is_consecutive, sort_table, value_islands)
 from .session import materialize, shared_dir
 from .sources.rfd_files import read_rfds, write_rfds
 from .sources.tables import (

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +23,33 @@ RUN_SCHEMA = T.StructType([
 ])
 
 
+def measure_discovery(spark: SparkSession, path: str, name: str, attrs: list[str] | None = None,
+                      **read_options) -> DataFrame:
+    """Read a CSV table, discover each right side and record size, times (ms) and
+    number of dependencies per combination of sides."""
+    from ..operators.discover import discover
+    from ..operators.pairs import pair_distances, side_combinations
+    from ..session import materialize
+    from ..sources.tables import read_table
+
+    df = read_table(spark, path, **read_options)
+    attrs = attrs or df.columns
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    rows = df.count()
+    start = time.perf_counter()
+    pairs = materialize(pair_distances(df, attrs), "pairs")
+    distance_ms = (time.perf_counter() - start) * 1000
+    runs = []
+    for rhs, lhs in side_combinations(list(attrs)):
+        start = time.perf_counter()
+        found = discover(pairs, rhs, lhs).count()
+        runs.append({
+            "ds_name": name, "ds_len": rows, "ds_attr_size": len(attrs), "ds_file_size_B": size,
+            "time_elapsed": (time.perf_counter() - start) * 1000, "distance_time": distance_ms, "rfd_count": found,
+            "attr_comb": json.dumps({"rhs": [rhs], "lhs": lhs}), "iterations": 1})
+    return bench_results(spark, runs)
+
+
 def bench_results(spark: SparkSession, runs: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(f.name) for f in RUN_SCHEMA) for r in runs], RUN_SCHEMA)
 

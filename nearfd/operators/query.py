@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.metrics import choose_metrics
+from ..functions.metrics import Metric, choose_metrics
 from .rfd import Rfd
 from .simjoin import similarity_join
 
@@ -33,7 +33,7 @@ SIGNS = {
     "~": "contains", "contains": "contains",
     "prefix": "prefix", "suffix": "suffix",
     "between": "between", "ranges": "ranges", "integers": "integers",
-    "similar": "similar", "similar to match": "similar to match",
+    "similar": "similar", "similar to match": "similar to match", "similar by list": "similar by list",
 }
 ORDERED = (">", "≥", "<", "≤")
 
@@ -97,7 +97,7 @@ class Predicate:
         """False if the predicate needs a join."""
         if self.op == "∈":
             return len(self.value) <= IN_LIST_LIMIT
-        return self.op != "similar to match"
+        return self.op not in ("similar to match", "similar by list")
 
     def filter(self, df: DataFrame) -> DataFrame:
         if self.is_plain():
@@ -108,6 +108,10 @@ class Predicate:
             values = df.sparkSession.createDataFrame(
                 [(v,) for v in dict.fromkeys(self.value)], T.StructType([T.StructField("_v", dtype)]))
             return df.join(values, c == F.col("_v"), "left_semi")
+        if self.op == "similar by list":
+            sources, pairs = self.value
+            near = pairs.filter(F.col("r").isin(list(sources))).select(F.col("l").alias("_v")).distinct()
+            return df.join(near, c == F.col("_v"), "left_semi")
         pattern, t = self.value
         matches = df.filter(c.rlike(pattern)).select(c).distinct()
         return similarity_join(df, matches, {self.column: ("edit", t)}, "left_semi")
@@ -241,17 +245,18 @@ def whole_range(v: float, t: float) -> tuple[int, int]:
 
 
 def extend_query(spec: QuerySpec, rfd: Rfd, df: DataFrame, mode: str = "interval",
-                 anchored: bool = False) -> QuerySpec:
+                 anchored: bool = False, metrics: Mapping[str, Metric | DataFrame] | None = None) -> QuerySpec:
     """Widen each predicate by the dependency's threshold of its attribute.
 
     Numbers become ranges (``mode='integers'``: only the whole numbers in them),
     strings become similarity predicates, order bounds move outward, ``≠`` and
     ``∉`` stay.  A wildcard reaches the neighbours of every value it matches; the
-    match ignores where the wildcard stands unless ``anchored``.
+    match ignores where the wildcard stands unless ``anchored``.  ``metrics`` are those
+    the dependency was found with; a taxonomy is given as its table of similar values.
     """
     if mode not in ("interval", "integers"):
         raise ValueError("mode is 'interval' or 'integers'")
-    kinds = choose_metrics(df, [c for c in spec.fields if c in rfd])
+    kinds = choose_metrics(df, [c for c in spec.fields if c in rfd], metrics)
     many = "integers" if mode == "integers" else "ranges"
     out: list[Predicate] = []
     for p in spec.predicates:
@@ -266,8 +271,10 @@ def extend_query(spec: QuerySpec, rfd: Rfd, df: DataFrame, mode: str = "interval
         elif p.op in ("<", "≤") and _number(v):
             out.append(Predicate(p.column, p.op, v + t))
         elif t <= 0 or p.op in ("≠", "∉"):
-            if not (p.op == "=" and kind not in ("abs", "edit")):
+            if not (p.op == "=" and kind == "days"):
                 out.append(p)
+        elif isinstance(kind, DataFrame) and p.op in ("=", "∈"):
+            out.append(Predicate(p.column, "similar by list", (v if p.op == "∈" else [v], kind)))
         elif p.op == "between":
             out.append(Predicate(p.column, "between", (v[0] - t, v[1] + t)))
         elif p.op == "=" and kind == "abs":

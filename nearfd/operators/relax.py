@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import INF, choose_metrics, micros
-from ..functions.metrics import MICROS_PER_DAY
+from ..functions.metrics import INF, MICROS_PER_DAY, Metric, choose_metrics, micros
 from .query import QuerySpec, extend_query
 from .rfd import Rfd, first_rfds
 from .simjoin import Side, similarity_join
 
 
+Metrics = Mapping[str, Metric | DataFrame]
+
+
 def relaxing_attributes(df: DataFrame, rfd: Rfd, query: QuerySpec | None = None) -> list[str]:
     """Attributes of the dependency that the query leaves open, else its right side."""
     asked = set(query.fields) if query else set()
@@ -28,15 +31,17 @@ def _whole(c: Column, t: float) -> tuple[Column, Column]:
 
 
 def relax_rows(df: DataFrame, answers: DataFrame, rfd: Rfd, attrs: list[str] | None = None,
-               query: QuerySpec | None = None, mode: str = "distance") -> DataFrame:
+               query: QuerySpec | None = None, mode: str = "distance",
+               metrics: Metrics | None = None) -> DataFrame:
     """Rows that are similar on every relaxing attribute to one answer row.
 
     ``mode='distance'`` uses the dependency's thresholds as they are;
     ``'integers'`` lets a numeric attribute match only the whole numbers between
-    the cut bounds ``v - t`` and ``v + t``.
+    the cut bounds ``v - t`` and ``v + t``.  ``metrics`` are those the dependency
+    was found with; a taxonomy is given as its table of similar values.
     """
     attrs = attrs or relaxing_attributes(df, rfd, query)
-    kinds = choose_metrics(df, attrs)
+    kinds = choose_metrics(df, attrs, metrics)
     near = answers.select(*[F.col(f"`{c}`") for c in attrs]).distinct()
     if mode == "distance":
         return similarity_join(df, near, {c: (kinds[c], rfd[c]) for c in attrs}, "left_semi")
@@ -62,7 +67,7 @@ def relax_rows(df: DataFrame, answers: DataFrame, rfd: Rfd, attrs: list[str] | N
     return similarity_join(data, marks, on, "left_semi", extra=inside)
 
 
-def _near_some(df: DataFrame, answers: DataFrame, c: str, kind: str, t: float, mode: str) -> DataFrame:
+def _near_some(df: DataFrame, answers: DataFrame, c: str, kind: Metric | DataFrame, t: float, mode: str) -> DataFrame:
     """Rows whose value of one attribute is near some answer value.
 
     A number or date needs no pairs: per band only the smallest and the largest
@@ -72,6 +77,8 @@ def _near_some(df: DataFrame, answers: DataFrame, c: str, kind: str, t: float, m
     values = answers.select(col.alias("_v")).distinct()
     if t == INF:
         return df
+    if isinstance(kind, DataFrame):
+        return similarity_join(df, values.withColumnRenamed("_v", c), {c: (kind, t)}, "left_semi")
     if kind == "abs" and t > 0 and mode == "integers":
         lo, hi = _whole(F.col("_v").cast("double"), t)
         # every reachable whole number, once
@@ -113,12 +120,13 @@ def _near_some(df: DataFrame, answers: DataFrame, c: str, kind: str, t: float, m
 
 
 def relax_columns(df: DataFrame, answers: DataFrame, rfd: Rfd, attrs: list[str] | None = None,
-                  query: QuerySpec | None = None, mode: str = "distance") -> DataFrame:
+                  query: QuerySpec | None = None, mode: str = "distance",
+                  metrics: Metrics | None = None) -> DataFrame:
     """Rows near some answer value on each relaxing attribute, taken one by one."""
     if mode not in ("distance", "integers"):
         raise ValueError("mode is 'distance' or 'integers'")
     attrs = attrs or relaxing_attributes(df, rfd, query)
-    kinds = choose_metrics(df, attrs)
+    kinds = choose_metrics(df, attrs, metrics)
     out = df
     for c in attrs:
         out = _near_some(out, answers, c, kinds[c], rfd[c], mode)
@@ -126,13 +134,13 @@ def relax_columns(df: DataFrame, answers: DataFrame, rfd: Rfd, attrs: list[str]
 
 
 def relax_counts(df: DataFrame, spec: QuerySpec, rfds: list[Rfd], mode: str = "distance",
-                 extend_mode: str = "interval") -> DataFrame:
+                 extend_mode: str = "interval", metrics: Metrics | None = None) -> DataFrame:
     """``(rank, rfd_id, n_query, n_extended, n_relaxed)`` for each dependency."""
     total = spec.apply(df).agg(F.count("*").alias("n_query"))
     frames = []
     for i, rfd in enumerate(rfds):
-        answers = extend_query(spec, rfd, df, extend_mode).apply(df)
-        relaxed = relax_rows(df, answers, rfd, query=spec, mode=mode)
+        answers = extend_query(spec, rfd, df, extend_mode, metrics=metrics).apply(df)
+        relaxed = relax_rows(df, answers, rfd, query=spec, mode=mode, metrics=metrics)
         counted = (answers.agg(F.count("*").alias("n_extended")).withColumn("rank", F.lit(i))
                    .join(relaxed.agg(F.count("*").alias("n_relaxed")).withColumn("rank", F.lit(i)), "rank")
                    .withColumn("rfd_id", F.lit(rfd.rfd_id)))
@@ -143,10 +151,10 @@ def relax_counts(df: DataFrame, spec: QuerySpec, rfds: list[Rfd], mode: str = "d
 
 
 def relax_best(df: DataFrame, spec: QuerySpec, rfds: DataFrame, n: int = 3, mode: str = "distance",
-               extend_mode: str = "interval") -> DataFrame:
+               extend_mode: str = "interval", metrics: Metrics | None = None) -> DataFrame:
     """The dependency among the first ``n`` with the smallest relaxed answer that
     is strictly larger than the original one (no row if there is none)."""
-    counts = relax_counts(df, spec, first_rfds(rfds, n), mode, extend_mode)
+    counts = relax_counts(df, spec, first_rfds(rfds, n), mode, extend_mode, metrics)
     return counts.filter(F.col("n_relaxed") > F.col("n_query")).orderBy("n_relaxed", "rank").limit(1)
 
 

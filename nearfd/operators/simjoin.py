@@ -23,7 +23,7 @@ SALTS = 16
 DELETION_LENGTH = {1: 256, 2: 64}  # longest string per threshold that meets on deletions
 
 Side = Callable[[str], Column]
-Conditions = Mapping[str, tuple[Metric, float]]
+Conditions = Mapping[str, tuple[Metric | DataFrame, float]]
 
 
 def similar_values(df: DataFrame, column: str, source: str, t: float) -> DataFrame:
@@ -122,10 +122,22 @@ def _band(kind: Metric, t: float, left: Column, right: Column) -> tuple[Column,
     return F.floor(left / width), F.when(right.isNull(), none).otherwise(reach)
 
 
+def _listed(right: DataFrame, column: str, pairs: DataFrame, name: str) -> tuple[DataFrame, Column]:
+    """Copy the right rows to every left value that ``pairs(l, r)`` calls similar."""
+    c = F.col(f"`{column}`")
+    nulls = right.filter(c.isNull()).limit(1).select(
+        F.lit(None).cast("string").alias("l"), F.lit(None).cast("string").alias("r"))
+    near = pairs.select("l", "r").unionByName(nulls).toDF(name, "_value")
+    return right.join(near, c.eqNullSafe(F.col("_value"))).drop("_value"), F.col(name)
+
+
 def similarity_join(left: DataFrame, right: DataFrame, on: Conditions, how: str = "inner",
                     extra: Callable[[Side, Side], Column] | None = None, salts: int = SALTS) -> DataFrame:
     """Join rows that are within ``on[col] = (metric, threshold)`` on every column.
 
+    A metric may also be a table ``(l, r)`` that lists the similar values, such as
+    the result of ``taxonomy_pairs``.
+
     ``how`` is ``inner`` (columns get the suffixes ``_l`` and ``_r``),
     ``left_semi`` or ``left_anti``.  The bands of the right side are copied, so
     the smaller side belongs there.  The planner broadcasts it only below its
@@ -151,6 +163,10 @@ def similarity_join(left: DataFrame, right: DataFrame, on: Conditions, how: str
         a, b = lcol[c], F.col(f"`{c}_r`")
         if t == INF:
             continue
+        if isinstance(kind, DataFrame):
+            r, key = _listed(r, f"{c}_r", kind, f"_like{i}")
+            keys.append(a.eqNullSafe(key))
+            continue
         if kind in ("abs", "edit") and (t == 0 or (kind == "edit" and t < 1)):
             keys.append(a.eqNullSafe(b))
         elif kind in ("abs", "days") and bands < MAX_BANDS:
@@ -167,11 +183,8 @@ def similarity_join(left: DataFrame, right: DataFrame, on: Conditions, how: str
     if not keys and edits:
         t, c = min(edits)
         near = string_pairs(l.select(f"`{c}_l`"), r.select(f"`{c}_r`"), t)
-        nulls = r.filter(F.col(f"`{c}_r`").isNull()).limit(1).select(
-            F.lit(None).cast("string").alias("l"), F.lit(None).cast("string").alias("r"))
-        near = near.unionByName(nulls).toDF("_like", "_value")
-        r = r.join(near, F.col(f"`{c}_r`").eqNullSafe(F.col("_value"))).drop("_value")
-        keys.append(lcol[c].eqNullSafe(F.col("_like")))
+        r, key = _listed(r, f"{c}_r", near, "_like")
+        keys.append(lcol[c].eqNullSafe(key))
         checks = [within(lcol[o], F.col(f"`{o}_r`"), on[o][1], on[o][0])
                   for o in on if o != c and on[o][1] != INF]
     if not keys:

@@ -6,6 +6,8 @@ where a term sits.  The ancestor sets grow level by level with joins.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,3 +64,24 @@ def taxonomy_distance(pairs: DataFrame, lexicon: DataFrame, taxonomy: DataFrame,
     return (pairs.join(a, left, "left").join(b, right, "left")
             .withColumn("distance", taxonomy_gap(F.col("_a"), F.col("_b")))
             .select(*pairs.columns, "distance"))
+
+
+def taxonomy_pairs(left: DataFrame, right: DataFrame, lexicon: DataFrame, taxonomy: DataFrame, t: float,
+                   max_depth: int = 20) -> DataFrame:
+    """``(l, r)``: pairs of the distinct terms of two one-column tables whose
+    taxonomy distance is at most ``t`` (below 1).
+
+    A distance bounds the path, so only ancestors that few steps away are joined.
+    """
+    if not 0 <= t < 1:
+        raise ValueError("the threshold has to be in [0, 1)")
+    steps = math.floor(t / (1 - t) + 1e-9)
+    a, b = left.toDF("l").dropna().distinct(), right.toDF("r").dropna().distinct()
+    first = lexicon.select("term", "node").dropna().groupBy("term").agg(F.min("node").alias("node"))
+    up = ancestors(first, taxonomy, min(steps, max_depth)) if steps else first.select(
+        "node", F.col("node").alias("ancestor"), F.lit(0).alias("steps")).distinct()
+    places = first.join(up, "node").select("term", "ancestor", "steps")
+    x = a.join(places, F.col("l") == F.col("term")).select("l", "ancestor", F.col("steps").alias("s_l"))
+    y = b.join(places, F.col("r") == F.col("term")).select("r", "ancestor", F.col("steps").alias("s_r"))
+    near = x.join(y, "ancestor").filter(F.col("s_l") + F.col("s_r") <= steps).select("l", "r")
+    return near.unionByName(a.join(b, F.col("l") == F.col("r"))).distinct()

@@ -27,11 +27,6 @@ def _numeric(df: DataFrame, c: str) -> bool:
     return dict(df.dtypes)[c] not in ("string", "date", "timestamp", "timestamp_ntz", "boolean")
 
 
-def value_lists(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row with a sorted array of distinct values per column."""
-    return df.agg(*[F.sort_array(F.collect_set(F.col(f"`{c}`"))).alias(c) for c in columns])
-
-
 def value_islands(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
     """Maximal runs ``(first, last, size)`` of consecutive whole numbers.
 

@@ -7,7 +7,7 @@ import brute
 from nearfd import (
     Predicate, QuerySpec, Rfd, column_values, extend_query, extent_pct, format_islands, is_consecutive, make_rfds,
     mark_rows, relax_best, relax_columns, relax_counts, relax_rows, relaxing_attributes, similar_values,
-    similarity_join, sort_table, string_pairs, value_islands, value_lists)
+    similarity_join, sort_table, string_pairs, value_islands)
 
 ROWS = [(1, "john", 20, 1.5), (2, "jack", 21, 2.5), (3, "mary", 45, None), (4, None, 48, 2.0),
         (5, "eric", None, 16.5), (6, "joh", 30, 17.0), (7, "[x", 0, 3.0)]
@@ -268,5 +268,4 @@ def test_value_reports(spark, monkeypatch):
     assert not consecutive([1, 2, 2, 3])
     t = spark.createDataFrame([(2, "b"), (10, "a"), (2, "a")], "n int, s string")
     assert [tuple(r) for r in column_values(t, ["n", "s"]).collect()] == [("n", "2"), ("n", "10"), ("s", "a"), ("s", "b")]
-    assert value_lists(t, ["n", "s"]).first().asDict() == {"n": [2, 10], "s": ["a", "b"]}
     assert [tuple(r) for r in sort_table(t, ["n", "s"], [False, True]).collect()] == [(10, "a"), (2, "a"), (2, "b")]

@@ -205,6 +205,39 @@ def test_taxonomy(spark):
     assert steps[("cat", "animal")] == 2 and steps[("x", "y")] == 1
 
 
+def test_taxonomy_pairs_in_joins_and_relaxation(spark):
+    from nearfd import extend_query, relax_columns, relax_rows, similarity_join, taxonomy_pairs
+    taxonomy = spark.createDataFrame([("cat", "mammal"), ("dog", "mammal"), ("mammal", "animal"), ("fish", "animal")],
+                                     ["child", "parent"])
+    lexicon = spark.createDataFrame([(t, t) for t in ("cat", "dog", "fish")], ["term", "node"])
+    df = spark.createDataFrame([(1, "cat", 1), (2, "dog", 1), (3, "fish", 1), (4, "stone", 1), (5, None, 1), (6, "dog", 9)],
+                               "id int, kind string, n int")
+    near = taxonomy_pairs(df.select("kind"), df.select("kind"), lexicon, taxonomy, 0.67)
+    words = ["cat", "dog", "fish", "stone"]
+    pairs = spark.createDataFrame([(a, b) for a in words for b in words], ["left", "right"])
+    want = {(r["left"], r["right"]) for r in taxonomy_distance(pairs, lexicon, taxonomy).collect()
+            if r["left"] == r["right"] or (r["distance"] is not None and r["distance"] <= 0.67)}
+    assert {tuple(r) for r in near.collect()} == want and ("cat", "dog") in want and ("cat", "fish") not in want
+    ids = lambda d: sorted(r["id"] for r in d.collect())
+    answers = df.filter("id = 1 or id = 5")
+    rfd = Rfd({"n": 1.0}, "kind", 0.67)
+    assert ids(relax_rows(df, answers, rfd, metrics={"kind": near})) == [1, 2, 5]
+    assert ids(relax_columns(df, answers, rfd, metrics={"kind": near})) == [1, 2, 5]
+    assert ids(similarity_join(df, answers, {"kind": (near, 0.67)}, "left_anti")) == [3, 4]
+    spec = QuerySpec([("kind", "=", "cat")])
+    assert ids(extend_query(spec, rfd, df, metrics={"kind": near}).apply(df)) == [1, 2, 6]
+
+
+def test_measured_discovery(spark, tmp_path):
+    from nearfd import measure_discovery
+    f = tmp_path / "t.csv"
+    f.write_text("a;b;c\n1;2;x\n2;3;xy\n4;4;z\n9;1;?\n")
+    runs = measure_discovery(spark, str(f), "t").collect()
+    assert len(runs) == 3 and all(r["ds_len"] == 4 and r["ds_attr_size"] == 3 for r in runs)
+    assert runs[0]["ds_file_size_B"] == f.stat().st_size
+    assert runs[0]["attr_comb"] == '{"rhs": ["a"], "lhs": ["b", "c"]}'
+
+
 def test_dominates(spark):
     df = spark.sql("select 1.0d as a, 2.0d as b, 1.0d as c, 3.0d as d, cast(null as double) as n")
     c = F.col
