@@ -157,13 +157,13 @@ def q_discover_events(spark, d):
 
 
 def q_discover_one(spark, d):
-    pairs = materialize(pair_distances(order_profile(spark, d), ORDERS))
+    pairs = pair_distances(order_profile(spark, d), ORDERS)
     attrs = ["priority", "order_year", "n_orders", "avg_price"]
     return wide(discover(pairs, attrs[0], attrs[1:]), attrs)
 
 
 def q_discover_compat(spark, d):
-    pairs = materialize(pair_distances(table(spark, d, "supplier"), SUPPLIER_KEYED))
+    pairs = pair_distances(table(spark, d, "supplier"), SUPPLIER_KEYED)
     return wide(discover(pairs, compat_int_rhs=True), SUPPLIER_KEYED)
 
 

@@ -19,7 +19,7 @@ from ..functions.metrics import Metric
 from ..plans.blocks import DOMINANCE_ROWS, dominance_cells, local_minima
 from ..plans.prefix import minima_above, range_splits, with_buckets
 from ..session import materialize
-from .pairs import Sides, distance_medians, pair_distances, side_combinations
+from .pairs import Sides, distance_medians, pair_distances, side_combinations, split_sides
 from .rfd import make_rfds
 
 SALTS = 4
@@ -194,6 +194,7 @@ def discover(
     compat_int_rhs: bool = False,
     medians: DataFrame | None = None,
     algorithm: Callable[[DataFrame], DataFrame] | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Dependencies of one right side, or of every column if ``rhs`` is None.
 
@@ -201,11 +202,13 @@ def discover(
     given to save a pass.  ``compat_int_rhs`` ignores fractional right distances
     up to the median; such results may contain dependencies that do not hold.
     ``algorithm`` replaces the search: it gets one ``split_sides`` frame and
-    returns canonical rows.
+    returns canonical rows.  ``pairs`` are read several times and therefore
+    written once to the shared folder, unless they are ``stored`` already.
     """
     sides = side_combinations(pairs.columns, rhs, lhs)
+    pairs = pairs if stored else materialize(pairs, "pairs")
     if algorithm is not None:
-        frames = [algorithm(split_sides_named(pairs, r, left)) for r, left in sides]
+        frames = [algorithm(split_sides(pairs, r, left)) for r, left in sides]
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f)
@@ -223,11 +226,6 @@ def discover(
     return name_sides(found, sides)
 
 
-def split_sides_named(pairs: DataFrame, rhs: str, lhs: list[str]) -> DataFrame:
-    from .pairs import split_sides
-    return split_sides(pairs, rhs, lhs)
-
-
 def discover_all(
     df: DataFrame,
     attrs: list[str] | None = None,
@@ -241,4 +239,4 @@ def discover_all(
     """Pair the rows once, then discover the dependencies of every attribute."""
     pairs = pair_distances(df, attrs, id_col, metrics, decimals=decimals,
                            lexicon=lexicon, taxonomy=taxonomy)
-    return discover(materialize(pairs, "pairs"), compat_int_rhs=compat_int_rhs)
+    return discover(pairs, compat_int_rhs=compat_int_rhs)

@@ -14,6 +14,8 @@ from ..session import materialize
 from .taxonomy import ancestor_maps, with_ancestors
 
 Sides = list[tuple[str, list[str]]]
+DICTIONARY = 64  # values of a string column that get a distance table
+DICTIONARY_ROWS = 500  # tuples from which such a table pays off
 WHOLE_HISTOGRAM = 1_000_000  # vectors whose values may be ranked in one task per attribute
 
 
@@ -38,6 +40,29 @@ def _col(side: str, name: str) -> Column:
     return F.col(side).getField(name)
 
 
+def _edit_tables(rows: DataFrame, names: list[str]) -> dict[str, tuple[list[str], Column]]:
+    """Edit distances between all values of the string columns with few values.
+
+    Gives each such column its values and a metric on their positions, so that a
+    pair looks its distance up instead of computing it again.
+    """
+    few = rows.agg(*[F.approx_count_distinct(F.col(f"`{c}`")) for c in names]).first()
+    tables = {}
+    for i, c in enumerate(names):
+        if few[i] > DICTIONARY:
+            continue
+        values = [r[0] for r in rows.select(F.col(f"`{c}`")).dropna().distinct().limit(DICTIONARY + 1).collect()]
+        n = len(values)
+        if not 0 < n <= DICTIONARY:
+            continue
+        at = rows.sparkSession.range(n * n).select("id", F.array(*map(F.lit, values)).alias("v"))
+        gaps = at.select("id", F.levenshtein(F.expr(f"element_at(v, cast(id div {n} as int) + 1)"),
+                                             F.expr(f"element_at(v, cast(id % {n} as int) + 1)")).alias("d"))
+        text = ",".join(str(r["d"]) for r in gaps.orderBy("id").collect())
+        tables[c] = (values, F.split(F.lit(text), ",").cast("array<double>"))
+    return tables
+
+
 def pair_distances(
     df: DataFrame,
     attrs: list[str] | None = None,
@@ -86,10 +111,17 @@ def pair_distances(
         for c in attrs:
             if kinds[c] == "taxonomy":
                 base = with_ancestors(base, c, maps)
+    strings = [c for c in attrs if kinds[c] == "edit"]
+    if strings and not by_row and rows.count() >= DICTIONARY_ROWS:
+        for c, (values, gaps) in _edit_tables(rows, strings).items():
+            place = F.array_position(F.array(*map(F.lit, values)), F.col(f"`{c}`")).cast("int") - 1
+            base = base.withColumn(c, place)
+            kinds[c] = lambda a, b, gaps=gaps, n=len(values): F.element_at(gaps, a * n + b + 1)
+    whole = {c: is_whole(df.schema[c].dataType, kind) for c, kind in kinds.items()} | {c: True for c in strings}
     pairs = pair_blocks(base, F.col("_key"), F.col("_key"), blocks)
     gaps = [
         distance(_col("a", c), _col("b", c), kinds[c],
-                 None if is_whole(df.schema[c].dataType, kinds[c]) else decimals).alias(c)
+                 None if whole[c] else decimals).alias(c)
         for c in attrs
     ]
     zero = [F.lit(0.0).alias(c) for c in attrs]

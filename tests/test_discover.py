@@ -212,6 +212,17 @@ def test_pairs_plan_has_no_cartesian_product(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_distance_tables_of_short_dictionaries(spark, monkeypatch):
+    import nearfd.operators.pairs as p
+    monkeypatch.setattr(p, "DICTIONARY_ROWS", 0)
+    monkeypatch.setattr(p, "DICTIONARY", 5)
+    rng = random.Random(11)
+    rows = [(rng.choice(["a,b", "abc", "it's", None]), f"v{rng.randint(0, 40)}", rng.randint(0, 3)) for _ in range(40)]
+    df = spark.createDataFrame(rows, "few string, many string, n int")
+    assert set(p._edit_tables(df, ["few", "many"])) == {"few"}
+    assert {tuple(r) for r in pair_distances(df).collect()} == brute.vectors(rows)
+
+
 def test_dates_and_bad_types(spark):
     df = spark.sql("select * from values (timestamp'2001-01-02 00:00:00'), (timestamp'2001-01-03 23:00:00'),"
                    "(timestamp'2001-01-01 12:00:00') as t(d)")
