@@ -16,7 +16,7 @@ from .taxonomy import ancestor_maps, with_ancestors
 Sides = list[tuple[str, list[str]]]
 DICTIONARY = 64  # values of a string column that get a distance table
 DICTIONARY_ROWS = 500  # tuples from which such a table pays off
-WHOLE_HISTOGRAM = 1_000_000  # vectors whose values may be ranked in one task per attribute
+WHOLE_HISTOGRAM = 250_000  # vectors whose values may be ranked in one task per attribute
 
 
 def side_combinations(columns: list[str], rhs: str | None = None, lhs: list[str] | None = None) -> Sides:
