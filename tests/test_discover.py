@@ -78,6 +78,25 @@ age;10.0;6.0;?;?
 age;3.0;0.0;?;?
 age;1.0;0.0;3.0;0.0"""
 
+MORE_PEOPLE = PEOPLE + [("domenica", "female", "newyork", 22), ("domenico", "male", "newyork", 21)]
+MORE_PEOPLE_RFDS = """sex;0.0;?;?;0.0
+sex;?;?;3.0;0.0
+sex;?;0.0;?;0.0
+city;?;10.0;3.0;?
+city;0.0;9.0;?;?
+city;10.0;6.0;3.0;0.67
+city;1.0;0.0;3.0;0.0
+city;?;0.0;1.0;?
+city;0.0;0.0;?;0.0
+city;?;0.0;3.0;0.0
+age;18.0;7.0;4.0;?
+age;15.0;?;4.0;0.0
+age;10.0;6.0;?;?
+age;8.0;6.0;?;0.0
+age;3.0;0.0;?;?
+age;1.0;?;1.0;?
+age;1.0;0.0;3.0;0.0"""
+
 
 def table(text):
     rows = [line.split(";") for line in text.splitlines()]
@@ -105,10 +124,11 @@ def sex_gap(a, b):
     return F.when(a == b, 0.0).otherwise(other)
 
 
-def test_string_golden_in_compatible_mode(spark):
-    df = spark.createDataFrame(PEOPLE, PEOPLE_COLS)
+@pytest.mark.parametrize("rows,want", [(PEOPLE, PEOPLE_RFDS), (MORE_PEOPLE, MORE_PEOPLE_RFDS)])
+def test_string_goldens_in_compatible_mode(spark, rows, want):
+    df = spark.createDataFrame(rows, PEOPLE_COLS)
     got = discover_all(df, metrics={"sex": sex_gap}, compat_int_rhs=True).collect()
-    assert wide(got, ["age", "city", "name", "sex"]) == table(PEOPLE_RFDS)
+    assert wide(got, ["age", "city", "name", "sex"]) == table(want)
 
 
 def test_taxonomy_metric_gives_the_same_distances(spark):
