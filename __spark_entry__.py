@@ -17,6 +17,12 @@ from nearfd import (
     write_stream, write_table)
 from nearfd.plans.profiles import event_profile, order_profile, part_profile, table
 
+try:  # the training-data subpackage may be absent
+    import corpus_pipeline  # noqa: F401
+    from nearfd.llm import queries as llm_queries
+except ImportError:
+    llm_queries = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 BIG = 1e308  # stands for an infinite distance in results
 
@@ -621,6 +627,8 @@ def queries() -> dict[str, Query]:
     }
     out |= {name: predicate_query(items) for name, (items, _) in PREDICATES.items()}
     out |= {name: extension_query(items, mode) for name, (items, mode, _) in EXTENSIONS.items()}
+    if llm_queries is not None:
+        out |= llm_queries.QUERIES
     return out
 
 
@@ -963,4 +971,6 @@ FROM pairs p JOIN best a ON a.node = p.l JOIN best b ON b.node = p.r AND b.anc =
     out |= {name: f"SELECT p_partkey, p_brand, p_size, p_name FROM {PARTS_SQL} WHERE {cond}"
             for name, (_, cond) in PREDICATES.items()}
     out |= {name: f"SELECT p_partkey FROM {PARTS_SQL} WHERE {cond}" for name, (_, _, cond) in EXTENSIONS.items()}
+    if llm_queries is not None:
+        out |= llm_queries.ORACLE_SQL
     return out

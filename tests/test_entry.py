@@ -11,7 +11,9 @@ NAMES = ["pair_distances_nulls", "skyline_lineitem", "discover_all_part", "rfd_v
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    """Queries of the training-data subpackage are tested with it."""
+    own = getattr(entry.llm_queries, "QUERIES", {})
+    assert set(entry.queries()) - set(own) == set(entry.oracle_sql()) - set(own)
 
 
 def test_flagship(spark):
