@@ -86,30 +86,68 @@ def _replies(doc: np.ndarray, pos: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "pos"])
 
 
-def _solved(sent: DataFrame, solve) -> DataFrame:
-    """Deal rows by ``part``, solve each part by itself in sorted order, gather the places of each document."""
+def _solved(sent: DataFrame, solve, cfg: Repeats, parts: int) -> DataFrame:
+    """Deal rows by ``part``, solve each part by itself, gather the places of each document: ``doc_id, pos``.
+
+    Answers travel packed by buckets of documents, so their number of rows follows the input and not the number
+    of parts that a document's words fall into.
+    """
     def run(batches):
-        part, held = None, []
+        part, held, docs, places, count = None, [], [], [], 0
+
+        def answer(doc, pos):
+            nonlocal count
+            docs.append(doc)
+            places.append(pos)
+            count += len(doc)
 
         def done():
             if held:
-                a, b, doc, pos = (np.concatenate([h[i] for h in held]) for i in range(4))
-                yield from _replies(*solve(a, b, doc, pos))
+                answer(*solve(*(np.concatenate([h[i] for h in held]) for i in range(4))))
+
+        def packed():
+            nonlocal docs, places, count
+            doc, pos = np.concatenate(docs), np.concatenate(places)
+            docs, places, count = [], [], 0
+            bucket = (mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+            rows = [(b, d.tobytes(), p.astype(np.int32).tobytes()) for b, d, p in _parts(bucket, doc, pos)]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
+                zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "doc", "pos"])
 
         for batch in batches:
             for row in batch.to_pylist():
                 doc, pos = np.frombuffer(row["doc"], np.int64), np.frombuffer(row["pos"], np.int32)
                 if row["direct"]:
-                    yield from _replies(doc, pos)
-                    continue
-                if row["part"] != part:
+                    answer(doc, pos)
+                else:
+                    if row["part"] != part:
+                        done()
+                        part, held = row["part"], []
+                    held.append((np.frombuffer(row["a"], np.uint64), np.frombuffer(row["b"], np.uint32), doc, pos))
+                if count >= cfg.flush:
+                    yield packed()
+        done()
+        if count:
+            yield packed()
+
+    def gather(batches):
+        bucket, held = None, []
+
+        def done():
+            if held:
+                yield from _replies(*(np.concatenate([h[i] for h in held]) for i in range(2)))
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["bucket"] != bucket:
                     yield from done()
-                    part, held = row["part"], []
-                held.append((np.frombuffer(row["a"], np.uint64), np.frombuffer(row["b"], np.uint32), doc, pos))
+                    bucket, held = row["bucket"], []
+                held.append((np.frombuffer(row["doc"], np.int64), np.frombuffer(row["pos"], np.int32)))
         yield from done()
 
     dealt = sent.repartition("part").sortWithinPartitions("part")
-    return (dealt.mapInArrow(run, "doc_id long, pos binary").groupBy("doc_id").agg(F.collect_list("pos").alias("pos")))
+    answers = dealt.mapInArrow(run, "bucket int, doc binary, pos binary")
+    return answers.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "doc_id long, pos binary")
 
 
 def _repeated_anchors(docs: DataFrame, cfg: Repeats, parts: int) -> DataFrame:
@@ -159,12 +197,12 @@ def _repeated_anchors(docs: DataFrame, cfg: Repeats, parts: int) -> DataFrame:
         found = found[flag[found] == 0]
         return doc[found], pos[found]
 
-    return _solved(docs.select("doc_id", "text").mapInArrow(send, SCHEMA), solve)
+    return _solved(docs.select("doc_id", "text").mapInArrow(send, SCHEMA), solve, cfg, parts)
 
 
-def _places(lists, first: int = 0) -> np.ndarray:
+def _places(packed: bytes | None, first: int = 0) -> np.ndarray:
     """Unpacked places of a document, as indexes from ``first``."""
-    return first + np.concatenate([np.frombuffer(p, np.int32) for p in lists]) if lists else np.empty(0, np.int64)
+    return first + np.frombuffer(packed or b"", np.int32)
 
 
 def _repeated_windows(docs: DataFrame, cfg: Repeats, parts: int) -> DataFrame:
@@ -225,7 +263,7 @@ def _repeated_windows(docs: DataFrame, cfg: Repeats, parts: int) -> DataFrame:
         later = order[1:][deep]
         return doc[later], pos[later]
 
-    return _solved(docs.select("doc_id", "text", "anchors").mapInArrow(send, SCHEMA), solve)
+    return _solved(docs.select("doc_id", "text", "anchors").mapInArrow(send, SCHEMA), solve, cfg, parts)
 
 
 def _kept(docs: DataFrame, cfg: Repeats, with_text: bool) -> DataFrame:
