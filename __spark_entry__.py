@@ -466,7 +466,7 @@ def q_column_values(spark, d):
 
 
 def q_islands(spark, d):
-    return value_islands(table(spark, d, "lineitem").filter("l_quantity = 50"), "l_orderkey")
+    return value_islands(table(spark, d, "lineitem"), "l_orderkey", by="l_quantity")
 
 
 def q_islands_by(spark, d):
@@ -474,7 +474,7 @@ def q_islands_by(spark, d):
 
 
 def q_islands_text(spark, d):
-    return format_islands(value_islands(table(spark, d, "part").filter("p_size % 10 <> 3"), "p_size", "p_type"), "p_type")
+    return format_islands(value_islands(table(spark, d, "part"), "p_size", "p_type"), "p_type")
 
 
 def q_consecutive(spark, d):
@@ -942,11 +942,11 @@ SELECT unnest(ids) AS s_suppkey FROM best""",
             "'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' AS columns FROM customer",
         "column_values": f"SELECT DISTINCT 'p_size' AS attr, p_size::VARCHAR AS value FROM {PARTS_SQL} WHERE p_size IS NOT "
             f"NULL UNION ALL SELECT DISTINCT 'p_type', p_type FROM {PARTS_SQL}",
-        "value_islands": island_sql("l_orderkey AS v FROM lineitem WHERE l_quantity = 50"),
+        "value_islands": island_sql("l_quantity, l_orderkey AS v FROM lineitem", "l_quantity"),
         "value_islands_by": island_sql("o_orderpriority, o_custkey AS v FROM orders", "o_orderpriority"),
         "value_islands_text": "SELECT p_type, string_agg(CASE WHEN first = last THEN '[' || first || ']' ELSE '[' || first "
             "|| '-' || last || ']' END, ' ∪ ' ORDER BY first) AS text FROM ("
-            + island_sql("p_type, p_size AS v FROM part WHERE p_size % 10 <> 3", "p_type") + ") GROUP BY p_type",
+            + island_sql("p_type, p_size AS v FROM part", "p_type") + ") GROUP BY p_type",
         "is_consecutive": "SELECT max(o_orderkey) - min(o_orderkey) + 1 = count(*) AND count(*) = count(DISTINCT o_orderkey) "
             "AS is_consecutive, 'orders' AS name FROM orders UNION ALL SELECT max(l_orderkey) - min(l_orderkey) + 1 = "
             "count(*) AND count(*) = count(DISTINCT l_orderkey), 'lineitem' FROM lineitem",

@@ -20,7 +20,7 @@ from ..functions.metrics import Metric, choose_metrics
 from .rfd import Rfd
 from .simjoin import similarity_join
 
-IN_LIST_LIMIT = 1000
+IN_LIST_LIMIT = 1000  # longer lists are joined; the result is the same
 
 # fixed values: operator signs and their plain spellings
 SIGNS = {
@@ -43,7 +43,7 @@ def _number(v: Any) -> bool:
 
 
 def _empty(v: Any) -> bool:
-    return v is None or (isinstance(v, (str, list, tuple, dict)) and len(v) == 0)
+    return v is None or (isinstance(v, (str, list, tuple, dict, range)) and len(v) == 0)
 
 
 @dataclass(frozen=True)
@@ -95,7 +95,7 @@ class Predicate:
 
     def is_plain(self) -> bool:
         """False if the predicate needs a join."""
-        if self.op == "∈":
+        if self.op in ("∈", "∉"):
             return len(self.value) <= IN_LIST_LIMIT
         return self.op not in ("similar to match", "similar by list")
 
@@ -103,11 +103,13 @@ class Predicate:
         if self.is_plain():
             return df.filter(self.condition())
         c = F.col(f"`{self.column}`")
-        if self.op == "∈":
-            dtype = df.schema[self.column].dataType
-            values = df.sparkSession.createDataFrame(
-                [(v,) for v in dict.fromkeys(self.value)], T.StructType([T.StructField("_v", dtype)]))
-            return df.join(values, c == F.col("_v"), "left_semi")
+        if self.op in ("∈", "∉"):
+            values = list(dict.fromkeys(v for v in self.value if v is not None))
+            if any(isinstance(v, float) for v in values) and all(map(_number, values)):
+                values = [float(v) for v in values]
+            # the list keeps its own type, so the comparison coerces as isin does
+            listed = df.sparkSession.createDataFrame([(v,) for v in values], ["_v"])
+            return df.join(listed, c == F.col("_v"), "left_semi" if self.op == "∈" else "left_anti")
         if self.op == "similar by list":
             sources, pairs = self.value
             near = pairs.filter(F.col("r").isin(list(sources))).select(F.col("l").alias("_v")).distinct()
@@ -288,11 +290,12 @@ def extend_query(spec: QuerySpec, rfd: Rfd, df: DataFrame, mode: str = "interval
         elif p.op == "∈" and all(isinstance(x, str) for x in v):
             out.append(Predicate(p.column, "similar", (list(dict.fromkeys(v)), t)))
         elif p.op in ("contains", "prefix", "suffix"):
-            pattern = v
+            # the text of a prefix or suffix is no pattern
+            pattern = v if p.op == "contains" else "\\Q" + v.replace("\\E", "\\E\\\\E\\Q") + "\\E"
             if anchored and p.op == "prefix":
-                pattern = "^" + v
+                pattern = "^" + pattern
             elif anchored and p.op == "suffix":
-                pattern = v + "$"
+                pattern += "$"
             out.append(Predicate(p.column, "similar to match", (pattern, t)))
         else:
             out.append(p)

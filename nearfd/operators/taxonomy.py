@@ -15,14 +15,20 @@ from ..functions.metrics import taxonomy_gap
 from ..session import materialize
 
 
-def ancestors(nodes: DataFrame, taxonomy: DataFrame, max_depth: int = 20) -> DataFrame:
-    """``(node, ancestor, steps)`` with the fewest steps, the node itself at 0."""
+def ancestors(nodes: DataFrame, taxonomy: DataFrame, max_steps: int | None = None) -> DataFrame:
+    """``(node, ancestor, steps)`` with the fewest steps, the node itself at 0.
+
+    All ancestors by default; ``max_steps`` is for callers that need no farther ones.  A level without a new
+    ancestor ends the search, also on cycles.
+    """
     edges = taxonomy.select("child", "parent").dropna().distinct()
     level = materialize(
         nodes.select("node").dropna().distinct()
         .select("node", F.col("node").alias("ancestor"), F.lit(0).alias("steps")), "anc")
     seen = level
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while max_steps is None or depth < max_steps:
+        depth += 1
         grown = (level.join(edges, F.col("ancestor") == F.col("child"))
                  .select("node", F.col("parent").alias("ancestor")).distinct()
                  .join(seen.select("node", "ancestor"), ["node", "ancestor"], "left_anti")
@@ -34,10 +40,10 @@ def ancestors(nodes: DataFrame, taxonomy: DataFrame, max_depth: int = 20) -> Dat
     return seen
 
 
-def ancestor_maps(lexicon: DataFrame, taxonomy: DataFrame, max_depth: int = 20) -> DataFrame:
+def ancestor_maps(lexicon: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """``(term, up)``: map from each ancestor of the term's first node to its steps."""
     first = lexicon.select("term", "node").dropna().groupBy("term").agg(F.min("node").alias("node"))
-    up = (ancestors(first, taxonomy, max_depth).groupBy("node")
+    up = (ancestors(first, taxonomy).groupBy("node")
           .agg(F.map_from_entries(F.collect_list(F.struct("ancestor", "steps"))).alias("up")))
     return first.join(up, "node").select("term", "up")
 
@@ -53,12 +59,12 @@ def with_ancestors(df: DataFrame, attr: str, maps: DataFrame) -> DataFrame:
 
 
 def taxonomy_distance(pairs: DataFrame, lexicon: DataFrame, taxonomy: DataFrame,
-                      left: str = "left", right: str = "right", max_depth: int = 20) -> DataFrame:
+                      left: str = "left", right: str = "right") -> DataFrame:
     """Add ``distance`` = ``1 - 1/(shortest path + 1)`` to pairs of terms.
 
     It is NULL when a term is not in the lexicon and 1 when no ancestor is shared.
     """
-    maps = ancestor_maps(lexicon, taxonomy, max_depth)
+    maps = ancestor_maps(lexicon, taxonomy)
     a = maps.select(F.col("term").alias(left), F.col("up").alias("_a"))
     b = maps.select(F.col("term").alias(right), F.col("up").alias("_b"))
     return (pairs.join(a, left, "left").join(b, right, "left")
@@ -66,8 +72,7 @@ def taxonomy_distance(pairs: DataFrame, lexicon: DataFrame, taxonomy: DataFrame,
             .select(*pairs.columns, "distance"))
 
 
-def taxonomy_pairs(left: DataFrame, right: DataFrame, lexicon: DataFrame, taxonomy: DataFrame, t: float,
-                   max_depth: int = 20) -> DataFrame:
+def taxonomy_pairs(left: DataFrame, right: DataFrame, lexicon: DataFrame, taxonomy: DataFrame, t: float) -> DataFrame:
     """``(l, r)``: pairs of the distinct terms of two one-column tables whose
     taxonomy distance is at most ``t`` (below 1).
 
@@ -78,7 +83,7 @@ def taxonomy_pairs(left: DataFrame, right: DataFrame, lexicon: DataFrame, taxono
     steps = math.floor(t / (1 - t) + 1e-9)
     a, b = left.toDF("l").dropna().distinct(), right.toDF("r").dropna().distinct()
     first = lexicon.select("term", "node").dropna().groupBy("term").agg(F.min("node").alias("node"))
-    up = ancestors(first, taxonomy, min(steps, max_depth)) if steps else first.select(
+    up = ancestors(first, taxonomy, steps) if steps else first.select(
         "node", F.col("node").alias("ancestor"), F.lit(0).alias("steps")).distinct()
     places = first.join(up, "node").select("term", "ancestor", "steps")
     x = a.join(places, F.col("l") == F.col("term")).select("l", "ancestor", F.col("steps").alias("s_l"))

@@ -11,13 +11,16 @@ _fallback_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession, name: str = "run") -> str:
-    """A new path inside the cluster's shared folder (``spark.checkpoint.dir``).
+    """A new path inside the cluster's shared folder.
 
-    Only a session without that setting, as in tests, gets a local folder.
+    That is ``spark.checkpoint.dir`` or else the context's checkpoint folder.  Only a local session without either, as
+    in tests, gets a temporary folder; on several machines each would see its own part of it, so that is an error.
     """
     global _fallback_dir
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if _fallback_dir is None:
             _fallback_dir = tempfile.mkdtemp(prefix="nearfd-")
         base = _fallback_dir

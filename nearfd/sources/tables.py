@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import materialize
+
 SNIFF_LINES = 32
 
 
@@ -43,7 +45,7 @@ def sniff_csv(spark: SparkSession, path: str, candidates: str = ",;|\t", null: s
 
     The delimiter is the one with the same positive count on most lines.  The
     first line is a header if a column's type differs from the lines below, or if
-    everything is text.
+    everything is text.  The first ``SNIFF_LINES`` lines decide only this dialect.
     """
     lines = [r["value"] for r in spark.read.text(path).head(SNIFF_LINES) if r["value"].strip()]
     if not lines:
@@ -144,11 +146,12 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     partitions before it; only those sizes (one row per partition) are ordered.
     """
     place = F.monotonically_increasing_id()
-    marked = df.withColumn("_p", F.shiftright(place, 33)).withColumn("_i", place.bitwiseAND((1 << 33) - 1))
+    # stored first: a second evaluation could deal the rows differently
+    marked = materialize(df.withColumns({"_p": F.shiftright(place, 33), "_i": place.bitwiseAND((1 << 33) - 1)}), "numbered")
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     starts = marked.groupBy("_p").count().select(
         F.col("_p").alias("_q"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    return (marked.join(F.broadcast(starts), F.col("_p") == F.col("_q"))
+    return (marked.join(starts, F.col("_p") == F.col("_q"))
             .select((F.col("_start") + F.col("_i")).alias(name), *[F.col(f"`{c}`") for c in df.columns]))
 
 

@@ -269,3 +269,22 @@ def test_value_reports(spark, monkeypatch):
     t = spark.createDataFrame([(2, "b"), (10, "a"), (2, "a")], "n int, s string")
     assert [tuple(r) for r in column_values(t, ["n", "s"]).collect()] == [("n", "2"), ("n", "10"), ("s", "a"), ("s", "b")]
     assert [tuple(r) for r in sort_table(t, ["n", "s"], [False, True]).collect()] == [(10, "a"), (2, "a"), (2, "b")]
+
+
+def test_long_lists_equal_short_ones(spark):
+    df = spark.sql("SELECT cast(id AS double) AS d, cast(id AS int) AS i, date_add(date'2020-01-01', cast(id AS int)) AS day, "
+                   "concat('s', id) AS s FROM range(30) UNION ALL SELECT NULL, NULL, NULL, NULL")
+    for column, values in (("d", list(range(5, 1300))), ("i", [x + 0.0 for x in range(5, 1300)]), ("i", [5, 6.0, *range(2000, 3300)]),
+                           ("day", [f"2020-01-{x:02}" for x in range(3, 9)] + [f"{y}-01-01" for y in range(2021, 3400)]),
+                           ("s", [f"s{x}" for x in range(5, 1300)])):
+        for op in ("∈", "∉"):
+            long = Predicate(column, op, values)
+            assert not long.is_plain()
+            assert sorted(long.filter(df).collect(), key=str) == sorted(df.filter(long.condition()).collect(), key=str)
+
+
+def test_wildcard_text_is_no_pattern(spark):
+    df = spark.createDataFrame([("a(b1",), ("a(b2",), ("zz",)], "s string")
+    spec = extend_query(QuerySpec([("s", "prefix", "a(b")]), Rfd({"s": 1.0}, "t", 0.0), df)
+    assert spec.apply(df).count() == 2
+    assert QuerySpec.from_dict({"i": range(0)}).predicates == ()

@@ -257,3 +257,22 @@ def test_run_metrics(spark):
     append_results(runs, path)
     text = [r["value"] for r in spark.read.text(path).collect()]
     assert sum("1,5" in line for line in text) == 2
+
+
+def test_row_ids_after_a_sort_with_many_partitions(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        df = spark.range(300_000).select(F.xxhash64("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("load"))
+        out = with_row_id(df.orderBy("k"), "n")
+        n, ids, low, high = out.agg(F.count("*"), F.countDistinct("n"), F.min("n"), F.max("n")).first()
+        assert (n, ids, low, high) == (300_000, 300_000, 0, 299_999)
+        assert out.join(out.select((F.col("n") + 1).alias("n"), F.col("k").alias("last")), "n").filter("last > k").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+
+
+def test_taxonomy_has_no_depth_limit(spark):
+    chain = spark.range(60).select(F.col("id").cast("string").alias("child"), (F.col("id") + 1).cast("string").alias("parent"))
+    terms = spark.createDataFrame([("x", "0"), ("y", "60")], "term string, node string")
+    pair = spark.createDataFrame([("x", "y")], "left string, right string")
+    assert round(taxonomy_distance(pair, terms, chain).first().distance, 6) == 0.983607
