@@ -99,41 +99,61 @@ def with_neighbours(doc: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.column_stack([x, near, has_before, has_after, np.ones(len(x))])
 
 
-def _layout(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First line and number of lines of each document, and the documents by falling size."""
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.empty(0, np.int64)
-    size = np.diff(np.append(first, len(doc)))
-    order = np.argsort(-size, kind="stable")
-    return first[order], size[order], order
-
-
-def marginals(doc: np.ndarray, emit: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """P(good) of each line, expected numbers of label pairs (2 x 2) and the log partition, by forward-backward.
+@dataclass(frozen=True)
+class Layout:
+    """Lines in the order of their place in a document, documents by falling size: what advances together is one
+    slice.  ``order`` has the line at each position, ``starts[t]`` the position of the first line of place t,
+    ``last`` the position of each document's last line."""
+
+    order: np.ndarray
+    starts: list[int]
+    last: np.ndarray
+
+    @staticmethod
+    def of(doc: np.ndarray) -> Layout:
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.empty(0, np.int64)
+        size = np.diff(np.append(first, len(doc)))
+        place = np.arange(len(doc)) - np.repeat(first, size)
+        rank = np.empty(len(first), np.int64)
+        rank[np.argsort(-size, kind="stable")] = np.arange(len(first))
+        order = np.lexsort((np.repeat(rank, size), place))
+        starts = np.concatenate([[0], np.cumsum(np.bincount(place))]).astype(np.int64)
+        size = np.sort(size)[::-1]
+        return Layout(order, starts.tolist(), starts[size - 1] + np.arange(len(size)))
+
+
+def marginals(doc: np.ndarray, emit: np.ndarray, pair: np.ndarray, weight: np.ndarray | None = None,
+              layout: Layout | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """P(good) of each line, expected numbers of label pairs (2 x 2, each line counted ``weight`` times) and the log
+    partition, by forward-backward.
 
     ``emit`` is the score of "good" against "bad" (0); ``pair[a, b]`` scores label b after label a.  All documents
-    advance together, line by line.
+    advance together, line by line.  Two labels need only the difference of their messages.
     """
-    first, size, _ = _layout(doc)
-    n = len(doc)
-    score = np.stack([np.zeros(n), emit], axis=1)
-    alpha, beta = np.zeros((n, 2)), np.zeros((n, 2))
-    longest = int(size[0]) if len(size) else 0
-    alpha[first] = score[first]
-    for t in range(1, longest):
-        at = first[:np.searchsorted(-size, -t, side="left")] + t
-        step = alpha[at - 1][:, :, None] + pair
-        alpha[at] = np.logaddexp(step[:, 0], step[:, 1]) + score[at]
-    for t in range(longest - 2, -1, -1):
-        at = first[:np.searchsorted(-size, -(t + 1), side="left")] + t
-        step = pair + (score[at + 1] + beta[at + 1])[:, None, :]
-        beta[at] = np.logaddexp(step[:, :, 0], step[:, :, 1])
-    both = alpha + beta
-    norm = np.logaddexp(both[:, 0], both[:, 1])
-    inner = np.ones(n, bool)
-    inner[first] = False
-    at = np.flatnonzero(inner)
-    joint = np.exp(alpha[at - 1][:, :, None] + pair + (score[at] + beta[at])[:, None, :] - norm[at][:, None, None])
-    return np.exp(both[:, 1] - norm), joint.sum(axis=0), float(norm[first].sum())
+    layout = layout or Layout.of(doc)
+    order, starts, n = layout.order, layout.starts, len(doc)
+    score = emit[order]
+    ahead, back = score.copy(), np.zeros(n)
+    (p00, p01), (p10, p11) = pair.tolist()
+    for t in range(1, len(starts) - 1):
+        lo, hi, before = starts[t], starts[t + 1], starts[t - 1]
+        x = ahead[before:before + hi - lo]
+        ahead[lo:hi] += np.logaddexp(p01, x + p11) - np.logaddexp(p00, x + p10)
+    for t in range(len(starts) - 3, -1, -1):
+        lo, hi = starts[t + 1], starts[t + 2]
+        x = score[lo:hi] + back[lo:hi]
+        back[starts[t]:starts[t] + hi - lo] = np.logaddexp(p10, x + p11) - np.logaddexp(p00, x + p01)
+    good = np.empty(n)
+    good[order] = np.exp(-np.logaddexp(0, -(ahead + back)))
+    head = starts[1] if n else 0
+    at = np.arange(head, n)  # lines with a line before them
+    width = np.diff(starts)[:-1]
+    prior = ahead[at - np.repeat(width, np.diff(starts)[1:])]
+    logs = np.stack([np.full(len(at), p00), p01 + score[at] + back[at], p10 + prior, p11 + prior + score[at] + back[at]])
+    share = np.exp(logs - np.logaddexp.reduce(logs, axis=0))
+    joint = (share.sum(axis=1) if weight is None else share @ weight[order][at]).reshape(2, 2)
+    norm = np.logaddexp(p00, prior + p10).sum() + np.logaddexp(0, ahead[layout.last]).sum()
+    return good, joint, float(norm)
 
 
 def fit(doc: np.ndarray, x: np.ndarray, label: np.ndarray, weight: np.ndarray, cfg: LineCrf) -> dict:
@@ -146,21 +166,15 @@ def fit(doc: np.ndarray, x: np.ndarray, label: np.ndarray, weight: np.ndarray, c
     mean[-1], scale[-1] = 0.0, 1.0
     z = (x - mean) / scale
     w, pair = np.zeros(z.shape[1]), np.zeros((2, 2))
-    first, size, _ = _layout(doc)
-    doc_weight = weight[first]
-    # documents of one weight run through the recursion together
-    groups = [np.isin(doc, doc[first[doc_weight == v]]) for v in np.unique(doc_weight)]
+    layout = Layout.of(doc)
+    same = doc[1:] == doc[:-1]
+    true = np.zeros((2, 2))
+    np.add.at(true, (label[:-1][same].astype(int), label[1:][same].astype(int)), weight[1:][same])
     moments = [np.zeros_like(w), np.zeros((2, 2)), np.zeros_like(w), np.zeros((2, 2))]
     for step in range(1, cfg.steps + 1):
-        grad_w, grad_p = -cfg.l2 * len(z) * w, -cfg.l2 * len(z) * pair
-        for g in groups:
-            v, y = weight[g][0], label[g]
-            p, joint, _ = marginals(doc[g], z[g] @ w, pair)
-            grad_w = grad_w + v * (z[g].T @ (y - p))
-            same = doc[g][1:] == doc[g][:-1]
-            true = np.zeros((2, 2))
-            np.add.at(true, (y[:-1][same].astype(int), y[1:][same].astype(int)), 1)
-            grad_p = grad_p + v * (true - joint)
+        p, joint, _ = marginals(doc, z @ w, pair, weight, layout)
+        grad_w = z.T @ (weight * (label - p)) - cfg.l2 * len(z) * w
+        grad_p = true - joint - cfg.l2 * len(z) * pair
         for i, (value, grad) in enumerate(((w, grad_w / len(z)), (pair, grad_p / len(z)))):
             moments[i] = 0.9 * moments[i] + 0.1 * grad
             moments[i + 2] = 0.999 * moments[i + 2] + 0.001 * grad * grad
