@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfd import (
-    QuerySpec, Rfd, bench_summary, column_values, discover, discover_all, distance_medians, extend_query, extent_pct,
-    filter_rfds, format_islands, format_rfd, is_consecutive, mark_rows, materialize, pair_distances, rank_rfds,
+    QuerySpec, Rfd, append_results, bench_summary, column_values, discover, discover_all, distance_medians, extend_query, extent_pct,
+    filter_rfds, format_islands, format_rfd, is_consecutive, mark_rows, make_rfds, materialize, name_rhs, pair_distances,
+    parse_messages, rank_rfds,
     read_rfds, read_table, relax_best, relax_columns, relax_counts, relax_rows, rfd_edges, rfd_extent, rfd_holds,
     rfd_intervals, rfd_points, rfd_single, rfd_violations, rfds_from_wide, rfds_to_wide, shared_dir, side_combinations,
     similar_values, similarity_join, skyline, sniff_csv, sort_table, split_sides, stream_project, stream_source,
@@ -518,6 +519,61 @@ def q_bench_summary(spark, d):
     return s.withColumn("value", F.round("value", 6))
 
 
+def q_csv_blanks(spark, d):
+    path = shared_dir(spark, "blanks-csv")
+    table(spark, d, "customer").select(F.concat_ws(" ; ", "c_custkey", "c_mktsegment")).write.text(path)
+    return read_table(spark, path, sep=";", header=False, schema="c_custkey bigint, c_mktsegment string", skip_blanks=True)
+
+
+def q_append_results(spark, d):
+    runs = table(spark, d, "events").groupBy("event_type").agg((F.count("*") / 2).alias("half"))
+    path = shared_dir(spark, "runs-csv")
+    append_results(runs, path)
+    append_results(runs, path)
+    return spark.read.option("sep", ";").option("header", True).csv(path).select("event_type", "half")
+
+
+def q_name_rhs(spark, d):
+    rows = rfds_to_wide(order_rfds(spark, d).filter("rhs = 'status'"), ORDERS)
+    frame = rows.select(F.col("status").alias("RHS"), *[c for c in ORDERS if c != "status"])
+    return wide(rfds_from_wide(name_rhs(frame, ORDERS)), ORDERS)
+
+
+def q_rounded(spark, d):
+    return wide(rfds_from_wide(rfds_to_wide(order_rfds(spark, d), ORDERS), digits=2), ORDERS)
+
+
+def q_typed(spark, d):
+    df = table(spark, d, "part")
+    spec = QuerySpec.from_strings(df, [("p_size", "∈", "[3, 14, 15]"), ("p_retailprice", "<", "1500.5")])
+    return spec.apply(df).select("p_partkey")
+
+
+def q_messages(spark, d):
+    raw = table(spark, d, "events").select(F.to_json(F.struct(
+        F.concat(F.col("event_type"), F.lit("\n"), F.col("event_id").cast("string")).alias("text"),
+        F.col("event_id").cast("string").alias("_msgid"), F.col("value").alias("sentiment_score"))).alias("value"))
+    return parse_messages(raw).select("text", F.col("_msgid").alias("msgid"), "sentiment_score")
+
+
+def q_custom_algorithm(spark, d):
+    """The trivial search: the largest distances hold for every pair."""
+    left = ["order_year", "avg_price"]
+
+    def widest(frame: DataFrame) -> DataFrame:
+        top = frame.agg(F.max("RHS").alias("rhs_threshold"), *[F.max(c).alias(c) for c in left])
+        lhs = F.map_from_arrays(F.array(*map(F.lit, left)), F.array(*left))
+        return make_rfds(top.select(F.lit("n_orders").alias("rhs"), "rhs_threshold", lhs.alias("lhs")))
+
+    pairs = pair_distances(order_profile(spark, d), ["n_orders", *left])
+    return wide(discover(pairs, "n_orders", left, algorithm=widest), ["n_orders", *left])
+
+
+def q_given_metrics(spark, d):
+    return pair_distances(table(spark, d, "nation"), ["n_name", "n_regionkey"], metrics={
+        "n_name": "edit", "n_regionkey": lambda a, b: F.abs(a - b) * 2.0})
+
+
 # ------------------------------------------------------------------ streams
 
 def event_stream(spark, d) -> DataFrame:
@@ -621,6 +677,14 @@ def queries() -> dict[str, Query]:
         "taxonomy_distance": q_taxonomy,
         "taxonomy_extension": q_taxonomy_extension,
         "bench_summary": q_bench_summary,
+        "csv_blanks": q_csv_blanks,
+        "append_results": q_append_results,
+        "name_rhs": q_name_rhs,
+        "rfds_rounded": q_rounded,
+        "pred_typed_text": q_typed,
+        "parse_messages": q_messages,
+        "discover_custom": q_custom_algorithm,
+        "pair_distances_given": q_given_metrics,
         "stream_topk": q_stream_topk,
         "batch_topk": q_batch_topk,
         "stream_project": q_stream_project,
@@ -954,6 +1018,19 @@ SELECT unnest(ids) AS s_suppkey FROM best""",
             "FROM customer",
         "taxonomy_extension": "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE "
             "c_mktsegment = 'MACHINERY' AND n_regionkey = (SELECT n_regionkey FROM nation WHERE n_name = 'NATION_3')",
+        "csv_blanks": "SELECT c_custkey, c_mktsegment FROM customer",
+        "append_results": "SELECT event_type, replace((count(*) / 2)::VARCHAR, '.', ',') AS half FROM events, "
+            "(VALUES (1), (2)) AS runs(run) GROUP BY event_type, run",
+        "name_rhs": f"{order_rfds_sql} SELECT {wide_orders} FROM rfds WHERE rhs = 'status'",
+        "rfds_rounded": f"{order_rfds_sql} SELECT {wide_orders} FROM rfds",
+        "pred_typed_text": "SELECT p_partkey FROM part WHERE p_size IN (3, 14, 15) AND p_retailprice < 1500.5",
+        "parse_messages": "SELECT event_type || '\\n' || event_id AS text, event_id::VARCHAR AS msgid, "
+            "value AS sentiment_score FROM events",
+        "discover_custom": "WITH " + sql_vectors(order_src, {c: order_attrs[c] for c in ("n_orders", "order_year", "avg_price")})
+            + " SELECT 'n_orders' AS rhs, max(n_orders) AS t_n_orders, max(order_year) AS t_order_year, "
+            "max(avg_price) AS t_avg_price FROM vec",
+        "pair_distances_given": "WITH " + sql_vectors("SELECT * FROM nation", {"n_name": "edit", "n_regionkey": "abs"})
+            + " SELECT n_name, n_regionkey * 2 AS n_regionkey FROM vec",
         "bench_summary": "SELECT event_type, round(avg(value), 6) AS value FROM events GROUP BY event_type",
         "stream_topk": f"SELECT * FROM ({topk}) WHERE rank <= 5 AND start_s + 600 <= (SELECT epoch(max(ts)) FROM events)",
         "batch_topk": f"SELECT * FROM ({topk}) WHERE rank <= 5",

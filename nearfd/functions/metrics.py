@@ -1,7 +1,7 @@
 """Attribute distances as Spark column expressions.
 
 Null rule of every metric: two nulls are at distance 0, one null is at
-distance infinity from everything else.
+distance infinity from everything else.  NaN counts as null.
 """
 
 from __future__ import annotations
@@ -56,9 +56,14 @@ def _raw(a: Column, b: Column, kind: Metric) -> Column:
 
 def distance(a: Column, b: Column, kind: Metric = "abs", decimals: int | None = None) -> Column:
     d = _raw(a, b, kind)
+    if kind == "abs":  # NaN minus anything is NaN, and so is infinity minus itself
+        d = F.nanvl(d, F.when(a == b, F.lit(0.0)).otherwise(F.lit(INF)))
     if decimals is not None:
         d = round_half(d, decimals)
-    return F.coalesce(d, F.when(a.isNull() & b.isNull(), F.lit(0.0)).otherwise(F.lit(INF)))
+    def empty(c: Column) -> Column:
+        return c.isNull() | F.isnan(c.cast("double")) if kind == "abs" else c.isNull()
+
+    return F.coalesce(d, F.when(empty(a) & empty(b), F.lit(0.0)).otherwise(F.lit(INF)))
 
 
 def within(a: Column, b: Column, t: float, kind: Metric = "abs", decimals: int = 6) -> Column:

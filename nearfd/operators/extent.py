@@ -14,9 +14,11 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.metrics import Metric
 from ..session import materialize
+from ..sources.tables import with_row_id
 from .check import node_members, rfd_edges, rfd_nodes
 from .rfd import Rfd
 
@@ -162,8 +164,11 @@ def max_clique(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def rfd_extent(df: DataFrame, rfd: Rfd, id_col: str,
                metrics: Mapping[str, Metric] | None = None) -> DataFrame:
-    """Ids of the rows in the largest set that pairwise satisfies ``rfd``."""
-    nodes = materialize(rfd_nodes(df, rfd, id_col), "tuples")
+    """Ids of the rows in the largest set that pairwise satisfies ``rfd``; ids may have any type with an order."""
+    nodes = rfd_nodes(df, rfd, id_col)
+    if not isinstance(df.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        nodes = with_row_id(nodes.orderBy("node"), "_place").withColumn("node", F.col("_place")).drop("_place")
+    nodes = materialize(nodes, "tuples")
     best = max_clique(nodes, rfd_edges(df, rfd, id_col, metrics, nodes))
     chosen = best.select(F.explode("clique").alias("node"))
     members = node_members(df, nodes, rfd, id_col)

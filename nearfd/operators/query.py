@@ -145,6 +145,8 @@ class QuerySpec:
             if _empty(v):
                 continue
             if isinstance(v, range):
+                if not v:
+                    continue
                 out.append((col, "between", (v[0], v[-1])))
             elif isinstance(v, Mapping):
                 out.append((col, "between", (v["min"], v["max"])))

@@ -112,18 +112,20 @@ def read_table(
 
 
 def _two_headers(spark, path, sep, null, schema) -> DataFrame:
-    lines = [r["value"] for r in spark.read.text(path).head(2)]
-    names = [f"{a}|{b}" for a, b in zip(*(_cells(line, sep) for line in lines), strict=True)]
-    raw = (spark.read.option("sep", sep).option("nullValue", null)
-           .schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path))
-    heads = [_cells(line, sep) for line in lines]
-    same = F.lit(False)
-    for h in heads:
-        line = F.lit(True)
-        for n, v in zip(names, h, strict=True):
-            line = line & F.col(f"`{n}`").eqNullSafe(F.lit(v if v not in ("", null) else None))
-        same = same | line
-    body = raw.filter(~same)
+    """Cells below the first two lines of each file; equal lines further down are data."""
+    heads = [_cells(r["value"], sep) for r in spark.read.text(path).head(2)]
+    names = [f"{a}|{b}" for a, b in zip(*heads, strict=True)]
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"))
+    lines = materialize(lines, "lines")  # stored first: a second evaluation could number the lines differently
+    # each task cuts its part to two lines per file before the shuffle
+    first = Window.partitionBy("file").orderBy("start", "place")
+    top = (lines.select("file", "start", "place").withColumn("n", F.row_number().over(first))
+           .filter("n <= 2").select("place"))
+    body = lines.join(top, "place", "left_anti").filter(F.trim("value") != "")
+    ddl = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    body = body.select(F.from_csv("value", ddl, {"sep": sep, "nullValue": null}).alias("r")).select("r.*")
     if schema is not None:
         wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
         return body.select(*[F.col(f"`{n}`").cast(f.dataType).alias(n)

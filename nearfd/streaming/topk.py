@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,6 +69,7 @@ def stream_project(messages: DataFrame, columns: dict[str, Column], keep: Column
 
 def tweet_fields() -> dict[str, Column]:
     """Projection of a scored message; list columns become counts."""
+    # fixed values: names of the projected fields
     return {
         "created_at": F.col("tweet.created_at"),
         "text": F.col("tweet.text"),
@@ -84,22 +87,37 @@ def tweet_fields() -> dict[str, Column]:
 WINDOWS_PER_GROUP = 64
 
 
-def _best(frames: list[pd.DataFrame], by: list[str], k: int) -> pd.DataFrame:
-    """The k largest rows of each window."""
-    pdf = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]
-    return pdf.sort_values(by, ascending=False, kind="stable").groupby("_end_ms", sort=False).head(k)
+def _places(table: pa.Table) -> np.ndarray:
+    """Position of each row inside its window, from 0; rows lie window by window."""
+    ends = table["_end_ms"].to_numpy()
+    if not len(ends):
+        return np.zeros(0, dtype=np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
+    return np.arange(len(ends)) - np.repeat(starts, np.diff(np.append(starts, len(ends))))
 
 
-def _pack(pdf: pd.DataFrame) -> bytes:
-    table = pa.Table.from_pandas(pdf, preserve_index=False)
+def _best(tables: list[pa.Table], by: list[str], k: int) -> pa.Table:
+    """The k largest rows of each window in the order of Spark's ``desc``: NaN first, null last."""
+    table = pa.concat_tables(tables)
+    order = pa.table({"_end_ms": table["_end_ms"]})
+    for i, c in enumerate(by):
+        if pa.types.is_floating(table.schema.field(c).type):
+            order = order.append_column(f"nan{i}", pc.cast(pc.is_nan(table[c]), pa.int8()))
+        order = order.append_column(f"key{i}", table[c])
+    sorting = [(c, "ascending" if c == "_end_ms" else "descending") for c in order.column_names]
+    table = table.take(pc.sort_indices(order, sort_keys=sorting, null_placement="at_end"))
+    return table.filter(pa.array(_places(table) < k))
+
+
+def _pack(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
-def _unpack(data: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(data).read_all().to_pandas()
+def _unpack(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
 
 
 def stream_topk(sdf: DataFrame, ts: str, keys: list[str], k: int = 5, window: str = "10 minutes",
@@ -126,42 +144,56 @@ def stream_topk(sdf: DataFrame, ts: str, keys: list[str], k: int = 5, window: st
     rows = rows.select(span.getField("start").alias("window_start"), span.getField("end").alias("window_end"),
                        end.alias("_end_ms"), F.floor(start / ((end - start) * WINDOWS_PER_GROUP)).alias("_group"),
                        *[F.col(f"`{c}`") for c in cols])
-    schema = rows.schema
+    names = ["window_start", "window_end", *cols]
+    # rows travel and are held as Arrow bytes, so no value changes its type; the end of the newest window is
+    # the event time of such a packet, which drops it only when all of its windows are closed
+    packet = T.StructType([T.StructField("_group", T.LongType()), T.StructField("rows", T.BinaryType()),
+                           T.StructField("seen", rows.schema["window_end"].dataType, True, rows.schema[ts].metadata)])
 
-    def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
-        for pdf in batches:
-            best = _best([pdf] if best is None else [best, pdf], keys, k)
-        if best is not None:
-            yield best
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            best = _best([new] if best is None else [best, new], keys, k)
+        for group in [] if best is None else pc.unique(best["_group"]).to_pylist():
+            part = best.filter(pc.equal(best["_group"], group))
+            seen = pa.array([pc.max(part["window_end"]).as_py()], part.schema.field("window_end").type)
+            yield pa.record_batch([pa.array([group], pa.int64()), pa.array([_pack(part)], pa.binary()), seen],
+                                  names=packet.names)
 
     def per_group(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         """Open windows of one group: k rows each; closed ones are emitted."""
         held = _unpack(state.get[0]) if state.exists else None
         now = state.getCurrentWatermarkMs()
         if not state.hasTimedOut:
-            new = pd.concat(list(batches), ignore_index=True)
-            new = new[new["_end_ms"] > now]  # later rows find their window closed
-            if len(new):
-                held = _best([new] if held is None else [held, new], keys, k)
+            new = [_unpack(data) for pdf in batches for data in pdf["rows"]]
+            new = [t.filter(pc.greater(t["_end_ms"], now)) for t in new]  # later rows find their window closed
+            new = [t for t in new if len(t)]
+            if new:
+                held = _best(new if held is None else [held, *new], keys, k)
         if held is None:
             return
-        closed = held[held["_end_ms"] <= now]
-        held = held[held["_end_ms"] > now]
+        closed = held.filter(pc.less_equal(held["_end_ms"], now))
+        held = held.filter(pc.greater(held["_end_ms"], now))
         if len(held):
             state.update((_pack(held),))
-            state.setTimeoutTimestamp(int(held["_end_ms"].min()))
+            state.setTimeoutTimestamp(pc.min(held["_end_ms"]).as_py())
         elif state.exists:
             state.remove()
         if len(closed):
-            rank = closed.groupby("_end_ms", sort=False).cumcount() + 1
-            yield closed.drop(columns=["_end_ms", "_group"]).assign(rank=rank)
-
-    out = T.StructType([*[f for f in schema if f.name not in ("_end_ms", "_group")],
-                        T.StructField("rank", T.IntegerType())])
-    return (rows.mapInPandas(per_task, schema=schema).groupBy("_group")
-            .applyInPandasWithState(per_group, out, T.StructType([T.StructField("rows", T.BinaryType())]),
-                                    "append", GroupStateTimeout.EventTimeTimeout))
+            yield pd.DataFrame({"rows": [_pack(closed)]})
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                table = _unpack(data)
+                rank = pa.array(_places(table) + 1, pa.int32())
+                yield from table.select(names).append_column("rank", rank).to_batches()
+
+    out = T.StructType([*[rows.schema[c] for c in names], T.StructField("rank", T.IntegerType())])
+    return (rows.mapInArrow(per_task, schema=packet).groupBy("_group")
+            .applyInPandasWithState(per_group, "rows binary", "rows binary", "append", GroupStateTimeout.EventTimeTimeout)
+            .mapInArrow(opened, schema=out))
 
 
 def _batch_topk(df: DataFrame, ts: str, keys: list[str], k: int, window: str) -> DataFrame:

@@ -27,6 +27,24 @@ def test_topk_stream_equals_batch(spark, tmp_path):
     assert all("\\n" in r[3] for r in got)
 
 
+def test_topk_stream_keeps_types(spark, tmp_path):
+    """Nullable longs above 2^53, decimals, NaN and nulls come out as in the batch form."""
+    schema = "ts timestamp, v double, big long, d decimal(30,5)"
+    rows = [(m, v, big, d) for m, v, big, d in [
+        (1, 1.0, 9007199254741009, "1.00001"), (2, float("nan"), None, None), (3, None, 9007199254741011, "2.5"),
+        (4, 1.0, 9007199254741010, "12345678901234567890.12345"), (30, 2.0, 1, None), (90, 0.0, 1, None)]]
+    df = spark.createDataFrame(rows, "m int, v double, big long, d string").selectExpr(
+        "timestamp_seconds(m * 60) as ts", "v", "big", "cast(d as decimal(30,5)) as d")
+    src = str(tmp_path / "typed")
+    df.coalesce(1).write.parquet(src)
+    sdf = stream_source(spark, src, schema, "parquet")
+    out = shared_dir(spark, "typed")
+    write_stream(stream_topk(sdf, "ts", ["v", "big"], k=3, watermark="0 seconds"), out, shared_dir(spark, "check")).awaitTermination(120)
+    got = {str(tuple(r)) for r in spark.read.parquet(out).select("window_start", "rank", "v", "big", "d").collect()}
+    batch = stream_topk(df, "ts", ["v", "big"], k=3).filter("window_end <= timestamp_seconds(5400)")
+    assert got == {str(tuple(r)) for r in batch.select("window_start", "rank", "v", "big", "d").collect()} and len(got) == 4
+
+
 def test_batch_topk_cuts_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id", "timestamp_seconds(id * 7) as ts", "cast(id % 91 as double) as v")
     top = stream_topk(df, "ts", ["v", "id"], k=2)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import brute
 from nearfd import (
     QuerySpec, Rfd, ancestors, append_results, bench_results, bench_summary, columns_with_role, dominates, filter_rfds,
-    format_rfd, make_rfds, max_clique, name_rhs, rank_rfds, read_rfds, read_table, rfd_edges, rfd_extent, rfd_holds,
+    format_rfd, make_rfds, max_clique, name_rhs, pair_distances, rank_rfds, read_rfds, read_table, rfd_edges, rfd_extent, rfd_holds,
     rfd_nodes, rfd_threshold, rfd_violations, rfds_from_wide, rfds_to_wide, shared_dir, sniff_csv, table_profile,
     taxonomy_distance, union_wide, with_row_id, write_rfds, write_table)
 
@@ -117,6 +117,9 @@ def test_csv_reading(spark, tmp_path):
     assert columns_with_role(df, "RHS").columns == ["age|RHS"]
     df = read_table(spark, str(f), sep=";", header_rows=2, schema="a int, b double")
     assert {r["age|RHS"] for r in df.collect()} == {5, 3}
+    f.write_text("a;b\nx;y\nx;y\na;b\n\nq;?\n")  # lines equal to a header further down are data
+    df = read_table(spark, str(f), sep=";", header_rows=2)
+    assert sorted((r[0], r[1]) for r in df.collect() if r[1]) == [("a", "b"), ("x", "y")] and df.count() == 3
 
 
 def test_csv_round_trip(spark):
@@ -276,3 +279,16 @@ def test_taxonomy_has_no_depth_limit(spark):
     terms = spark.createDataFrame([("x", "0"), ("y", "60")], "term string, node string")
     pair = spark.createDataFrame([("x", "y")], "left string, right string")
     assert round(taxonomy_distance(pair, terms, chain).first().distance, 6) == 0.983607
+
+
+def test_extent_of_text_ids(spark):
+    rows = [("r10", 1, 1), ("r2", 1, 1), ("x", 1, 9), ("y", 2, 2)]
+    df = spark.createDataFrame(rows, "id string, a int, b int")
+    assert {r["id"] for r in rfd_extent(df, Rfd({"a": 0.0}, "b", 0.0), "id").collect()} == {"r10", "r2"}  # within all thresholds
+
+
+def test_not_a_number_counts_as_null(spark):
+    df = spark.createDataFrame([(1, float("nan")), (2, None), (3, 1.0), (4, float("nan"))], "id int, x double")
+    got = {(r["id_a"], r["id_b"]): r["x"] for r in pair_distances(df, ["x"], id_col="id", distinct=False).collect()}
+    inf = float("inf")
+    assert got == {(1, 2): 0.0, (1, 3): inf, (1, 4): 0.0, (2, 3): inf, (2, 4): 0.0, (3, 4): inf}
