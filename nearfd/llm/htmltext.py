@@ -3,8 +3,10 @@
 Every page is parsed to a small element tree.  An element's density is its characters per tag, adjusted for links:
 ``C / T * log_b((C / LC) * (T / LT))`` with ``b = ln(C * LC / (C - LC) + C * LC_body / C_body + e)``, where C and T
 count characters and tags, LC and LT those in links (0 counts as 1); inline markup other than links is no tag.  The element with the largest sum of its
-children's densities is the article; the smallest density on the path from it to the body is the threshold for
-further blocks beside that path.  Elements that by tag, role or class are menus, headers, footers, sidebars,
+children's densities leads to the article: if it is a list, a table or another part, the article, main, div or cell
+around it is taken, and all of that container's text is kept in page order.  The smallest density on the path to the
+body is the threshold for further blocks beside the container; where no article or main is marked up, running text
+beside it is kept whatever its density.  Elements that by tag, role or class are menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles or reader comments hold no text and are left out before.
 """
 
@@ -31,7 +33,8 @@ ENDS = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr":
         "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
          "option": {"select", "datalist"}}
-BESIDE = 40  # characters of a block beside the article's path
+# tags that hold running text; beside the article they are kept unless most of their text is links
+FLOW = {"p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "table", "figure"}
 LEFT_OUT = {"nav", "aside", "footer", "form", "menu", "select", "button", "dialog", "head", "audio", "video", "canvas",
             "datalist", "fieldset", "label"} | RAW
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar",
@@ -171,8 +174,8 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
-def _blocks(node: Node, out: list[str]) -> None:
-    """Texts of the blocks of a subtree in page order."""
+def _blocks(nodes: list, out: list[str]) -> None:
+    """Texts of the blocks of subtrees in page order."""
     line: list[str] = []
 
     def flush() -> None:
@@ -181,7 +184,7 @@ def _blocks(node: Node, out: list[str]) -> None:
             out.append(text)
         line.clear()
 
-    stack: list = [node]
+    stack: list = nodes[::-1]
     while stack:
         x = stack.pop()
         if isinstance(x, str):
@@ -216,25 +219,73 @@ def main_text(page: str | None) -> str:
     while path[-1] is not body and path[-1].parent is not None:
         path.append(path[-1].parent)
     threshold = min(x.density for x in path)
-    chosen, on_path = {id(best)}, {id(x) for x in path}
-    for node in path[1:]:
+    at = _container(path)
+    marked = path[at].tag in ("article", "main")
+    chosen, on_path = {id(path[at])}, {id(x) for x in path[at:]}
+    for node in path[at + 1:]:
         for k in node.kids:
-            if (isinstance(k, Node) and id(k) not in on_path and k.tag in BLOCK and k.density >= threshold
-                    and k.link_chars * 3 <= k.chars and k.chars >= BESIDE):
+            if id(k) in on_path:
+                continue
+            if isinstance(k, Node) and (k.tag in ("h1", "h2") or k.tag in BLOCK and k.density >= threshold and k.link_chars * 3 <= k.chars):
                 chosen.add(id(k))
-            elif isinstance(k, Node) and id(k) not in on_path and k.tag in ("h1", "h2") and best.chars:
+            elif not marked and _flows(k):
                 chosen.add(id(k))
     out: list[str] = []
+    line: list = []  # strings and inline elements beside the container, up to the next block
+
+    def flush() -> None:
+        if line:
+            _blocks(line, out)
+            line.clear()
+
     stack = [body]
     while stack:
         x = stack.pop()
+        if id(x) in chosen and not (isinstance(x, Node) and x.tag in BLOCK or x is path[at]):
+            line.append(x)
+            continue
+        flush()
         if id(x) in chosen:
-            _blocks(x, out)
+            _blocks([x], out)
         elif id(x) in on_path:
-            stack += [k for k in reversed(x.kids) if isinstance(k, Node)]
+            stack += reversed(x.kids)
+    flush()
     return "\n".join(out)
 
 
+def _flows(x: Node | str) -> bool:
+    """Running text: a string, an inline element or a text block, if no more than half of it is links."""
+    if isinstance(x, str):
+        return bool(x.strip())
+    return (x.tag in FLOW or x.tag not in BLOCK) and x.chars > 0 and x.link_chars * 2 <= x.chars
+
+
+def _container(path: list[Node]) -> int:
+    """Index in ``path`` (best element first, body last) of the element whose text is all kept.
+
+    The outermost article, else the main element; else the nearest div, cell with blocks or body, and from there on
+    every div around it that holds running text of its own and is not rich in links.
+    """
+    for tag in ("article", "main"):
+        found = [i for i, x in enumerate(path) if x.tag == tag]
+        if found:
+            return found[-1]
+
+    def holds(x: Node) -> bool:
+        return x.tag in ("div", "center", "body", "#page") or x.tag in ("td", "th") and any(
+            isinstance(k, Node) and k.tag in BLOCK for k in x.kids)
+
+    at = next((i for i, x in enumerate(path) if holds(x)), len(path) - 1)
+    for i in range(at + 1, len(path) - 1):
+        x = path[i]
+        others = [k for k in x.kids if k is not path[i - 1] and (k.strip() if isinstance(k, str) else k.chars)]
+        if x.tag == "div" and x.link_chars * 3 <= x.chars and any(_flows(k) for k in others):
+            at = i
+        elif others:
+            break
+    return at
+
+
 def _within(node: Node, top: Node) -> bool:
     while node is not None:
         if node is top:

@@ -417,6 +417,35 @@ def test_op10_whole_articles(spark, data):
         assert r.text == "\n".join(x for x in blocks if x) and r.n_chars == len(r.text)
 
 
+def _long(n):
+    return ("word " * n)[:n].strip().ljust(n, "x")
+
+
+def test_main_text_keeps_what_is_beside_a_long_list():
+    items = [_long(60) for _ in range(20)]
+    blocks = [_long(30), *[_long(100)] * 4, "A short h3", *items, "See also", "The end."]
+    tags = ["h1", *["p"] * 4, "h3", *["li"] * 20, "h4", "p"]
+    inner = "".join(("<ul>" if i == 6 else "") + f"<{t}>{b}</{t}>" + ("</ul>" if i == 25 else "") for i, (t, b) in enumerate(zip(tags, blocks, strict=True)))
+    want = "\n".join(blocks)
+    for outer in ("<article>%s</article>", "<main>%s</main>", "<div>%s</div>", "<article><section>%s</section></article>", "%s"):
+        assert main_text(f"<html><body>{outer % inner}</body></html>") == want, outer
+    table = inner.replace("<ul>", "<table><tr><td>").replace("</ul>", "</td></tr></table>").replace("<li>", "<div>").replace("</li>", "</div>")
+    assert main_text(f"<body><article>{table}</article></body>") == want
+    boxed = inner.replace("<ul>", "<div><ul>").replace("</ul>", "</ul></div>")
+    assert main_text(f"<body><div>{boxed}</div></body>") == want
+    nested = f"<section><h2>One</h2>{inner}</section><section><h2>Two</h2><p>Brief.</p></section>"
+    assert main_text(f"<body><main>{nested}</main></body>") == f"One\n{want}\nTwo\nBrief."
+
+
+def test_main_text_keeps_strings_inline_and_links():
+    items = "".join(f"<li>{_long(60)}</li>" for _ in range(20))
+    listed = "\n".join([_long(60)] * 20)
+    page = f"<body><div>Bare <b>bold</b> text<ul>{items}</ul><p><a href=1>linked words only</a></p>tail</div></body>"
+    assert main_text(page) == f"Bare bold text\n{listed}\nlinked words only\ntail"
+    page = f"<body>Bare <i>text</i><div><ul>{items}</ul></div><p>Short.</p><ul><li><a href=1>menu entry</a></ul></body>"
+    assert main_text(page) == f"Bare text\n{listed}\nShort."
+
+
 # ------------------------------------------------------------- pipeline
 
 def test_pipeline_stages(spark, data, docs):
