@@ -44,15 +44,22 @@ NAMES = re.compile(
     r"side|aside|footer|foot|masthead|header|topbar|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|"
     r"login|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|reply|respond|widget|toolbar|"
     r"pagination|pager|skip|search|copyright|legal|disclaimer)(?:$|[-_\s\d])", re.I)
+STATES = re.compile(r"(?:^|[-_])(?:has|no|not|with|without)[-_]", re.I)  # such a token tells of a state
+HEADERS = re.compile(r"(?:^|[-_])header(?:$|[-_\d])", re.I)
+TITLES = re.compile(r"^(?:post|entry|article|story)[-_]+header(?:$|[-_\d])", re.I)
+COMMENTS = re.compile(r"^(?:comments?|commentlist|disqus|replies|respond)(?:[-_](?:area|list|section|thread|wrap|wrapper|container))?$", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    """``named``: 1 if class or id name a part that is left out, 2 for reader comments."""
+
+    __slots__ = ("tag", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total", "named")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent, self.kids = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.named = 0
 
 
 def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
@@ -64,8 +71,6 @@ def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
         name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
         if name == "role" and value.strip().lower() in ROLES:
             return True
-        if name in ("class", "id") and NAMES.search(value):
-            return True
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -73,6 +78,63 @@ def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def _named(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether a token of class or id names a part that is left out: 0, 1, or 2 for reader comments.
+
+    Tokens that tell of a state (has-sidebar, no-comments) name nothing; headers of an article are kept like
+    ``<header>`` in it.
+    """
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return 0
+    out = 0
+    for m in ATTRIBUTE.finditer(attributes):
+        if m.group(1).lower() not in ("class", "id"):
+            continue
+        for token in (m.group(2) or m.group(3) or m.group(4) or "").split():
+            if not NAMES.search(token) or STATES.search(token):
+                continue
+            if HEADERS.search(token) and (in_article or TITLES.search(token)) and not NAMES.search(HEADERS.sub("-", token)):
+                continue
+            out = max(out, 2 if COMMENTS.search(token) else 1)
+    return out
+
+
+def _prune(root: Node) -> None:
+    """Take out the elements that class or id name, but not wrappers of the page's text.
+
+    A wrapper holds the main element or the page's longest article; without either, more than half of the page's
+    text and is no list of comments.
+    """
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [k for k in node.kids if isinstance(k, Node)]
+    if not any(x.named for x in order):
+        return
+    size: dict[int, int] = {}
+    for x in reversed(order):
+        size[id(x)] = sum(len("".join(k.split())) if isinstance(k, str) else size[id(k)] for k in x.kids)
+
+    def commented(x: Node) -> bool:
+        while x is not None:
+            if x.named == 2:
+                return True
+            x = x.parent
+        return False
+
+    marked = [x for x in order if x.tag in ("main", "article") and size[id(x)] and not commented(x)]
+    text = max(marked, key=lambda x: (x.tag == "main", size[id(x)]), default=None)
+    wrappers = set()
+    while text is not None:
+        wrappers.add(id(text))
+        text = text.parent
+    for x in order:
+        whole = id(x) in wrappers if marked else x.named == 1 and size[id(x)] * 2 > size[id(root)]
+        if x.named and not whole:
+            x.parent.kids = [k for k in x.parent.kids if k is not x]
+
+
 def parse(page: str) -> Node:
     """Element tree; text is kept as strings among an element's ``kids``."""
     root = Node("#page", None)
@@ -138,8 +200,11 @@ def parse(page: str) -> Node:
         elif skip is None and _left_out(tag, attributes, article > 0):
             node.parent.kids.pop()
             skip = node
+        elif skip is None:
+            node.named = _named(tag, attributes, article > 0)
         if tag == "article":
             article += 1
+    _prune(root)
     return root
 
 

@@ -446,6 +446,21 @@ def test_main_text_keeps_strings_inline_and_links():
     assert main_text(page) == f"Bare text\n{listed}\nShort."
 
 
+def test_main_text_inside_named_wrappers():
+    inner = "<h1>Title</h1><p>Some words of text here.</p><p>More words of it.</p>"
+    want = "Title\nSome words of text here.\nMore words of it."
+    side = "<div class=sidebar><p>Words of a sidebar.</p></div><div id=comments><p>I like it, and here is why I do so, at great length, once more.</p></div>"
+    for name in ("layout has-sidebar", "no-comments content", "page with-share-bar", "side-by-side", "legal-content", "search related"):
+        assert main_text(f"<body><div class='{name}'><article>{inner}</article></div>{side}</body>") == want, name
+        assert main_text(f"<body><div class='{name}'><main><div>{inner}</div></main>{side}</div></body>") == want, name
+    assert main_text(f"<body><div class='notice-board'>{inner}</div><div class=sidebar>Words.</div></body>") == want
+    head = inner.replace("<h1>Title</h1>", "<div class='post-header'><h1>Title</h1></div>")
+    assert main_text(f"<body><article>{head}</article>{side}</body>") == want
+    assert main_text(f"<body><div>{head}</div>{side}</body>") == want
+    assert main_text(f"<body><div class=header>Site</div><article>{head}<div class='share-buttons'>Share this</div></article>"
+                     f"<ul class=comments><li><article>{inner * 3}</article></ul></body>") == want
+
+
 # ------------------------------------------------------------- pipeline
 
 def test_pipeline_stages(spark, data, docs):
