@@ -4,6 +4,11 @@ Two variable-order Markov models, one of accepted and one of rejected URLs, give
 ``p_k = (c(ctx, x) + t(ctx) * p_{k-1}) / (c(ctx) + t(ctx))`` (Witten-Bell: c counts, t kinds of successors), from
 order 0 up to ``order``; contexts that were never seen hand on to the shorter one.  A URL's score is the mean
 logarithm of the ratio per character; the threshold is calibrated on URLs that no model has seen.
+
+Counts are exact.  A character with its context of ``order`` bytes is one number (a gram), so the grams of all URLs are
+a Spark table that grows with them; the counts of shorter contexts are sums of its rows, and a probability joins
+that of the next shorter context.  URLs meet the ratios of their grams in blocks: a block asks for each gram once,
+so a gram that all URLs have is one row per block.
 """
 
 from __future__ import annotations
@@ -14,19 +19,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import materialize
-from .words import mix
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
 class UrlModel:
-    """``slots``: hash slots of a model's counts, which bounds what tasks get (24 MB) whatever the corpus."""
+    """``order``: at most 7, as a gram is a number of 64 bits; ``block``: rows that ask for ratios together."""
 
     order: int = 5
-    slots: int = 1 << 20
+    block: int = 1024
     bins: int = 4096
     span: float = 8.0
 
@@ -52,69 +56,86 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column,
     return rule, verdict
 
 
-def _grams(urls: list, order: int, slots: int):
-    """(url, slot of context, slot of context with character) arrays, one row per order 0..``order``.
+def _grams(urls: list, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(url, gram) of every character; a gram is the ``order`` bytes before it and its own, which is the lowest byte.
 
     A URL is its lower-case bytes between ``order`` start marks and one end mark.
     """
     raw = [(u or "").lower().encode() for u in urls]
-    text = np.frombuffer(b"".join(b"\x02" * order + u + b"\x03" for u in raw), np.uint8).astype(np.uint64)
-    sizes = np.array([len(u) + 1 for u in raw])
+    text = np.frombuffer(b"".join(b"\x02" * order + u + b"\x03" for u in raw), np.uint8).astype(np.int64)
+    sizes = np.array([len(u) + 1 for u in raw], np.int64)
     of = np.repeat(np.arange(len(raw)), sizes)
     first = np.cumsum(sizes + order) - sizes
     at = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes)
-    hashed, mask = np.zeros(len(at), np.uint64), np.uint64(slots - 1)
-    contexts, grams = [], []
-    for k in range(order + 1):
-        if k:
-            hashed = mix(hashed + text[at - k] + np.uint64(k << 20))
-        contexts.append((mix(hashed ^ np.uint64(0x51ED270B)) & mask).astype(np.int64))
-        grams.append((mix(hashed * np.uint64(0x9E3779B97F4A7C15) + text[at] + np.uint64(1)) & mask).astype(np.int64))
-    return of, contexts, grams
-
-
-def train(urls: DataFrame, cfg: UrlModel) -> dict[str, np.ndarray]:
-    """Counts of one class from all rows of ``url``: arrays of ``slots`` numbers, so their size is fixed."""
-    def count(batches):
-        for batch in batches:
-            _, contexts, grams = _grams(batch.column(0).to_pylist(), cfg.order, cfg.slots)
-            pairs, n = np.unique(np.stack([np.concatenate(contexts), np.concatenate(grams)]), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(n)], names=["ctx", "gram", "n"])
-
-    pairs = urls.select("url").mapInArrow(count, "ctx long, gram long, n long").groupBy("ctx", "gram").agg(F.sum("n").alias("n"))
-    pairs = materialize(pairs, "grams")
-    by_gram = pairs.groupBy(F.col("gram").alias("slot")).agg(F.sum("n").alias("n")).toPandas()  # at most ``slots`` rows
-    by_ctx = pairs.groupBy(F.col("ctx").alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toPandas()
-    out = {k: np.zeros(cfg.slots, np.float32) for k in ("gram", "ctx", "kinds")}
-    out["gram"][by_gram["slot"]] = by_gram["n"]
-    out["ctx"][by_ctx["slot"]] = by_ctx["n"]
-    out["kinds"][by_ctx["slot"]] = by_ctx["kinds"]
-    return out
-
+    gram = np.zeros(len(at), np.int64)
+    for k in range(order, -1, -1):
+        gram = (gram << 8) | text[at - k]
+    return of, gram
 
-def _log_likelihood(model: dict[str, np.ndarray], contexts: list[np.ndarray], grams: list[np.ndarray]) -> np.ndarray:
-    p = np.full(len(grams[0]), 1 / 257)
-    for ctx, gram in zip(contexts, grams, strict=True):
-        seen, kinds = model["ctx"][ctx], model["kinds"][ctx]
-        p = np.where(seen > 0, (np.minimum(model["gram"][gram], seen) + kinds * p) / np.maximum(seen + kinds, 1), p)
-    return np.log(p)
 
-
-def score_urls(df: DataFrame, models, cfg: UrlModel, url_col: str = "url", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` columns and ``score``: mean log ratio per character, positive if the accepted model fits better.
-
-    A null URL counts as empty: one end mark.
-    """
-    def run(batches):
-        good, bad = models.value
+def block_grams(rows: DataFrame, cfg: UrlModel) -> DataFrame:
+    """``block, gram, good, bad``: the grams of a block's URLs, and how often its accepted and rejected URLs that the
+    models learn from (``learn`` 1 and 0) have each."""
+    def count(batches):
         for batch in batches:
-            of, contexts, grams = _grams(batch.column(0).to_pylist(), cfg.order, cfg.slots)
-            ratio = _log_likelihood(good, contexts, grams) - _log_likelihood(bad, contexts, grams)
-            score = np.bincount(of, ratio, batch.num_rows) / np.maximum(np.bincount(of, minlength=batch.num_rows), 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score)], names=[*keep, "score"])
+            of, gram = _grams(batch.column(1).to_pylist(), cfg.order)
+            block = batch.column(0).to_numpy()[of]
+            learn = batch.column(2).to_numpy()[of]
+            order = np.lexsort((gram, block))
+            block, gram, learn = block[order], gram[order], learn[order]
+            head = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (gram[1:] != gram[:-1])])) if len(gram) else order
+            good, bad = (np.add.reduceat((learn == v).astype(np.int64), head) if len(head) else head for v in (1, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(block[head]), pa.array(gram[head]), pa.array(good), pa.array(bad)],
+                                             names=["block", "gram", "good", "bad"])
+
+    return rows.select("block", "url", "learn").mapInArrow(count, "block long, gram long, good long, bad long")
+
+
+def gram_ratios(grams: DataFrame, cfg: UrlModel) -> DataFrame:
+    """``gram, ratio``: log ratio of the two models' probabilities for each gram of ``gram, good, bad``."""
+    levels = [materialize(grams.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "grams")]
+    for k in range(cfg.order - 1, -1, -1):
+        shorter = levels[-1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("gram"))
+        levels.append(materialize(shorter.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "grams"))
+    found = None
+    for k, level in enumerate(reversed(levels)):
+        # a context has at most 256 successors
+        context = Window.partitionBy(F.shiftright("gram", 8))
+        level = level.withColumns({f"{kind}_{v}": F.sum(x).over(context) for v in ("good", "bad") for kind, x in (
+            ("seen", F.col(v)), ("kinds", (F.col(v) > 0).cast("long")))})
+        if found is None:
+            level = level.withColumns({"q_good": F.lit(1 / 257), "q_bad": F.lit(1 / 257)})
+        else:
+            rest = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
+            level = level.withColumn("rest", rest).join(found.withColumnRenamed("gram", "rest"), "rest")
+        found = level.select("gram", *[
+            F.when(F.col(f"seen_{v}") > 0, (F.col(v) + F.col(f"kinds_{v}") * F.col(f"q_{v}")) / (F.col(f"seen_{v}") + F.col(f"kinds_{v}")))
+            .otherwise(F.col(f"q_{v}")).alias(f"q_{v}") for v in ("good", "bad")])
+    return found.select("gram", (F.log("q_good") - F.log("q_bad")).alias("ratio"))
+
+
+def score_urls(rows: DataFrame, cfg: UrlModel) -> DataFrame:
+    """``rows`` and ``score``: mean log ratio per character, positive if the accepted model fits better.
+
+    ``rows`` are stored and have ``url``, ``block`` and ``learn``: 1 and 0 for accepted and rejected URLs that the
+    models learn from, -1 for others.  A null URL counts as empty: one end mark.
+    """
+    asked = materialize(block_grams(rows, cfg), "asked")
+    known = asked.select("block", "gram").join(gram_ratios(asked, cfg), "gram")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "score double"])
+
+    def score(urls: pa.Table, known: pa.Table) -> pa.Table:
+        gram, ratio = known["gram"].to_numpy(), known["ratio"].to_numpy()
+        order = np.argsort(gram, kind="stable")
+        gram, ratio = gram[order], ratio[order]
+        n, scores = urls.num_rows, [np.zeros(0)]
+        for lo in range(0, n, cfg.block):
+            of, mine = _grams(urls["url"].slice(lo, cfg.block).to_pylist(), cfg.order)
+            size = np.bincount(of)
+            scores.append(np.bincount(of, ratio[np.searchsorted(gram, mine)]) / size)
+        return urls.append_column("score", pa.array(np.concatenate(scores)))
 
-    rows = df.select(F.col(url_col).alias("_url"), *keep)
-    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), "score double"]))
+    return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, schema)
 
 
 def calibrated(scored: DataFrame, cfg: UrlModel) -> float:
@@ -147,12 +168,12 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id",
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     rows = rows.withColumns({"host": host, "path": path})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "ruled": verdict})
-    known = materialize(rows.filter("ruled IS NOT NULL").select(
-        "url", (F.col("ruled") == "allow").alias("good"), (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("held")), "ruled")
-    models = [train(known.filter(~F.col("held") & (F.col("good") == good)), cfg) for good in (True, False)]
-    shared = pages.sparkSession.sparkContext.broadcast(models)
-    threshold = calibrated(score_urls(known.filter("held"), shared, cfg, "url", ("good",)), cfg)
-    scored = score_urls(rows, shared, cfg, "url", ("id", "host", "path", "rule", "ruled"))
+    rows = rows.withColumns({"rule": rule, "ruled": verdict, "held": F.pmod(F.xxhash64("url"), F.lit(5)) == 0})
+    learn = F.when(F.col("held") | F.col("ruled").isNull(), -1).otherwise((F.col("ruled") == "allow").cast("int"))
+    block = F.expr(f"monotonically_increasing_id() div {cfg.block}")  # stored, so it stays the same
+    rows = materialize(rows.withColumns({"learn": learn, "block": block}), "urls")
+    scored = materialize(score_urls(rows, cfg), "scored")
+    held = scored.filter("held AND ruled IS NOT NULL").select("score", (F.col("ruled") == "allow").alias("good"))
+    threshold = calibrated(held, cfg)
     return scored.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce(
         "ruled", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"), "score")

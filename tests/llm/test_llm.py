@@ -258,6 +258,40 @@ def test_url_models_tell_kinds_apart(spark):
     assert got[5000] == "allow" and got[5001] == "block"
 
 
+def brute_scores(urls, learn, order=5):
+    """Witten-Bell log ratios with dictionaries; ``learn`` gives 1, 0 or None per URL."""
+    chars = [(b"\x02" * order + (u or "").lower().encode() + b"\x03") for u in urls]
+    counts = {v: defaultdict(Counter) for v in (0, 1)}
+    for raw, v in zip(chars, learn, strict=True):
+        for at in range(order, len(raw)):
+            for k in range(order + 1):
+                if v is not None:
+                    counts[v][raw[at - k:at]][raw[at]] += 1
+
+    def p(v, raw, at):
+        out = 1 / 257
+        for k in range(order + 1):
+            c = counts[v].get(raw[at - k:at])
+            if c:
+                out = (c[raw[at]] + len(c) * out) / (sum(c.values()) + len(c))
+        return out
+
+    return [np.mean([math.log(p(1, raw, at) / p(0, raw, at)) for at in range(order, len(raw))]) for raw in chars]
+
+
+def test_url_scores_are_exact(spark):
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz0123456789-_É"))
+    rows = [(i, f"http://{''.join(rng.choice(letters, 12))}.{('net', 'org', 'com')[i % 3]}/fr/{''.join(rng.choice(letters, 60))}") for i in range(3000)]
+    rows += [(3000, None), (3001, ""), (3002, rows[0][1])]
+    table = spark.createDataFrame(rows, "page_id long, url string").repartition(5)
+    held = {r.page_id for r in table.filter(F.pmod(F.xxhash64("url"), F.lit(5)) == 0).collect()}
+    rules = [brute_rule(u)[2] for _, u in rows]
+    learn = [None if i in held or not rule else int(Q.RULES[rule] == "allow") for (i, _), rule in zip(rows, rules, strict=True)]
+    got = {r.page_id: r.score for r in judge_urls(table, Q.RULES).collect()}
+    assert np.allclose([got[i] for i, _ in rows], brute_scores([u for _, u in rows], learn), atol=1e-9)
+
+
 # ------------------------------------------------------------------ op7
 
 @pytest.mark.parametrize("dims", [2, 3])
