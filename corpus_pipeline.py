@@ -34,10 +34,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = materialize(found.select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    """Documents without a benchmark passage; rows are told apart by id and text, so null and repeated ids do no harm."""
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_key=True)
+    hit = materialize(found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "contaminated")
+    key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,13 +68,16 @@ def _hashed(df: DataFrame, text_col: str, k: int, *keep: Column) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_id: str = "item_id", item_text: str = "text", cfg: Decontam = Decontam()) -> DataFrame:
+                  item_id: str = "item_id", item_text: str = "text", cfg: Decontam = Decontam(),
+                  with_key: bool = False) -> DataFrame:
     """``id_col, item_id, similarity, start, n_words``: one row per document and item that it has, with its best
     window (the first of equally good ones).
 
     Words are compared in lower case.  Items below five words have no shingles and match nothing; null texts are
     empty.  Rows with a null id are reported under null.  Repeated rows and repeated items give one row each.
-    A document shorter than an item is one window.  No items or documents give an empty table.
+    A document shorter than an item is one window.  No items or documents give an empty table.  ``with_key`` tells
+    documents apart by id and text and adds ``text_key``, the MD5 of the text, so of rows that share an id (or
+    have none) only those with the passage are named.
     """
     k = cfg.shingle
     # the outer forms of explode below keep the optimizer from computing the arrays once more for a filter
@@ -95,7 +98,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     targets = materialize(weighed.withColumn("fp", simhash("set")), "targets")
     need = targets.groupBy("n").agg((F.min("total") * cfg.threshold - 1e-9).alias("need"))
 
-    row = [F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th")]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    row = [F.col(id_col).cast("long").alias("doc"), (F.unhex(F.md5(text)) if with_key else F.xxhash64(text)).alias("th")]
+    own_text = ["th"] if with_key else []
     hits = _hashed(docs, text_col, k, *row).select("doc", "th", "n", F.posexplode_outer("hs").alias("pos", "h"))
     hits = hits.withColumnRenamed("n", "len").join(sized(lookup), "h").distinct()
     # distinct: equal rows of the input are one
@@ -144,12 +149,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     cand = (near.alias("c").join(prints.alias("p"), own)
             .join(targets.alias("t"), (F.col("c.item") == F.col("t.item")) & (F.col("c.n") == F.col("t.n"))))
     common = F.aggregate(F.filter("t.set", lambda x: F.array_contains("window", x.h)), F.lit(0.0), lambda a, x: a + x.w)
-    scored = (cand.select("c.doc", "c.item", "c.n", "c.start", "t.set", F.transform("p.set", lambda x: x.h).alias("window"),
+    scored = (cand.select("c.doc", *[f"c.{x}" for x in own_text], "c.item", "c.n", "c.start", "t.set", F.transform("p.set", lambda x: x.h).alias("window"),
                           (F.col("p.total") + F.col("t.total")).alias("totals"))
-              .select("doc", "item", "n", "start", "totals", common.alias("common"))
+              .select("doc", *own_text, "item", "n", "start", "totals", common.alias("common"))
               .withColumn("similarity", F.col("common") / (F.col("totals") - F.col("common")))
               .filter(F.col("similarity") >= cfg.threshold - 1e-9))
-    best = scored.groupBy("doc", "item").agg(F.max(F.struct(
+    best = scored.groupBy("doc", *own_text, "item").agg(F.max(F.struct(
         F.round("similarity", 9).alias("similarity"), (-F.col("start")).alias("at"), "n")).alias("m"))
     return best.select(F.col("doc").alias(id_col), F.col("item").alias("item_id"), "m.similarity",
-                       (-F.col("m.at")).alias("start"), F.col("m.n").alias("n_words"))
+                       (-F.col("m.at")).alias("start"), F.col("m.n").alias("n_words"), *[F.col(x).alias("text_key") for x in own_text])

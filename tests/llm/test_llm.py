@@ -514,6 +514,14 @@ def test_pipeline_stages(spark, data, docs):
     assert len({r.text for r in rows}) == len(rows) == len({r.doc_id for r in rows})
 
 
+def test_decontamination_of_null_and_repeated_ids(spark, tmp_path):
+    item = " ".join(f"b{i}" for i in range(40))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"x y {item}"), (None, "a clean text without an id"), (None, None), (7, item), (7, "a clean text of a shared id"), (8, "clean")]
+    clean = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert Counter(tuple(r) for r in clean.collect()) == Counter(r for r in rows if item not in (r[1] or ""))
+
+
 def test_entry_has_all(spark):
     import __spark_entry__ as entry
 
