@@ -326,7 +326,7 @@ def q_relax_rows(spark, d):
 
 
 def q_relax_integers(spark, d):
-    df = parts(spark, d).dropna()
+    df = parts(spark, d).dropna(subset=["p_brand", "p_size"])
     rfd = Rfd({"p_size": 3.0}, "p_retailprice", 2.0)
     return relax_rows(df, RELAX_QUERY.apply(df), rfd, query=RELAX_QUERY, mode="integers").select("p_partkey")
 

@@ -23,6 +23,12 @@ def relaxing_attributes(df: DataFrame, rfd: Rfd, query: QuerySpec | None = None)
     return [c for c in df.columns if c in rfd and c not in asked] or [rfd.rhs]
 
 
+def _number(c: Column) -> Column:
+    """Value as a double; NaN is null."""
+    x = c.cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def _whole(c: Column, t: float) -> tuple[Column, Column]:
     """Whole-number bounds of a value, cut toward zero."""
     lo = F.when(c - t >= 0, F.floor(c - t)).otherwise(F.ceil(c - t))
@@ -37,7 +43,7 @@ def relax_rows(df: DataFrame, answers: DataFrame, rfd: Rfd, attrs: list[str] | N
 
     ``mode='distance'`` uses the dependency's thresholds as they are;
     ``'integers'`` lets a numeric attribute match only the whole numbers between
-    the cut bounds ``v - t`` and ``v + t``.  ``metrics`` are those the dependency
+    the cut bounds ``v - t`` and ``v + t``.  In both modes null matches null.  ``metrics`` are those the dependency
     was found with; a taxonomy is given as its table of similar values.
     """
     attrs = attrs or relaxing_attributes(df, rfd, query)
@@ -53,15 +59,16 @@ def relax_rows(df: DataFrame, answers: DataFrame, rfd: Rfd, attrs: list[str] | N
     for c in attrs:
         on[c] = (kinds[c], rfd[c] + 1 if c in bounds else rfd[c])
     for c in bounds:
-        x = F.col(f"`{c}`").cast("double")
+        x = _number(F.col(f"`{c}`"))
         lo, hi = _whole(x, rfd[c])
-        data = data.filter(x == F.floor(x))
+        data = data.filter(x.isNull() | (x == F.floor(x)))
         marks = marks.withColumn(f"_lo_{c}", lo).withColumn(f"_hi_{c}", hi)
 
     def inside(l: Side, r: Side) -> Column:
         cond = F.lit(True)
         for c in bounds:
-            cond = cond & l(c).between(r(f"_lo_{c}"), r(f"_hi_{c}"))
+            x, lo = _number(l(c)), r(f"_lo_{c}")
+            cond = cond & ((x.isNull() & lo.isNull()) | x.between(lo, r(f"_hi_{c}")))
         return cond
 
     return similarity_join(data, marks, on, "left_semi", extra=inside)
@@ -80,10 +87,12 @@ def _near_some(df: DataFrame, answers: DataFrame, c: str, kind: Metric | DataFra
     if isinstance(kind, DataFrame):
         return similarity_join(df, values.withColumnRenamed("_v", c), {c: (kind, t)}, "left_semi")
     if kind == "abs" and t > 0 and mode == "integers":
-        lo, hi = _whole(F.col("_v").cast("double"), t)
-        # every reachable whole number, once
-        hits = values.dropna().select(F.explode(F.sequence(lo.cast("bigint"), hi.cast("bigint"))).alias("_n")).distinct()
-        return df.join(hits, col.cast("double") == F.col("_n").cast("double"), "left_semi")
+        v = _number(F.col("_v"))
+        lo, hi = _whole(v, t)
+        # every reachable whole number, once, and null if an answer has it
+        whole = F.when(v.isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.sequence(lo.cast("bigint"), hi.cast("bigint")))
+        hits = values.select(F.explode(whole).alias("_n")).distinct()
+        return df.join(hits, _number(col).eqNullSafe(F.col("_n").cast("double")), "left_semi")
     if kind == "days" or (kind == "abs" and t > 0):
         if kind == "days":
             x, width = micros(col), (int(t) + 1) * MICROS_PER_DAY

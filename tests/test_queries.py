@@ -201,6 +201,17 @@ def test_relaxation(spark, thresholds):
     assert ids(relax_columns(full, ans_full, rfd, mode="integers")) == by_col
 
 
+def test_relaxation_to_integers_keeps_unknown_values(spark):
+    rows = [(0, None, 10.0), (1, 5, 20.0), (2, None, 11.0), (3, None, 30.0), (4, 6, 21.0), (5, 6, None), (6, 5, None), (7, None, 10.5)]
+    df = spark.createDataFrame(rows, "id int, n int, x double")
+    rfd = Rfd({"n": 2.0}, "x", 2.0)
+    assert ids(relax_rows(df, df.filter("id < 2"), rfd, mode="integers")) == [0, 1, 2, 4]
+    assert ids(relax_columns(df, df.filter("id < 2"), rfd, mode="integers")) == [0, 1, 2, 4]
+    assert ids(relax_rows(df, df.filter("id IN (1, 5)"), rfd, mode="integers")) == [1, 4, 5, 6]
+    assert ids(relax_columns(df, df.filter("id IN (1, 5)"), rfd, mode="integers")) == [1, 4, 5, 6]
+    assert ids(relax_rows(df, df.filter("id = 0"), rfd)) == [0, 2, 7]
+
+
 def test_relax_columns_on_random_numbers_and_dates(spark):
     rng = random.Random(3)
     rows = [(i, rng.uniform(-50, 50)) for i in range(300)]
