@@ -29,8 +29,8 @@ _KINDS[128:] |= 1 << 5
 
 @dataclass(frozen=True)
 class LineCrf:
-    """Parameters of training: ``sample`` labelled documents per class, of at most ``sample_lines`` lines each,
-    are all that the driver ever gets; scoring has no limits."""
+    """Parameters of training: ``sample`` labelled documents per class, a run of at most ``sample_lines`` lines of
+    each, are all that the driver ever gets; scoring has no limits."""
 
     sample: int = 1500
     sample_lines: int = 400
@@ -210,20 +210,29 @@ def _logistic(z: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: Column | None = None, id_col: str = "doc_id",
           text_col: str = "text", label_col: str = "quality", cfg: LineCrf = LineCrf()) -> dict | None:
-    """Model from labelled documents; ``train_rows`` is a condition on ``labels``.  None without both classes.
+    """Model from labelled documents; ``train_rows`` is a condition on ``labels``.  None without a label.
 
-    Of each class the ``cfg.sample`` labelled ids that come first by a hash are used, which are few enough to
-    broadcast; of an id's several labels the lowest counts.
+    Of each class the ``cfg.sample`` labelled ids of ``docs`` that come first by a hash are used, which are few
+    enough to broadcast; of an id's several labels the lowest counts.  Of a long document a run of
+    ``cfg.sample_lines`` lines teaches, whose place depends on the id.  Without words of both classes the model
+    is the share of the labels' good documents (``prior``).
     """
     rows = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.filter(train_rows) if train_rows is not None else rows
-    one = rows.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
+    every = rows.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
+    shares = {r.label: r["count"] for r in every.groupBy("label").count().collect()}
+    if not shares.get(0) and not shares.get(1):
+        return None
+    prior = {"prior": shares.get(1, 0) / (shares.get(0, 0) + shares.get(1, 0))}
+    one = every.join(docs.filter(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(F.col(id_col).alias("id")), "id", "left_semi")
     totals = {r.label: r["count"] for r in one.groupBy("label").count().collect()}
     if not totals.get(0) or not totals.get(1):
-        return None
+        return prior
     picked = [one.filter(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(cfg.sample) for v in (0, 1)]
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked[0].union(picked[1])), "id")
-    short = F.size(F.split(F.coalesce("text", F.lit("")), "\n")) <= cfg.sample_lines
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    begin = F.pmod(F.xxhash64("id"), F.greatest(F.size("lines") - cfg.sample_lines + 1, F.lit(1))).cast("int") + 1
+    run = F.array_join(F.slice("lines", begin, cfg.sample_lines), "\n")
 
     def features(batches):
         powers = Powers()
@@ -237,10 +246,12 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column | None = None,
                         [pa.array([int(label[lo + d])], pa.int32()), pa.array([size[at].tobytes()], pa.binary()),
                          pa.array([x[at].tobytes()], pa.binary())], names=["label", "size", "x"])
 
-    found = sample.filter(short).select("text", "label").mapInArrow(features, "label int, size binary, x binary").collect()
+    taught = F.when(F.size("lines") > cfg.sample_lines, run).otherwise(F.col("text"))
+    found = (sample.withColumn("lines", lines).select(taught.alias("text"), "label")
+             .mapInArrow(features, "label int, size binary, x binary").collect())
     found.sort(key=lambda r: (r.label, r.x))
     if len({r.label for r in found}) < 2:
-        return None
+        return prior
     sizes = [np.frombuffer(r.size) for r in found]
     doc = np.repeat(np.arange(len(found)), [len(s) for s in sizes])
     x = with_neighbours(doc, np.concatenate([np.frombuffer(r.x, np.float32).reshape(-1, len(FEATURES)) for r in found]))
@@ -258,8 +269,8 @@ def score_quality(docs: DataFrame, model: dict | None, text_col: str = "text",
                   score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its ``keep`` columns) with ``score_col`` between 0 and 1; every row stays, nothing is shuffled.
 
-    Null and empty texts, and texts without a word, have no line to judge and score 0.  Without a model every
-    other text scores 1.
+    Null and empty texts, and texts without a word, have no line to judge and score 0.  A model
+    that is only a prior gives every other text that score; without a model they are an error.
     """
     def run(batches):
         powers = Powers()
@@ -267,8 +278,10 @@ def score_quality(docs: DataFrame, model: dict | None, text_col: str = "text",
             score = np.zeros(batch.num_rows)
             for lo, hi, raw, offsets in chunks(batch.column(batch.num_columns - 1)):
                 doc, size, x = line_features(raw, offsets, powers)
-                if model is None:
-                    score[lo + np.unique(doc)] = 1.0
+                if model is None and len(doc):
+                    raise ValueError("no labels: nothing tells how good a text is")
+                if model is None or "prior" in model:
+                    score[lo + np.unique(doc)] = model["prior"] if model else 0.0
                     continue
                 z, has = raw_quality(model, doc, size, with_neighbours(doc, x), hi - lo)
                 a, b = model["calibration"]

@@ -350,6 +350,20 @@ def test_quality_on_held_out_rows(spark, odd, empty):
     assert train(odd, labels.limit(0)) is None and score_quality(empty, None).count() == 0
 
 
+def test_quality_of_long_and_missing_documents(spark):
+    good = lambda i, n: "\n".join(f"This is line {j} of the text {i}, and it reads like a plain sentence." for j in range(n))
+    bad = lambda i, n: "\n".join(f"$$$ {i} | {j} ### BUY" for j in range(n))
+    rows = [(i, good(i, 30) if i % 2 else bad(i, 500)) for i in range(40)] + [(90, good(90, 500)), (91, bad(91, 30)), (92, " ")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(i, i % 2) for i in range(1000, 1400)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in score_quality(table, train(table, labels, cfg=LineCrf(sample=8, steps=60))).collect()}
+    assert got[90] > 0.5 > got[91] and got[92] == 0
+    prior = train(table.filter("doc_id >= 90"), labels)
+    assert {r.doc_id: r.score for r in score_quality(table, prior).collect()} == {i: 0.5 * (i != 92) for i, _ in rows}
+    with pytest.raises(Exception, match="no labels"):
+        score_quality(table, None).collect()
+
+
 # ------------------------------------------------------------------ op9
 
 def brute_budgets(leaves, total, cap):
