@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .codebooks import codes_sql, vector_codes
 from .decontam import contamination
 from .hilbert import hilbert_shards
 from .htmltext import extract_pages
 from .linecrf import score_quality, train
 from .mixing import mix_sources
 from .neardup import near_duplicates
+from .negatives import hard_negatives
 from .rules import judged, word_array
+from .secrets import find_secrets, secrets_sql
 from .separators import token_counts, tokenizer
 from .suffixes import remove_repeats
 from .urls import judge_urls
@@ -106,6 +109,20 @@ def op10_text_density(spark, sf_dir):
     return extract_pages(read(spark, sf_dir, "pages"))
 
 
+def op11_value_dictionaries(spark, sf_dir):
+    return vector_codes(read(spark, sf_dir, "embeddings"))
+
+
+def op12_shared_lists(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr(
+        "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END").alias("label"))
+    return hard_negatives(rows, F.expr("id % 100 = 0"))
+
+
+def op13_secret_ownership(spark, sf_dir):
+    return find_secrets(read(spark, sf_dir, "documents")).drop("span_list")
+
+
 def pipeline(spark, sf_dir):
     from corpus_pipeline import run
 
@@ -114,6 +131,28 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_separator_scan, op2_decision_lists, op3_weighted_minhash, op4_simhash_windows, op5_suffix_trees, op6_url_models,
-    op7_hilbert_shards, op8_line_crf, op9_hierarchical_budgets, op10_text_density, pipeline)}
-
-ORACLE_SQL: dict[str, str] = {}
+    op7_hilbert_shards, op8_line_crf, op9_hierarchical_budgets, op10_text_density, op11_value_dictionaries, op12_shared_lists,
+    op13_secret_ownership, pipeline)}
+
+OP12_SQL = """
+WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.id <> b.id WHERE a.id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id, positive_score, n.score AS negative_score
+FROM p JOIN s n USING (anchor_id)
+WHERE NOT n.same AND 80 * positive_score <= 100 * n.score AND 100 * n.score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op11_value_dictionaries": codes_sql(),
+    "op12_shared_lists": OP12_SQL,
+    "op13_secret_ownership": secrets_sql(),
+}

@@ -539,4 +539,4 @@ def test_decontamination_of_null_and_repeated_ids(spark, tmp_path):
 def test_entry_has_all(spark):
     import __spark_entry__ as entry
 
-    assert set(Q.QUERIES) <= set(entry.queries()) and len(Q.QUERIES) == 11
+    assert set(Q.QUERIES) <= set(entry.queries()) and len(Q.QUERIES) == 14
