@@ -9,20 +9,22 @@ in ``[reach, r)``.  Pools are therefore intervals and need no sequential loop.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import Metric
+from ..plans.bitmaps import SLICE, at_most, everyone, free_sets, held, rank_table
 from ..plans.blocks import DOMINANCE_ROWS, dominance_cells, local_minima
 from ..plans.prefix import minima_above, range_splits, with_buckets
 from ..session import materialize
 from .pairs import Sides, distance_medians, pair_distances, side_combinations, split_sides
 from .rfd import make_rfds
 
-SALTS = 4
+CELL = 4096  # candidates and pool vectors of one cell
 SMALL = 20_000  # relevant points that one bucket can hold
 
 
@@ -69,9 +71,7 @@ def rfd_intervals(points: DataFrame) -> DataFrame:
     dims = [c for c in points.columns if c.startswith("v")]
     local = local_minima(points.withColumn("neg", -F.col("r")), [*dims, "neg"], "side").drop("neg")
     near = materialize(local, "points")
-    blocks = max(1, math.ceil(near.count() / DOMINANCE_ROWS))
-    reached = dominance_cells(near, dims, "side", blocks, value="r")
-    return reached.filter(F.col("reach") < F.col("r"))
+    return dominance_cells(near, dims, "side", DOMINANCE_ROWS, value="r")
 
 
 def _median_map(medians: DataFrame) -> dict[str, float]:
@@ -125,6 +125,10 @@ def _bits(flags: list[str]) -> str:
     return " + ".join(f"CASE WHEN {flag} THEN {1 << i}L ELSE 0L END" for i, flag in enumerate(flags))
 
 
+def _sizes(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy("side", "bucket").agg(F.count("*").alias(name))
+
+
 def _multi(intervals: DataFrame, minima: DataFrame, sides: Sides,
            splits: DataFrame | None = None) -> DataFrame:
     """Dependencies with several left attributes.
@@ -133,7 +137,9 @@ def _multi(intervals: DataFrame, minima: DataFrame, sides: Sides,
     improving minimum.  For each pool vector x two bit sets matter: J(x), the used
     attributes on which the candidate is at or below x, and D(x), those on which
     it is at or above.  J is emitted iff it is not contained in the D of any pool
-    vector, so a pool shrinks to its few distinct bit sets before it is shuffled.
+    vector.  Candidates and pool meet in cells of ``CELL`` x ``CELL`` at most, where
+    rank bitmaps answer which sets a pool vector holds; sets that survive one piece
+    of a pool are tested against its other pieces.
     """
     k = _width(sides)
     dims = _dims(k)
@@ -141,27 +147,57 @@ def _multi(intervals: DataFrame, minima: DataFrame, sides: Sides,
     used = _bits([f"{i} < {width} AND NOT coalesce(v{i} = a{i}, FALSE)" for i in range(k)])
     cand = (intervals.join(minima, ["side", "r"]).selectExpr("side", "r", f"{used} AS used", *dims)
             .selectExpr("*", f"bit_count(used) = {width} AS full").filter("bit_count(used) >= 2"))
-    salts = 1 if splits is None else SALTS
-    y = (with_buckets(cand, "side", splits, bucket="r")
-         .selectExpr("*", f"explode(sequence(0, {salts - 1})) AS salt"))
+    y = with_buckets(cand, "side", splits, bucket="r")
     x = (with_buckets(intervals, "side", splits, first="reach", last="r")
-         .selectExpr("side AS x_side", "explode(sequence(first, last)) AS x_bucket",
-                     f"cast(pmod(xxhash64({', '.join(dims)}), {salts}) AS int) AS x_salt", "reach", "r AS top",
-                     *[f"{d} AS x{i}" for i, d in enumerate(dims)]))
-    # an outer join keeps the candidates whose pool is empty
-    met = y.join(x, F.expr("side = x_side AND bucket = x_bucket AND salt = x_salt AND reach <= r AND r < top"), "left")
-    key = ["side", "r", "used", "full", *dims]
-    below = _bits([f"(used & {1 << i}L) <> 0 AND v{i} <= x{i}" for i in range(k)])
-    above = _bits([f"(used & {1 << i}L) <> 0 AND v{i} >= x{i}" for i in range(k)])
-    sets = met.selectExpr(*key, f"CASE WHEN top IS NOT NULL THEN {below} END AS j",
-                          f"CASE WHEN top IS NOT NULL THEN {above} END AS d")
-    if splits is not None:
-        sets = sets.distinct()
-    pools = sets.groupBy(*key).agg(F.collect_set("j").alias("js"), F.collect_set("d").alias("ds"))
-    held = "exists(ds, d -> (used & d) = used)"
-    free = "filter(js, j -> NOT exists(ds, d -> (j & d) = j))"
-    masks = pools.selectExpr("side", "r", "used", *dims, f"{free} AS free", f"NOT full AND {held} AS stopped")
-    out = masks.filter("NOT stopped").selectExpr(
+         .selectExpr("side", "explode(sequence(first, last)) AS bucket", "reach", "r AS top", *dims))
+    # one row per side and level range: both numbers are bounded
+    sizes = materialize(_sizes(y, "n_y").join(_sizes(x, "n_x"), ["side", "bucket"], "left").selectExpr(
+        "side", "bucket", f"cast(ceil(n_y / {CELL}) AS int) AS many", f"greatest(1, cast(ceil(coalesce(n_x, 0) / {CELL}) AS int)) AS pieces"), "cells")
+    hashed = f"xxhash64({', '.join(dims)})"
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """Candidates in every cell of their pool."""
+        return rows.join(F.broadcast(sizes), ["side", "bucket"]).selectExpr(
+            *rows.columns, f"cast(pmod({hashed}, many) AS int) AS i", "explode(sequence(0, pieces - 1)) AS j")
+
+    pool = x.join(F.broadcast(sizes), ["side", "bucket"]).selectExpr(
+        "side AS x_side", "bucket AS x_bucket", f"cast(pmod({hashed}, pieces) AS int) AS x_j", "explode(sequence(0, many - 1)) AS x_i",
+        "reach", "top", *[f"{d} AS x{i}" for i, d in enumerate(dims)])
+    xs = [f"x{i}" for i in range(k)]
+    cell = ["side", "bucket", "i", "j"]
+    pools = pool.groupBy("x_side", "x_bucket", "x_i", "x_j")
+    key = ["side", "bucket", "r", "used", "full", *dims]
+
+    def sets(c: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        owner, mask, killed = free_sets(
+            c[dims].to_numpy(float), c["used"].to_numpy(np.uint64), c["r"].to_numpy(float), p[xs].to_numpy(float),
+            p["reach"].to_numpy(float), p["top"].to_numpy(float))
+        return c[key].iloc[owner].assign(mask=mask.astype(np.int64), own=np.arange(len(owner)) < len(c), killed=killed)
+
+    kind = y.select(*key, F.lit(0).cast("long").alias("mask"), F.lit(False).alias("own"), F.lit(False).alias("killed")).schema
+    found = dealt(y).groupBy(*cell).cogroup(pools).applyInPandas(sets, kind)
+    if (sizes.agg(F.max("pieces")).first()[0] or 1) > 1:
+        found = materialize(found, "sets")
+
+        def tested(c: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+            m = p[xs].to_numpy(float)
+            tables = [rank_table(m[:, d]) for d in range(k)]
+            low, high = rank_table(p["reach"].to_numpy(float)), rank_table(p["top"].to_numpy(float))
+            hit = np.zeros(len(c), bool)
+            for lo in range(0, len(c), SLICE):
+                some = c.iloc[lo:lo + SLICE]
+                r = some["r"].to_numpy(float)
+                member = at_most(low, r) & everyone(len(m)) & ~at_most(high, r)
+                hit[lo:lo + SLICE] = held(some[dims].to_numpy(float), some["mask"].to_numpy(np.uint64), member, tables)
+            return c.loc[hit, [*key, "mask"]]
+
+        masks = found.filter("NOT own").select(*key, "mask").distinct()
+        dead = dealt(masks).groupBy(*cell).cogroup(pools).applyInPandas(tested, masks.schema).distinct()
+        alive = masks.join(dead, [*key, "mask"], "left_anti").selectExpr("*", "FALSE AS own", "FALSE AS killed")
+        found = found.filter("own").unionByName(alive)
+    masks = found.groupBy(*key).agg(F.expr("bool_or(own AND killed)").alias("held"), F.expr(
+        "collect_set(CASE WHEN NOT own THEN mask END)").alias("free"))
+    out = masks.filter("full OR NOT held").selectExpr(
         "side", "r", *dims, "explode(CASE WHEN size(free) > 0 THEN free ELSE array(used) END) AS mask")
     return out.selectExpr("side", "r", *[f"CASE WHEN (mask & {1 << i}L) <> 0 THEN v{i} END AS t{i}" for i in range(k)])
 

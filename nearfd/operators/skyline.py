@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +21,8 @@ def skyline(df: DataFrame, min_cols: list[str], max_cols: list[str] | tuple = ()
     """Rows no other row beats on ``min_cols`` (small is good) and ``max_cols``.
 
     First every task keeps its own skyline, then the survivors meet in cells of
-    bounded size.  Rows with equal values are all kept.  NULL counts as worst.
+    bounded size; regions of the Z curve that cannot reach each other never meet.
+    Rows with equal values are all kept.  NULL counts as worst.
     """
     names = [*min_cols, *max_cols]
     dims = [f"_d{i}" for i in range(len(names))]
@@ -34,7 +33,6 @@ def skyline(df: DataFrame, min_cols: list[str], max_cols: list[str] | tuple = ()
                 for c, d in zip(max_cols, dims[len(min_cols):])]
     points = df.select(*vectors).distinct()
     near = materialize(local_minima(points, dims), "skyline")
-    blocks = max(1, math.ceil(near.count() / DOMINANCE_ROWS))
-    best = dominance_cells(near, dims, None, blocks)
+    best = dominance_cells(near, dims, None, DOMINANCE_ROWS)
     marked = df.select("*", *vectors)
     return marked.join(best, dims, "left_semi").drop(*dims)

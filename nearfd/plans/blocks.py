@@ -12,12 +12,19 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .bitmaps import reach, undominated
+
 BLOCK_ROWS = 2048
 DOMINANCE_ROWS = 4096
 STRONGEST = 256
+POOL_STEP = 2048
+CORNERS = 1024  # regions whose corners meet in one cell
+QUANTILES = 256
 
 
 def block_count(rows: int, parallelism: int, block_rows: int = BLOCK_ROWS) -> int:
@@ -59,35 +66,19 @@ def _clean(m: np.ndarray) -> np.ndarray:
     return np.nan_to_num(m, nan=np.inf, posinf=1e300, neginf=-1e300)
 
 
-def _undominated(pts: np.ndarray, pool: np.ndarray) -> np.ndarray:
-    """Mask of points that no different pool vector reaches from below."""
-    keep = np.ones(len(pts), dtype=bool)
-    step = max(1, 4_000_000 // max(1, len(pool)))
-    for lo in range(0, len(pts), step):
-        chunk = pts[lo:lo + step]
-        below = np.ones((len(chunk), len(pool)), dtype=bool)
-        same = np.ones_like(below)
-        for j in range(pts.shape[1]):
-            c, p = chunk[:, j, None], pool[None, :, j]
-            below &= p <= c
-            same &= p == c
-        keep[lo:lo + step] = ~(below & ~same).any(axis=1)
-    return keep
-
-
 def _local_pool(pts: np.ndarray) -> np.ndarray:
     """Indexes of the minimal vectors of one batch."""
     order = np.argsort(_clean(pts).sum(axis=1), kind="stable")
     pool = np.empty((0, pts.shape[1]))
     kept: list[np.ndarray] = []
-    for lo in range(0, len(order), 512):
-        idx = order[lo:lo + 512]
+    for lo in range(0, len(order), POOL_STEP):
+        idx = order[lo:lo + POOL_STEP]
         # the smallest sums rule out most points, so the whole pool sees few
         for part in (pool[:STRONGEST], pool[STRONGEST:]):
             if len(part) and len(idx):
-                idx = idx[_undominated(pts[idx], part)]
+                idx = idx[undominated(pts[idx], part)]
         if len(idx):
-            idx = idx[_undominated(pts[idx], pts[idx])]
+            idx = idx[undominated(pts[idx], pts[idx])]
             pool = np.vstack([pool, pts[idx]])
             kept.append(idx)
     return np.concatenate(kept) if kept else np.empty(0, dtype=int)
@@ -118,50 +109,128 @@ def local_minima(points: DataFrame, dims: list[str], key: str | None = None,
     return points.mapInPandas(run, schema=schema)
 
 
-def dominance_cells(points: DataFrame, dims: list[str], key: str | None, blocks: int,
-                    value: str | None = None) -> DataFrame:
-    """Compare every point with every other one inside bounded cells.
+def z_order(m: np.ndarray, splits: list[np.ndarray], bits: int) -> np.ndarray:
+    """Place on the Z curve: the dimensions' quantile ranks with their bits interleaved, high bits first."""
+    z = np.zeros(len(m), np.int64)
+    ranks = [np.searchsorted(s, m[:, d], side="left").astype(np.int64) for d, s in enumerate(splits)]
+    for b in reversed(range(bits)):
+        for r in ranks:
+            z = (z << 1) | ((r >> b) & 1)
+    return z
+
+
+def with_regions(points: DataFrame, dims: list[str], key: str | None, rows: int = DOMINANCE_ROWS) -> DataFrame:
+    """Add ``_region``: runs of at most ``rows`` neighbours on the Z curve, of one key each (written)."""
+    keys = [key] if key else []
+    bits = max(1, min(8, 62 // len(dims)))
+    steps = [i / 2**bits for i in range(1, 2**bits)][:QUANTILES]
+    marks = points.agg(*[F.percentile_approx(d, F.array(*map(F.lit, steps)), F.lit(1000)).alias(d) for d in dims]).first()
+    splits = [np.unique(np.array(m or [], float)) for m in marks]
+
+    def place(batches):
+        for pdf in batches:
+            yield pdf.assign(_z=z_order(pdf[dims].to_numpy(dtype=float), splits, bits))
 
-    Without ``value``: the points no other point dominates.  With it: all points
-    plus ``reach`` = the largest ``value`` among the other points at or below
-    them on ``dims`` (-inf if there is none).
+    def cut(batches):
+        task = TaskContext.get()
+        at, size, was = (task.partitionId() if task else 0) << 32, 0, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            of, place = pdf[key].to_numpy() if key else np.zeros(len(pdf)), np.arange(len(pdf))
+            new = np.append(was is None or of[0] != was, of[1:] != of[:-1])
+            since = place - np.maximum.accumulate(np.where(new, place, -size))  # rows of the key so far
+            number = at + np.cumsum(since % rows == 0)
+            at, size, was = int(number[-1]), int(since[-1]) + 1, of[-1]
+            yield pdf.drop(columns="_z").assign(_region=number)
+
+    placed = points.mapInPandas(place, points.select("*", F.lit(0).cast("long").alias("_z")).schema)
+    # the hash divides rows that share a place, so no place is one task
+    dealt = placed.repartitionByRange(*keys, "_z", F.xxhash64(*dims)).sortWithinPartitions(*keys, "_z", F.xxhash64(*dims))
+    return materialize(dealt.mapInPandas(cut, points.select("*", F.lit(0).cast("long").alias("_region")).schema), "regions")
+
+
+def region_pairs(points: DataFrame, dims: list[str], key: str | None, value: str | None) -> DataFrame:
+    """``(_region, others, known)``: the regions each region has to meet, by their lower and upper corners.
+
+    A region whose lower corner is not at or below another's upper corner reaches none of its points: they never
+    meet.  One whose upper corner is below the other's lower corner reaches all of them at once: without ``value``
+    the other region is gone, with it ``known`` = the largest such value, and regions that cannot raise it or whose
+    points all have no more than it are left out.
     """
-    cols = list(points.columns)
     keys = [key] if key else []
-    hashed = points.withColumn("_blk", F.pmod(F.xxhash64(*dims), F.lit(blocks)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    cand = (hashed.withColumn("_o", F.explode(every)).withColumn("_role", F.lit(0))
-            .withColumn("_cell", F.col("_blk") * blocks + F.col("_o")))
-    pool = (hashed.withColumn("_o", F.explode(every)).withColumn("_role", F.lit(1))
-            .withColumn("_cell", F.col("_o") * blocks + F.col("_blk")))
-    both = cand.unionByName(pool).drop("_blk", "_o")
+    v = F.col(value) if value else F.lit(0.0)
+    corners = points.groupBy("_region", *keys).agg(
+        F.array(*[F.min(d) for d in dims]).alias("low"), F.array(*[F.max(d) for d in dims]).alias("high"), F.max(v).alias("top"))
+    corners = materialize(corners.withColumn("pack", F.pmod(F.xxhash64("_region"), F.lit(max(1, math.ceil(
+        points.select("_region").distinct().count() / CORNERS)))).cast("int")), "corners")
+    packs = (corners.agg(F.max("pack")).first()[0] or 0) + 1
+    every = F.explode(F.sequence(F.lit(0), F.lit(packs - 1)))
+    mine = corners.withColumns({"other": every, "role": F.lit(0)})
+    theirs = corners.withColumnRenamed("pack", "other").withColumns({"pack": every, "role": F.lit(1)})
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        c, p = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
+        if c.empty or p.empty:
+            return pd.DataFrame({"_region": np.empty(0, np.int64), "others": np.empty(0, object), "known": np.empty(0)})
+        box = lambda f, n: np.stack(f[n].to_numpy()).astype(float)
+        some = np.ones((len(c), len(p)), bool)
+        whole, strict = some.copy(), np.zeros_like(some)
+        for d in range(len(dims)):
+            some &= box(p, "low")[None, :, d] <= box(c, "high")[:, None, d]
+            whole &= box(p, "high")[None, :, d] <= box(c, "low")[:, None, d]
+            strict |= box(p, "high")[None, :, d] < box(c, "low")[:, None, d]
+        whole &= strict
+        top = p["top"].to_numpy(float)
+        known = np.where(whole, top[None] if value else np.inf, -np.inf).max(axis=1)
+        if value:
+            some &= (top[None] > known[:, None]) & (known < c["top"].to_numpy(float))[:, None]
+        else:
+            some &= ~np.isposinf(known)[:, None]
+        ids = p["_region"].to_numpy()
+        return pd.DataFrame({"_region": c["_region"].to_numpy(), "others": [ids[r].tolist() for r in some], "known": known})
+
+    met = mine.unionByName(theirs).groupBy("pack", "other", *keys).applyInPandas(meet, "_region long, others array<long>, known double")
+    merged = met.groupBy("_region").agg(F.flatten(F.collect_list("others")).alias("others"), F.max("known").alias("known"))
+    if not value:  # one pack may rule out what another one kept
+        merged = merged.filter("known < double('inf')")
+    return materialize(merged, "meetings")
+
+
+def dominance_cells(points: DataFrame, dims: list[str], key: str | None, rows: int = DOMINANCE_ROWS,
+                    value: str | None = None) -> DataFrame:
+    """Compare points with all others they can depend on, inside cells of ``rows`` x ``rows`` points at most.
 
+    Without ``value``: the points no other point dominates.  With it: the points with ``reach`` = the largest
+    ``value`` among the other points at or below them on ``dims`` (-inf if there is none), of those whose ``reach``
+    is below their own value.  Points are distinct on ``dims``.
+    """
+    cols = list(points.columns)
+    if points.count() <= rows:
+        near = points.withColumns({"known": F.lit(float("-inf")), "_n": F.lit(1)})
+        both = [near.withColumn("_role", F.lit(role)) for role in (0, 1)]
+        return _compared(both[0].unionByName(both[1]), [key] if key else ["_n"], cols, dims, points, value)
+    placed = with_regions(points, dims, key, rows)
+    pairs = region_pairs(placed, dims, key, value)
+    cand = (placed.join(pairs, "_region").withColumn("_n", F.size("others"))
+            .select(*cols, "known", "_n", F.col("_region").alias("_c"), F.explode("others").alias("_p"), F.lit(0).alias("_role")))
+    wanted = pairs.select(F.col("_region").alias("_c"), F.explode("others").alias("_p"))
+    pool = placed.join(wanted, F.col("_region") == F.col("_p")).select(
+        *cols, F.lit(0.0).alias("known"), F.lit(1).alias("_n"), "_c", "_p", F.lit(1).alias("_role"))
+    return _compared(cand.unionByName(pool), ["_c", "_p"], cols, dims, points, value)
+
+
+def _compared(rows: DataFrame, cell_by: list[str], cols: list[str], dims: list[str], points: DataFrame, value: str | None) -> DataFrame:
+    """Candidates (role 0) against the pool (role 1) of each cell; a candidate survives if it does in all its cells."""
     def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = pdf[pdf["_role"] == 0]
-        p = pdf[pdf["_role"] == 1]
+        c, p = pdf[pdf["_role"] == 0], pdf[pdf["_role"] == 1]
         cm, pm = c[dims].to_numpy(dtype=float), p[dims].to_numpy(dtype=float)
         if value is None:
-            return c.loc[_undominated(cm, pm), cols]
-        pv = p[value].to_numpy(dtype=float)
-        reach = np.full(len(c), -np.inf)
-        step = max(1, 4_000_000 // max(1, len(pm)))
-        for lo in range(0, len(cm), step):
-            chunk = cm[lo:lo + step]
-            below = np.ones((len(chunk), len(pm)), dtype=bool)
-            same = np.ones_like(below)
-            for j in range(len(dims)):
-                below &= pm[None, :, j] <= chunk[:, j, None]
-                same &= pm[None, :, j] == chunk[:, j, None]
-            reach[lo:lo + step] = np.where(below & ~same, pv[None, :], -np.inf).max(axis=1, initial=-np.inf)
-        return c[cols].assign(reach=reach)
+            return c.loc[undominated(cm, pm), [*cols, "_n"]]
+        return c[cols].assign(reach=np.maximum(reach(cm, pm, p[value].to_numpy(dtype=float)), c["known"].to_numpy(float)))
 
-    schema = points.schema
-    if value is not None:
-        schema = points.select("*", F.lit(0.0).alias("reach")).schema
-    if blocks > 1:
-        # few bytes but much work: keep adaptive execution from merging the cells
-        both = both.repartition(min(8 * blocks * blocks, 100_000), *keys, "_cell")
-    parts = both.groupBy(*keys, "_cell").applyInPandas(cell, schema=schema)
+    extra = F.lit(0.0).alias("reach") if value else F.lit(0).alias("_n")
+    parts = rows.groupBy(*cell_by).applyInPandas(cell, points.select("*", extra).schema)
     if value is not None:
-        return parts.groupBy(*cols).agg(F.max("reach").alias("reach"))
-    return parts.groupBy(*cols).agg(F.count("*").alias("_n")).filter(F.col("_n") == blocks).drop("_n")
+        return parts.groupBy(*cols).agg(F.max("reach").alias("reach")).filter(F.col("reach") < F.col(value))
+    return parts.groupBy(*cols, "_n").agg(F.count("*").alias("_met")).filter("_met = _n").select(*cols)

@@ -175,6 +175,7 @@ def test_many_blocks_and_buckets_give_the_same_result(spark, monkeypatch):
     import nearfd.operators.discover as d
     monkeypatch.setattr(d, "SMALL", 0)
     monkeypatch.setattr(d, "DOMINANCE_ROWS", 7)
+    monkeypatch.setattr(d, "CELL", 5)
     got = {tuple(sorted(r.asDict(True)["lhs"].items())) + (r["rhs"], r["rhs_threshold"])
            for r in d.discover_all(df).collect()}
     assert got == want
@@ -272,6 +273,39 @@ def test_bounded_local_pools_stay_exact(spark):
     assert got == brute.minimal(set(rows))
 
 
+def test_regions_that_cannot_reach_each_other_never_meet(spark):
+    """On correlated points a region meets a few others; on any points the result stays exact."""
+    rng = random.Random(3)
+    base = [rng.random() for _ in range(2000)]
+    rows = [(x + rng.random() / 50, x + rng.random() / 50, rng.random()) for x in base]
+    df = spark.createDataFrame(rows, "a double, b double, r double")
+    placed = blocks.with_regions(df, ["a", "b"], None, 25)
+    sizes = [r["count"] for r in placed.groupBy("_region").count().collect()]
+    assert max(sizes) <= 25 and sum(sizes) == 2000 and len(sizes) >= 80
+    met = blocks.region_pairs(placed, ["a", "b"], None, None).collect()
+    assert sum(len(r.others) for r in met) < 10 * len(sizes) < len(sizes) ** 2 / 4
+    assert len(met) < len(sizes) / 2  # whole regions are dominated before any point is looked at
+    best = {tuple(r) for r in blocks.dominance_cells(df.select("a", "b"), ["a", "b"], None, 25).collect()}
+    assert best == brute.minimal({r[:2] for r in rows})
+    got = {(r.a, r.b): r.reach for r in blocks.dominance_cells(df, ["a", "b"], None, 25, value="r").collect()}
+    want = {}
+    for a, b, r in rows:
+        reach = max((z for x, y, z in rows if x <= a and y <= b and (x, y) != (a, b)), default=-float("inf"))
+        if reach < r:
+            want[(a, b)] = reach
+    assert got == want
+
+
+def test_regions_have_one_key_and_many_packs(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "CORNERS", 4)
+    rng = random.Random(6)
+    rows = list({(rng.randint(0, 2), float(rng.randint(0, 20)), float(rng.randint(0, 20))) for _ in range(600)})
+    df = spark.createDataFrame(rows, "side int, a double, b double")
+    got = {tuple(r) for r in blocks.dominance_cells(df, ["a", "b"], "side", 16).collect()}
+    want = {(s, *p) for s in range(3) for p in brute.minimal({r[1:] for r in rows if r[0] == s})}
+    assert got == want
+
+
 def test_split_sides(spark):
     pairs = pair_distances(spark.createDataFrame(NUMERIC, NUMERIC_COLS))
     assert split_sides(pairs, "age").columns == ["RHS", "height", "weight", "shoe_size"]
