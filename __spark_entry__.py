@@ -16,7 +16,7 @@ from nearfd import (
     similar_values, similarity_join, skyline, sniff_csv, sort_table, split_sides, stream_project, stream_source,
     stream_topk, string_pairs, table_profile, taxonomy_distance, taxonomy_pairs, union_wide, value_islands, with_row_id, write_rfds,
     write_stream, write_table)
-from nearfd.plans.profiles import event_profile, order_profile, part_profile, table
+from nearfd.plans.profiles import SHIPPING, event_profile, order_profile, part_profile, shipping_profile, table
 
 try:  # the training-data subpackage may be absent
     import corpus_pipeline  # noqa: F401
@@ -109,6 +109,12 @@ def q_pairs_lineitem(spark, d):
     return pair_distances(table(spark, d, "lineitem"), ["l_discount", "l_tax", "l_returnflag", "l_linestatus"])
 
 
+def q_pairs_wide(spark, d):
+    """20 attributes of 83 months: packed vectors."""
+    out = pair_distances(shipping_profile(spark, d, "month"))
+    return out.select(*[finite(F.col(c)).alias(c) for c in SHIPPING])
+
+
 def q_split_sides(spark, d):
     return split_sides(supplier_pairs(spark, d), "s_nationkey")
 
@@ -169,6 +175,12 @@ def q_discover_one(spark, d):
     return wide(discover(pairs, attrs[0], attrs[1:]), attrs)
 
 
+def q_discover_wide(spark, d):
+    """Dependencies of one right side on 19 other attributes."""
+    pairs = pair_distances(shipping_profile(spark, d, "quarter"))
+    return wide(discover(pairs, "n_items"), list(SHIPPING))
+
+
 def q_discover_compat(spark, d):
     pairs = pair_distances(table(spark, d, "supplier"), SUPPLIER_KEYED)
     return wide(discover(pairs, compat_int_rhs=True), SUPPLIER_KEYED)
@@ -620,6 +632,8 @@ def queries() -> dict[str, Query]:
         "pair_distances_dates": q_pairs_dates,
         "pair_distances_customer": q_pairs_customer,
         "pair_distances_lineitem": q_pairs_lineitem,
+        "pair_distances_wide": q_pairs_wide,
+        "discover_wide": q_discover_wide,
         "split_sides": q_split_sides,
         "distance_medians": q_medians,
         "skyline_part": q_skyline_part,
@@ -805,6 +819,12 @@ def oracle_sql() -> dict[str, str]:
     event_src = ("SELECT ts::DATE AS day, event_type AS kind, count(*) AS n_events, "
                  "nullif(floor(max(value))::BIGINT % 7, 0) AS max_value FROM events GROUP BY 1, 2")
     event_attrs = {"day": "days", "kind": "edit", "n_events": "abs", "max_value": "abs"}
+    shipping = {c: {"flags": "edit", "first_day": "days"}.get(c, "abs") for c in SHIPPING}
+
+    def shipping_src(period: str) -> str:
+        columns = ", ".join(f"{e} AS {c}" for c, e in SHIPPING.items())
+        return f"SELECT {columns} FROM lineitem GROUP BY date_trunc('{period}', l_shipdate)"
+
     order_rfds_sql = "WITH " + sql_rfds(order_src, order_attrs)
     vec_sup = "WITH " + sql_vectors("SELECT * FROM supplier", sup)
     wide_orders = sql_wide(ORDERS)
@@ -891,6 +911,10 @@ def oracle_sql() -> dict[str, str]:
         "pair_distances_lineitem": "WITH " + sql_vectors(
             "SELECT * FROM lineitem",
             {"l_discount": "abs", "l_tax": "abs", "l_returnflag": "edit", "l_linestatus": "edit"}) + " SELECT * FROM vec",
+        "pair_distances_wide": "WITH " + sql_vectors(shipping_src("month"), shipping)
+            + f" SELECT {', '.join(sql_big(c) for c in SHIPPING)} FROM vec",
+        "discover_wide": "WITH " + sql_rfds(shipping_src("quarter"), shipping, [("n_items", [c for c in SHIPPING if c != "n_items"])])
+            + f" SELECT {sql_wide(list(SHIPPING))} FROM rfds",
         "split_sides": f"{vec_sup} SELECT s_nationkey AS RHS, s_name, s_acctbal FROM vec",
         "distance_medians": vec_sup + " " + " UNION ALL ".join(
             f"SELECT '{c}' AS attr, median({c}::DOUBLE) AS median FROM vec" for c in SUPPLIER),

@@ -11,11 +11,13 @@ from ..functions.metrics import INF, Metric, choose_metrics, distance, is_whole
 from ..plans.blocks import block_count, pair_blocks
 from ..plans.prefix import exact_medians
 from ..session import materialize
+from .packed import packed_distances, unpacked
 from .taxonomy import ancestor_maps, with_ancestors
 
 Sides = list[tuple[str, list[str]]]
 DICTIONARY = 64  # values of a string column that get a distance table
 DICTIONARY_ROWS = 500  # tuples from which such a table pays off
+WIDE = 12  # attributes from which vectors travel packed
 WHOLE_HISTOGRAM = 250_000  # vectors whose values may be ranked in one task per attribute
 
 
@@ -81,7 +83,9 @@ def pair_distances(
     attribute tuples, so copies are folded before rows are paired: the cost is
     quadratic in distinct tuples, not in rows.  ``distinct=False`` keeps one row
     per pair with ``<id>_a < <id>_b``; ``ordered=True`` gives all n*n pairs with
-    the diagonal.  Both of these need ``id_col``.
+    the diagonal.  Both of these need ``id_col``.  Tables of more than ``WIDE``
+    attributes go through packed vectors, unless a metric is a function or the
+    taxonomy.
     """
     attrs = list(attrs) if attrs else [c for c in df.columns if c != id_col]
     kinds = choose_metrics(df, attrs, metrics, lexicon)
@@ -90,6 +94,14 @@ def pair_distances(
         raise ValueError("pairs of rows need id_col")
     spark = df.sparkSession
     cols = [F.col(f"`{c}`") for c in attrs]
+    if len(attrs) > WIDE and all(k in ("abs", "days", "edit") for k in kinds.values()):
+        vectors = packed_distances(df, attrs, kinds, decimals, id_col if by_row else None, blocks)
+        if not by_row:
+            return unpacked(vectors, attrs)
+        x, y = F.col("a"), F.col("b")
+        vectors = vectors.select(F.least(x, y).alias(f"{id_col}_a"), F.greatest(x, y).alias(f"{id_col}_b"), "vec")
+        result = unpacked(vectors, attrs)
+        return _both_ways(result, df, id_col, attrs) if ordered else result
     if by_row:
         rows = df.select(F.col(f"`{id_col}`"), *cols)
     else:
@@ -131,15 +143,18 @@ def pair_distances(
     x, y = _col("a", id_col), _col("b", id_col)
     ids = [F.least(x, y).alias(f"{id_col}_a"), F.greatest(x, y).alias(f"{id_col}_b")]
     result = pairs.select(*ids, *gaps)
-    if not ordered:
-        return result
+    return _both_ways(result, rows, id_col, attrs) if ordered else result
+
+
+def _both_ways(result: DataFrame, rows: DataFrame, id_col: str, attrs: list[str]) -> DataFrame:
+    """Each pair in both directions, and the diagonal."""
     a, b = f"{id_col}_a", f"{id_col}_b"
     # one pass gives both directions of a pair
     both = result.select(F.explode(F.array(
         F.struct(F.col(a).alias("x"), F.col(b).alias("y")),
         F.struct(F.col(b).alias("x"), F.col(a).alias("y")))).alias("p"), *[F.col(f"`{c}`") for c in attrs])
     both = both.select(F.col("p.x").alias(a), F.col("p.y").alias(b), *[F.col(f"`{c}`") for c in attrs])
-    diagonal = rows.select(F.col(f"`{id_col}`").alias(a), F.col(f"`{id_col}`").alias(b), *zero)
+    diagonal = rows.select(F.col(f"`{id_col}`").alias(a), F.col(f"`{id_col}`").alias(b), *[F.lit(0.0).alias(c) for c in attrs])
     return both.unionByName(diagonal)
 
 
