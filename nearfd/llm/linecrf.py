@@ -289,7 +289,7 @@ def score_quality(docs: DataFrame, model: dict | None, text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], schema=out)
 
     kept = [c for c in (docs.columns if keep is None else keep) if c != score_col]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("_scored"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(text_col).alias("text"))
     schema = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0.0).alias(score_col)).schema
     out = to_arrow_schema(schema)
     return rows.mapInArrow(run, schema)

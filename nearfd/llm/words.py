@@ -102,7 +102,8 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, powers: Powers) -> Words:
 
 
 def _factor(j: int) -> np.uint64:
-    return np.uint64((_BASE * (2 * j + 3) + 2 * j) & (2**64 - 1) | 1)
+    """Odd factor of place ``j``; no linear rule, or windows with words swapped in pairs would hash alike."""
+    return mix(np.full(1, (_BASE * (j + 1)) & (2**64 - 1), np.uint64))[0] | np.uint64(1)
 
 
 def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -3,6 +3,7 @@
 import hashlib
 import html
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -161,17 +162,82 @@ def test_near_duplicates_of_a_large_group(spark, cell):
     assert all(got[100 + d] == 100 + d for d in range(20))
 
 
-def test_op3_finds_near_copies(spark, data, docs):
+def brute_classes(texts, cfg=NearDup()):
+    """Components of the pairs whose weighted Jaccard similarity reaches the threshold, with exact frequencies; a
+    margin of one in a million is left to the single precision of the weights."""
+    bags = {}
+    for i, t in texts.items():
+        w = words(t)
+        bags[i] = Counter(tuple(w[k:k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+    df, n = Counter(x for b in bags.values() for x in b), len(texts)
+    idf = lambda x: 1 + cfg.idf_share * math.log(min(n / df[x], 1 / cfg.frequent)) / -math.log(cfg.frequent)
+    weight = {i: {x: (1 + math.log(c)) * idf(x) for x, c in b.items()} for i, b in bags.items()}
+    total, where, common = {i: sum(w.values()) for i, w in weight.items()}, defaultdict(list), defaultdict(float)
+    for i, w in weight.items():
+        for x in w:
+            where[x].append(i)
+    for x, ids in where.items():
+        for k, i in enumerate(ids):
+            for j in ids[k + 1:]:
+                common[i, j] += min(weight[i][x], weight[j][x])
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, j), c in common.items():
+        if c >= (cfg.threshold - 1e-6) * (total[i] + total[j] - c):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return {i: find(i) for i in texts}
+
+
+def test_op3_equals_exact_classes(spark, data, docs):
+    """Neither a lost link nor a false one, by weighted similarity at the threshold."""
     got = {r.doc_id: r.class_id for r in Q.op3_weighted_minhash(spark, data).collect()}
-    assert got.keys() == docs.keys()
-    sets = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for i, t in docs.items() for w in [words(t)]}
-    where = defaultdict(list)
-    for i, x in sets.items():
-        for y in x:
-            where[y].append(i)
-    pairs = Counter((a, b) for x in where.values() for n, a in enumerate(x) for b in x[n + 1:])
-    like = [p for p, n in pairs.items() if n / (len(sets[p[0]]) + len(sets[p[1]]) - n) >= 0.85]
-    assert sum(got[a] == got[b] for a, b in like) >= 0.97 * len(like)
+    want = brute_classes({i: t or "" for i, t in docs.items()})
+    empty_ = [i for i, t in docs.items() if not words(t)]
+    assert {i: c for i, c in got.items() if i not in empty_} == {i: c for i, c in want.items() if i not in empty_}
+
+
+def test_unrelated_texts_do_not_link(spark):
+    """40 texts of 96 common and 14 own words stay 40 classes, however many other texts there are: without idf their
+    similarity is 0.77, and other texts can only bring the weights nearer to that."""
+    common = [f"c{i}" for i in range(96)]
+    rows = [(d, " ".join(common + [f"o{d}-{i}" for i in range(14)])) for d in range(40)]
+    others = [(1000 + d, " ".join(f"u{d}-{i}" for i in range(60))) for d in range(3000)]
+    for table in (rows, rows + others):
+        got = near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).filter("doc_id < 1000").collect()
+        assert len({r.class_id for r in got}) == 40
+
+
+def test_frequencies_are_exact_over_slices(spark, monkeypatch):
+    import nearfd.llm.neardup as N
+
+    rng, cfg = random.Random(2), NearDup(frequent=0.05)
+    texts = [" ".join(rng.choice("aaab") for _ in range(rng.randint(6, 12))) for _ in range(700)] + ["z y x w v u"] * 30 + [None, "", "one"]
+    df = Counter(x for t in texts for w in [words(t)] for x in ({tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else ()))
+    want = sorted(n for n in df.values() if n >= 0.05 * len(texts))
+    for size in (4_000_000, 300):
+        monkeypatch.setattr(N, "SLICE_PAIRS", size)
+        ids, n, total = N.frequent_shingles(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), "text", cfg)
+        assert total == len(texts) and sorted(n.tolist()) == want and len(want) > 5
+    assert N.frequent_shingles(spark.createDataFrame([], "text string"), "text", cfg)[2] == 0
+
+
+def test_hot_bands_and_other_ids(spark, monkeypatch):
+    import nearfd.llm.neardup as N
+
+    monkeypatch.setattr(N, "HOT_BAND", 3)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(f"id{d:03}", " ".join([*base, f"n{d}"])) for d in range(40)] + [("zz", " ".join(f"q{i}" for i in range(50))), (None, "a b c d e f")]
+    table = spark.createDataFrame(rows, "doc_id string, text string").withColumns({c: F.lit(1) for c in ("_id", "_key", "row", "key", "of")})
+    got = {r.doc_id: r.class_id for r in near_duplicates(table).collect()}
+    assert got == {**{f"id{d:03}": "id000" for d in range(40)}, "zz": "zz", None: None}
+    kept = without_near_duplicates(table)
+    assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {"id000", "zz", None}
 
 
 # ------------------------------------------------------------------ op4
@@ -196,6 +262,89 @@ def test_op4_finds_passages(spark, data, docs):
     assert truth <= set(got) and min(got.values(), default=1) >= 0.8
 
 
+def brute_contamination(docs, items, threshold=0.8):
+    """All windows of all starts; {(doc, item): (similarity, starts that reach it)}."""
+    def hashed(text):
+        w = words(text.lower())
+        return [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+
+    of = {i: hashed(t) for i, t in items if t and i is not None and len(words(t)) >= 5}
+    df = Counter(h for i, hs in of.items() for h in set(hs))
+    weight = lambda h: round((1 + max(math.log((1 + len(of)) / (1 + df[h])), 0) / math.log(1 + len(of))) * 1e9) if h in df else 2 * 10**9
+    out = {}
+    for d, text in docs:
+        mine = hashed(text or "")
+        everything = set(mine)
+        for i, hs in of.items():
+            item = set(hs)
+            total = sum(map(weight, item))
+            if sum(map(weight, item & everything)) < threshold * total - 1:
+                continue
+            for start in range(max(len(mine) - len(hs), 0) + 1):
+                window = set(mine[start:start + len(hs)])
+                common = sum(map(weight, window & item))
+                sim = round(common / (total + sum(map(weight, window)) - common), 9)
+                if sim >= threshold - 1e-9:
+                    best, starts = out.get((d, i), (0, []))
+                    out[d, i] = (sim, [start]) if sim > best else (best, starts + [start] * (sim == best))
+    return out
+
+
+def same_as_brute(found, want):
+    assert {(r.doc_id, r.item_id): r.similarity for r in found} == {k: s for k, (s, _) in want.items()}
+    assert all(r.start in want[r.doc_id, r.item_id][1] for r in found)
+
+
+def test_op4_equals_brute_force(spark, data, docs):
+    bench = [(b.item_id, b.text) for b in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    same_as_brute(Q.op4_simhash_windows(spark, data).collect(), brute_contamination(docs.items(), bench))
+
+
+def test_windows_that_begin_before_the_item(spark):
+    """A light or repeated leading shingle makes another window than that of the first known shingle the best one."""
+    a = [f"a{i}" for i in range(12)]
+    items = [(0, " ".join(a))] + [(i, " ".join(["x", *a[:4]] + [f"i{i}w{j}" for j in range(15)])) for i in range(1, 51)]
+    items += [(60, " ".join(["r"] * 9 + [f"q{j}" for j in range(30)])), (61, " ".join(f"s{j % 7}" for j in range(40)))]
+    docs = [(1, " ".join(["x", *a[:11], "y"])), (2, " ".join(["r"] * 30 + [f"q{j}" for j in range(28)] + ["z"] * 9)),
+            (3, " ".join(["s6", "s5"] + [f"s{j % 7}" for j in range(200)])), (4, " ".join(a[:11])), (5, "u v w " * 40)]
+    want = brute_contamination(docs, items)
+    assert want[1, 0][0] > 0.8 and {1, 2, 3} <= {d for d, _ in want}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    same_as_brute(contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect(), want)
+
+
+def test_changed_passages_equal_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([12, 40, 60, 80])))) for i in range(40)]
+    docs = []
+    for d in range(400):
+        w = words(rng.choice(items)[1])
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(w))
+            w[at:at + rng.randint(0, 1)] = [rng.choice(vocabulary)] * rng.randint(0, 2)
+        docs.append((f"d{d}", " ".join([rng.choice(vocabulary) for _ in range(rng.randint(0, 20))] + w + [rng.choice(vocabulary) for _ in range(rng.randint(0, 20))])))
+    want = brute_contamination(docs, items)
+    assert len(want) > 100 and min(s for s, _ in want.values()) < 0.85
+    table = spark.createDataFrame(docs, "doc_id string, text string").withColumns({c: F.lit(1) for c in ("doc", "th", "n", "item", "start", "_doc")})
+    got = contamination(table, spark.createDataFrame(items, "item_id long, text string")).collect()
+    missed = set(want) - {(r.doc_id, r.item_id) for r in got}
+    assert len(missed) <= len(want) // 100  # fingerprints farther apart than the radius
+    same_as_brute(got, {k: v for k, v in want.items() if k not in missed})
+
+
+def test_the_index_prunes(spark):
+    """Random windows of the size of random items: few pairs share a block, fewer lie within the radius."""
+    import nearfd.llm.decontam as D
+
+    rng = random.Random(1)
+    sets = [(i, [(rng.getrandbits(63), 10**9) for _ in range(40)]) for i in range(600)]
+    prints = spark.createDataFrame(sets, "id int, set array<struct<h:long,w:long>>").withColumn("fp", D.simhash("set"))
+    keyed = lambda rows, flips, name: rows.select(F.col("id").alias(name), F.explode(D._blocks("fp", flips)).alias("b"))
+    met = keyed(prints.filter("id < 200"), 1, "a").join(keyed(prints.filter("id >= 200"), 2, "c"), "b").select("a", "c").distinct().count()
+    assert met < 0.12 * 200 * 400
+
+
 # ------------------------------------------------------------------ op5
 
 def brute_repeats(rows, size=20):
@@ -536,6 +685,27 @@ def test_decontamination_of_null_and_repeated_ids(spark, tmp_path):
     assert Counter(tuple(r) for r in clean.collect()) == Counter(r for r in rows if item not in (r[1] or ""))
 
 
+CLASHES = ("_id", "_key", "_doc", "_th", "_score", "_scored", "_domain", "_tokens", "_epochs", "row", "key", "hit", "c0", "domain", "tokens",
+           "epochs", "score", "rank")
+
+
+def test_stages_on_odd_tables(spark, data, tmp_path):
+    """Null and repeated ids, repeated rows, null columns, clashing names and empty tables, stage by stage."""
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"{data}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    few = spark.read.parquet(f"{data}/documents.parquet").filter("doc_id < 60")
+    strange = spark.createDataFrame([(i, t, None, None, None) for i, t in ODD if len(t or "") < 1000], few.schema)
+    table = few.unionByName(few.limit(3)).unionByName(strange).withColumns({c: F.lit("x") for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table, str(tmp_path))
+        want = [*table.columns, "shard", "slot"] if name == "sharding" else table.columns
+        rows = out.collect()
+        assert out.columns == want and len(rows) <= table.count(), name
+        assert all(r.row == "x" and r.rank == "x" for r in rows)
+        assert stage(spark, table.limit(0), str(tmp_path)).count() == 0, name
+    assert corpus_pipeline.shard(spark, table, str(tmp_path)).count() == table.count()
+
+
 def test_entry_has_all(spark):
     import __spark_entry__ as entry
 
