@@ -14,7 +14,7 @@ from nearfd.llm.hilbert import hilbert_shards
 from nearfd.llm.linecrf import score_quality, train
 from nearfd.llm.mixing import mix_sources
 from nearfd.llm.neardup import without_near_duplicates
-from nearfd.llm.queries import HELD_OUT, SEED, SHARDS, THRESHOLD, domain_of, source_tree
+from nearfd.llm.queries import HELD_OUT, LEVELS, SEED, SHARDS, THRESHOLD, domain_of, source_tree
 from nearfd.llm.rules import word_array
 from nearfd.session import materialize
 
@@ -24,8 +24,8 @@ MIX_SHARE = 0.8  # of the tokens that come in; every document is used at most on
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose line-labelled quality reaches the threshold; learned from the labels of its own input."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~F.expr(HELD_OUT))
-    scored = score_quality(docs, model, score_col="_score")
-    return scored.filter(F.col("_score") >= THRESHOLD).drop("_score")
+    rows = docs.select(F.struct("*").alias("row"), "text")  # one column, so no name of the table can clash
+    return score_quality(rows, model, keep=["row"]).filter(F.col("score") >= THRESHOLD).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,19 +36,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage; rows are told apart by id and text, so null and repeated ids do no harm."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_key=True)
-    hit = materialize(found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "contaminated")
-    key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
+    hit = materialize(found.select(F.struct("doc_id", "text_key").alias("hit")).distinct(), "contaminated")
+    rows = docs.select(F.struct("*").alias("row"))  # one column, so no name of the table can clash
+    key = F.struct(F.col("row.doc_id").alias("doc_id"), F.unhex(F.md5(F.coalesce("row.text", F.lit("")))).alias("text_key"))
+    return rows.join(hit, key == F.col("hit"), "left_anti").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fill the token budgets of the domain-language-source tree."""
-    levels = ["_domain", "lang", "source"]
-    rows = docs.select("*", domain_of(F.col("source")).alias("_domain"), F.size(word_array(F.col("text"))).cast("long").alias("_tokens"))
-    tree = source_tree(docs.withColumn("domain", domain_of(F.col("source"))))
-    tree = tree.withColumnsRenamed({"domain": "_domain", "w_domain": "w__domain"})
-    mixed = mix_sources(rows, tree, levels, "doc_id", "_tokens", share=MIX_SHARE, max_epochs=1, seed=SEED, epochs_col="_epochs")
-    return mixed.drop("_domain", "_tokens", "_epochs")
+    rows = docs.select(F.struct("*").alias("row"), domain_of(F.col("source")).alias("domain"), "lang", "source", "doc_id",
+                       F.size(word_array(F.col("text"))).cast("long").alias("tokens"))
+    tree = source_tree(rows)
+    return mix_sources(rows, tree, LEVELS, "doc_id", "tokens", share=MIX_SHARE, max_epochs=1, seed=SEED).select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
