@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "xmp"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "object", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl",
          "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr",
@@ -36,7 +37,7 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 # tags that hold running text; beside the article they are kept unless most of their text is links
 FLOW = {"p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "table", "figure"}
 LEFT_OUT = {"nav", "aside", "footer", "form", "menu", "select", "button", "dialog", "head", "audio", "video", "canvas",
-            "datalist", "fieldset", "label"} | RAW
+            "datalist", "fieldset"} | RAW
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar",
          "alertdialog", "toolbar", "status"}
 NAMES = re.compile(
@@ -44,6 +45,16 @@ NAMES = re.compile(
     r"side|aside|footer|foot|masthead|header|topbar|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|"
     r"login|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|reply|respond|widget|toolbar|"
     r"pagination|pager|skip|search|copyright|legal|disclaimer)(?:$|[-_\s\d])", re.I)
+# names of parts as whole tokens: all that counts inside an article or main, and for tags of running text
+PARTS = re.compile(
+    r"^(?:(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*)(?:[-_](?:slot|unit|box|block|container|wrapper|banner|label))?|"
+    r"banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|aside|footer|masthead|notice|cookies?|consent|gdpr|popup|modal|"
+    r"(?:cookie|newsletter|subscribe|signup|login)(?:[-_](?:form|box|bar|banner|notice|consent))?|"
+    r"(?:share|sharing|social)(?:[-_](?:buttons?|bar|links?|icons?|tools?|media|share))?|"
+    r"(?:related|recommended)(?:[-_](?:posts?|articles?|links?|stories|content|news|pages?))?|"
+    r"(?:comments?|commentlist|disqus|replies|respond)(?:[-_](?:area|list|section|thread|wrap|wrapper|container|form))?|"
+    r"widget|toolbar|pagination|pager)$", re.I)
+TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "figcaption", "td", "th", "dd", "dt"}
 STATES = re.compile(r"(?:^|[-_])(?:has|no|not|with|without)[-_]", re.I)  # such a token tells of a state
 HEADERS = re.compile(r"(?:^|[-_])header(?:$|[-_\d])", re.I)
 TITLES = re.compile(r"^(?:post|entry|article|story)[-_]+header(?:$|[-_\d])", re.I)
@@ -82,15 +93,19 @@ def _named(tag: str, attributes: str, in_article: bool) -> int:
     """Whether a token of class or id names a part that is left out: 0, 1, or 2 for reader comments.
 
     Tokens that tell of a state (has-sidebar, no-comments) name nothing; headers of an article are kept like
-    ``<header>`` in it.
+    ``<header>`` in it.  Inside an article or main element, and for tags of running text, only a whole token names a
+    part (share-buttons, but not share-prices); the id of a heading or paragraph is an anchor.
     """
     if not attributes or tag in ("html", "body", "article", "main"):
         return 0
     out = 0
     for m in ATTRIBUTE.finditer(attributes):
-        if m.group(1).lower() not in ("class", "id"):
+        if m.group(1).lower() not in (("class",) if tag in TEXTUAL else ("class", "id")):
             continue
         for token in (m.group(2) or m.group(3) or m.group(4) or "").split():
+            if in_article or tag in TEXTUAL:
+                out = max(out, 0 if not PARTS.search(token) else 2 if COMMENTS.search(token) else 1)
+                continue
             if not NAMES.search(token) or STATES.search(token):
                 continue
             if HEADERS.search(token) and (in_article or TITLES.search(token)) and not NAMES.search(HEADERS.sub("-", token)):
@@ -116,106 +131,163 @@ def _prune(root: Node) -> None:
     for x in reversed(order):
         size[id(x)] = sum(len("".join(k.split())) if isinstance(k, str) else size[id(k)] for k in x.kids)
 
-    def commented(x: Node) -> bool:
-        while x is not None:
-            if x.named == 2:
-                return True
-            x = x.parent
-        return False
-
-    marked = [x for x in order if x.tag in ("main", "article") and size[id(x)] and not commented(x)]
+    commented: set[int] = set()  # parents come before their children
+    for x in order:
+        if x.named == 2 or x.parent is not None and id(x.parent) in commented:
+            commented.add(id(x))
+    marked = [x for x in order if x.tag in ("main", "article") and size[id(x)] and id(x) not in commented]
     text = max(marked, key=lambda x: (x.tag == "main", size[id(x)]), default=None)
     wrappers = set()
     while text is not None:
         wrappers.add(id(text))
         text = text.parent
+    gone, parents = set(), {}
     for x in order:
         whole = id(x) in wrappers if marked else x.named == 1 and size[id(x)] * 2 > size[id(root)]
         if x.named and not whole:
-            x.parent.kids = [k for k in x.parent.kids if k is not x]
+            gone.add(id(x))
+            parents[id(x.parent)] = x.parent
+    for x in parents.values():
+        x.kids = [k for k in x.kids if id(k) not in gone]
+
+
+def tokens(page: str):
+    """``(text from, text to, end tag, name, attributes)``: the text before each tag, then the tag.
+
+    Comments and declarations are tags without a name; a tag that the page ends in is dropped with what follows.  Quotes
+    hide ``>`` if they are closed and a ``>`` follows outside of them; else the tag ends at its first ``>``.  Places
+    from which no end was found are remembered, so every place is passed a bounded number of times.  A place that is sent
+    to the generator is where it goes on.
+    """
+    n, last, dead = len(page), page.rfind(">"), set()
+    pos = at = 0
+
+    def end_of(i: int) -> int:
+        path = []
+        while i not in dead:
+            path.append(i)
+            m = STOP.search(page, i) if i <= last else None
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.start()
+            close = page.find(m[0], m.end())
+            if close < 0:
+                break
+            i = close + 1
+        dead.update(path)
+        return -1
+
+    while True:
+        lt = page.find("<", at)
+        if lt < 0 or lt + 1 >= n:
+            yield pos, n, False, "", ""
+            return
+        jump = None
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            yield pos, lt, False, "", ""
+            pos = at = n if end < 0 else end + 3
+            continue
+        ends = page[lt + 1] == "/"
+        name = NAME.match(page, lt + 1 + ends)
+        if name is None and page[lt + 1] not in "!?/":
+            at = lt + 1  # a plain sign
+            continue
+        if lt > last:  # nothing closes it
+            yield pos, lt, False, "", ""
+            return
+        if name is None:
+            end = page.find(">", lt)
+            yield pos, lt, False, "", ""
+        else:
+            end = end_of(name.end())
+            end = page.find(">", name.end()) if end < 0 else end
+            jump = yield pos, lt, ends, name[0].lower(), page[name.end():end]
+        pos = at = end + 1 if jump is None else jump(end + 1)
+
+
+def _raw_end(page: str, after: int, tag: str) -> int:
+    """Where the element ends whose content is no markup."""
+    m = re.compile(rf"</{re.escape(tag)}(?![^\s/>])", re.I).search(page, after)
+    end = page.find(">", m.end()) if m else -1
+    return end + 1 if end >= 0 else len(page)
 
 
 def parse(page: str) -> Node:
     """Element tree; text is kept as strings among an element's ``kids``."""
     root = Node("#page", None)
-    at, skip, article = root, None, 0  # skip: the element that is being left out
-    pos, n = 0, len(page)
-
-    def close(node: Node) -> Node:
-        nonlocal skip, article
-        top = at
-        while top is not node.parent:
-            if top is skip:
+    stack, skip = [root], None  # skip: the element that is being left out
+    depths: dict[str, list[int]] = {}  # places in the stack by tag
+
+    def depth(*tags: str) -> int:
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=-1)
+
+    def close(to: int) -> None:
+        nonlocal skip
+        while len(stack) > to:
+            node = stack.pop()
+            depths[node.tag].pop()
+            if node is skip:
                 skip = None
-            if top.tag == "article":
-                article -= 1
-            top = top.parent
-        return node.parent
-
-    while pos < n:
-        m = TOKEN.search(page, pos)
-        end = m.start() if m else n
-        if end > pos and skip is None:
-            at.kids.append(page[pos:end])
-        if not m:
+
+    found, jump = tokens(page), None
+    while True:
+        try:
+            lo, hi, ends, tag, attributes = found.send(jump)
+        except StopIteration:
             break
-        pos = m.end()
-        tag = (m.group(2) or m.group(5) or "").lower()
+        jump = None
+        if hi > lo and skip is None:
+            stack[-1].kids.append(page[lo:hi])
         if not tag:
             continue
-        if m.group(1) or m.group(4):
-            node = at
-            while node.parent is not None and node.tag != tag:
-                if node.tag in ("article", "table", "body") and tag not in ("body", "html", "article", "main", "div", "section", "table"):
-                    node = root
-                    break
-                node = node.parent
-            if node.parent is not None:
-                at = close(node)
+        if ends:
+            i = depth(tag)
+            barrier = -1 if tag in ("body", "html", "article", "main", "div", "section", "table") else depth("article", "table", "body")
+            if i > barrier:
+                close(i)
             continue
         for open_tag, by in ENDS.items():
-            if tag in by:
-                node, stop = at, SCOPE.get(open_tag, {"table", "td", "th", "button", "caption"})
-                while node.parent is not None and node.tag != open_tag and node.tag not in stop:
-                    node = node.parent
-                if node.parent is not None and node.tag == open_tag:
-                    at = close(node)
-        attributes = m.group(3) or m.group(6) or ""
-        node = Node(tag, at)
+            if tag in by and (i := depth(open_tag)) > depth(*SCOPE.get(open_tag, ("table", "td", "th", "button", "caption"))):
+                close(i)
+        if tag in RAW:
+            jump = lambda after, tag=tag: _raw_end(page, after, tag)
+            continue
+        inside = depth("article", "main") >= 0
+        node = Node(tag, stack[-1])
         if skip is None:
-            at.kids.append(node)
+            stack[-1].kids.append(node)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             continue
-        if tag in RAW:
-            done = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
-            if skip is None:
-                at.kids.pop()
-            pos = done.end() if done else n
-            continue
-        at = node
         if tag == "body" and skip is not None and skip.tag == "head":
             skip = None
-            at.parent = root
-            root.kids.append(at)
-        elif skip is None and _left_out(tag, attributes, article > 0):
+            node.parent = root
+            root.kids.append(node)
+        elif skip is None and _left_out(tag, attributes, inside):
             node.parent.kids.pop()
             skip = node
         elif skip is None:
-            node.named = _named(tag, attributes, article > 0)
-        if tag == "article":
-            article += 1
+            node.named = _named(tag, attributes, inside)
+        depths.setdefault(tag, []).append(len(stack))
+        stack.append(node)
     _prune(root)
     return root
 
 
-def _measure(root: Node) -> list[Node]:
-    """Counts, densities and sums of all elements, children before parents."""
-    order, stack = [], [root]
+def _subtree(top: Node) -> list[Node]:
+    """All elements of a subtree, children before parents."""
+    order, stack = [], [top]
     while stack:
         node = stack.pop()
         order.append(node)
         stack += [k for k in node.kids if isinstance(k, Node)]
-    order.reverse()
+    return order[::-1]
+
+
+def _measure(root: Node) -> list[Node]:
+    """Counts, densities and sums of all elements, children before parents."""
+    order = _subtree(root)
     for node in order:
         for k in node.kids:
             if isinstance(k, str):
@@ -274,7 +346,7 @@ def main_text(page: str | None) -> str:
     order = _measure(root)
     bodies = [x for x in order if x.tag == "body"]
     body = bodies[-1] if bodies and bodies[-1].chars * 2 >= root.chars else root
-    inside = order if body is root else [x for x in order if _within(x, body)]
+    inside = order if body is root else _subtree(body)
     if not body.chars:
         return ""
     best = max((x for x in reversed(inside) if x.tag in BLOCK or x is body), key=lambda x: (x.total, x.chars))
@@ -351,14 +423,6 @@ def _container(path: list[Node]) -> int:
     return at
 
 
-def _within(node: Node, top: Node) -> bool:
-    while node is not None:
-        if node is top:
-            return True
-        node = node.parent
-    return False
-
-
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id_col, url, text, n_chars``, one row per input row.
 
