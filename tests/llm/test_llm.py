@@ -213,7 +213,8 @@ def test_unrelated_texts_do_not_link(spark):
         assert len({r.class_id for r in got}) == 40
 
 
-def test_frequencies_are_exact_over_slices(spark, monkeypatch):
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_frequencies_are_exact_over_slices(spark, monkeypatch, tasks):
     import nearfd.llm.neardup as N
 
     rng, cfg = random.Random(2), NearDup(frequent=0.05)
@@ -222,7 +223,7 @@ def test_frequencies_are_exact_over_slices(spark, monkeypatch):
     want = sorted(n for n in df.values() if n >= 0.05 * len(texts))
     for size in (4_000_000, 300):
         monkeypatch.setattr(N, "SLICE_PAIRS", size)
-        ids, n, total = N.frequent_shingles(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), "text", cfg)
+        ids, n, total = N.frequent_shingles(spark.createDataFrame([(t,) for t in texts], "text string").repartition(tasks), "text", cfg)
         assert total == len(texts) and sorted(n.tolist()) == want and len(want) > 5
     assert N.frequent_shingles(spark.createDataFrame([], "text string"), "text", cfg)[2] == 0
 
