@@ -215,6 +215,14 @@ def q_extent(spark, d):
     return rfd_extent(table(spark, d, "supplier"), SUPPLIER_RFD, "s_suppkey")
 
 
+WIDE_RFD = Rfd({"s_acctbal": 5500.0}, "s_nationkey", 12.0, "half of the range")
+
+
+def q_extent_boxes(spark, d):
+    """Thresholds of half the range: windows instead of pairs."""
+    return rfd_extent(table(spark, d, "supplier"), WIDE_RFD, "s_suppkey")
+
+
 # -------------------------------------------------------------- predicates
 
 def parts(spark, d) -> DataFrame:
@@ -651,6 +659,7 @@ def queries() -> dict[str, Query]:
         "rfd_holds": q_holds,
         "rfd_edges": q_edges,
         "rfd_extent": q_extent,
+        "rfd_extent_boxes": q_extent_boxes,
         "similar_values": q_similar_values,
         "string_join": q_string_join,
         "string_join_customer": q_string_join_long,
@@ -968,6 +977,11 @@ q AS (SELECT [s_suppkey] AS ids, s_suppkey AS last FROM supplier
   WHERE (SELECT count(*) FROM e x WHERE x.dst = e.dst AND list_contains(q.ids, x.src)) = len(q.ids)),
 best AS (SELECT ids FROM q ORDER BY len(ids) DESC, ids LIMIT 1)
 SELECT unnest(ids) AS s_suppkey FROM best""",
+        "rfd_extent_boxes": """WITH b AS (SELECT x.s_acctbal AS x0, y.s_nationkey AS y0, count(*) AS n, list(s.s_suppkey ORDER BY s.s_suppkey) AS ids
+  FROM (SELECT DISTINCT s_acctbal FROM supplier) x, (SELECT DISTINCT s_nationkey FROM supplier) y JOIN supplier s
+  ON s.s_acctbal >= x.s_acctbal AND round(s.s_acctbal - x.s_acctbal, 6) <= 5500 AND s.s_nationkey BETWEEN y.s_nationkey AND y.s_nationkey + 12
+  GROUP BY 1, 2 ORDER BY n DESC, ids LIMIT 1)
+SELECT unnest(ids) AS s_suppkey FROM b""",
         "similar_values": "SELECT DISTINCT p_name FROM part WHERE levenshtein(p_name, 'small rings') <= 3",
         "string_join": "WITH n AS (SELECT DISTINCT p_name AS v FROM part) SELECT a.v AS l, b.v AS r FROM n a, n b "
             "WHERE levenshtein(a.v, b.v) <= 3",

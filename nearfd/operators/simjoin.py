@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.metrics import INF, MICROS_PER_DAY, Metric, micros, within
 
@@ -114,10 +115,12 @@ def _band(kind: Metric, t: float, left: Column, right: Column) -> tuple[Column,
         width = (int(t) + 1) * float(MICROS_PER_DAY)
         slack = F.lit(1.0)
     else:
-        left, right = left.cast("double"), right.cast("double")
+        # NaN meets null, an infinite value only itself
+        left, right = (F.when(~F.isnan(x), x) for x in (left.cast("double"), right.cast("double")))
         width = float(t)
         slack = F.abs(right) * 1e-12 + 1e-6
     reach = F.sequence(F.floor((right - width - slack) / width), F.floor((right + width + slack) / width))
+    reach = F.when(F.abs(right) == INF, F.array(F.floor(right / width))).otherwise(reach)
     none = F.array(F.lit(None).cast("bigint"))
     return F.floor(left / width), F.when(right.isNull(), none).otherwise(reach)
 
@@ -168,6 +171,8 @@ def similarity_join(left: DataFrame, right: DataFrame, on: Conditions, how: str
             keys.append(a.eqNullSafe(key))
             continue
         if kind in ("abs", "edit") and (t == 0 or (kind == "edit" and t < 1)):
+            if kind == "abs" and isinstance(left.schema[c].dataType, (T.DoubleType, T.FloatType)):
+                a, b = (F.when(~F.isnan(x), x) for x in (a, b.cast("double")))
             keys.append(a.eqNullSafe(b))
         elif kind in ("abs", "days") and bands < MAX_BANDS:
             bands += 1

@@ -292,3 +292,38 @@ def test_not_a_number_counts_as_null(spark):
     got = {(r["id_a"], r["id_b"]): r["x"] for r in pair_distances(df, ["x"], id_col="id", distinct=False).collect()}
     inf = float("inf")
     assert got == {(1, 2): 0.0, (1, 3): inf, (1, 4): 0.0, (2, 3): inf, (2, 4): 0.0, (3, 4): inf}
+
+
+@pytest.mark.parametrize("seed,piece", [(1, 512), (2, 4), (3, 1), (4, 7)])
+def test_boxes_equal_cliques(spark, monkeypatch, seed, piece):
+    """Sweeping boxes and the maximum clique over all pairs name the same rows, ties included."""
+    import nearfd.operators.extent as extent
+    from nearfd.operators.check import rfd_nodes as nodes_of
+
+    monkeypatch.setattr(extent, "PIECE", piece)
+    rng = random.Random(seed)
+    odd = [None, float("nan"), float("inf"), float("-inf")]
+    rows = [(i, rng.randint(0, 12), rng.choice(odd) if rng.random() < 0.2 else rng.randint(0, 40) / 4, rng.choice(["a", "b", None]),
+             rng.choice([None, *range(9)])) for i in range(70)]
+    df = spark.createDataFrame(rows, "id int, a int, x double, s string, k int").withColumn(
+        "day", F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, k, (id * 7) % 24)")).drop("k")
+    for rfd in (Rfd({"a": 5.0}, "x", 4.0), Rfd({"x": 3.25}, "day", 3.0), Rfd({"a": 6.0, "x": 5.0}, "day", 4.0), Rfd({"s": 0.0}, "x", 2.0),
+                Rfd({"a": float("inf")}, "x", 0.0), Rfd({"a": float("inf")}, "s", 0.0)):
+        nodes = nodes_of(df, rfd, "id").cache()
+        want = max_clique(nodes, rfd_edges(df, rfd, "id", None, nodes)).first()
+        chosen = set(want["clique"])
+        ids = {r["id"] for r in extent.node_members(df, nodes, rfd, "id").collect() if r["node"] in chosen}
+        got = {r["id"] for r in rfd_extent(df, rfd, "id").collect()}
+        assert got == ids, rfd
+
+
+def test_wide_boxes_need_no_edges(spark, monkeypatch):
+    import nearfd.operators.extent as extent
+
+    monkeypatch.setattr(extent, "rfd_edges", None)
+    df = spark.range(3000).selectExpr("id", "id % 97 as a", "id * 37 % 1009 as b")
+    got = {r["id"] for r in rfd_extent(df, Rfd({"a": 48.0}, "b", 504.0), "id").collect()}
+    rows = [(i % 97, i * 37 % 1009) for i in range(3000)]
+    best = max(sum(x <= a <= x + 48 and y <= b <= y + 504 for a, b in rows) for x in range(97) for y in range(0, 1009, 1)
+               if x <= 48 and y <= 504)
+    assert len(got) == best
