@@ -2,10 +2,11 @@
 
 Every join is an equi-join on derived keys followed by an exact check: numbers
 and dates meet in bands of the threshold's width, equal values meet as they are,
-strings meet through common deletion variants or through shared segments (a
-string cut into t+1 pieces keeps one piece intact under t edits; Li et al.,
-PassJoin, VLDB 2012).  The keys of one
-side are copied to the neighbouring bands, the other side is never copied.
+strings meet through common deletion variants or through one of their rarest
+q-grams (t edits touch at most q * t grams, so of the q * t + 1 rarest grams of
+two strings one is common and moved by at most t places; Chaudhuri et al., ICDE
+2006; Xiao et al., VLDB 2008).  The keys of one side are copied to the
+neighbouring bands, the other side is never copied.
 """
 
 from __future__ import annotations
@@ -18,9 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.metrics import INF, MICROS_PER_DAY, Metric, micros, within
+from ..session import materialize
 
 MAX_BANDS = 3
 SALTS = 16
+SLOTS = 1 << 16  # hash slots in which gram frequencies are counted; any order of grams gives the same pairs
+HEAVY = 512  # strings of one gram key that meet in one cell
 DELETION_LENGTH = {1: 256, 2: 64}  # longest string per threshold that meets on deletions
 
 Side = Callable[[str], Column]
@@ -40,7 +44,8 @@ def string_pairs(left: DataFrame, right: DataFrame, t: int) -> DataFrame:
     Two candidate schemes, chosen by the length of ``r``, both exact.  Short
     strings with t <= 2 meet on a common string left after at most t deletions
     on each side; such keys are shared by true neighbours only, so a prefix that
-    all values have in common does no harm.  Other strings meet on segments.
+    all values have in common does no harm.  Other strings meet on rare grams,
+    which such a prefix does not hold either.
     """
     a = left.toDF("l").dropna().distinct()
     b = right.toDF("r").dropna().distinct()
@@ -57,25 +62,8 @@ def string_pairs(left: DataFrame, right: DataFrame, t: int) -> DataFrame:
         by_l = _deletions(a.filter(m <= short + t), "l", t).repartition(parts, "key")
         by_r = _deletions(b.filter(n <= short), "r", t).repartition(parts, "key")
         found.append(by_l.join(by_r, "key").filter(near).select("l", "r"))
-    long_b = b.filter(n > short)
-    segments = long_b.filter(n > t).select(
-        "r", n.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(t))).alias("i"))
-    start, width = _segment(F.col("n"), F.col("i"), t)
-    index = segments.select("r", "n", "i", F.substring("r", start + 1, width).alias("seg"))
-
     first = max(t, short) + 1
-    lengths = F.sequence(F.greatest(m - t, F.lit(first)), m + t)
-    probe = (a.filter(m >= first - t)
-             .select("l", m.alias("m"), F.explode(lengths).alias("n"))
-             .select("*", F.explode(F.sequence(F.lit(0), F.lit(t))).alias("i"))
-             .select("*", F.explode(F.sequence(F.lit(-t), F.lit(t))).alias("shift"))
-             # edits left of the segment plus edits right of it
-             .filter(F.abs("shift") + F.abs(F.col("m") - F.col("n") - F.col("shift")) <= t))
-    start, width = _segment(F.col("n"), F.col("i"), t)
-    at = start + F.col("shift")
-    probe = (probe.filter((at >= 0) & (at + width <= F.col("m")))
-             .select("l", "n", "i", F.substring("l", at + 1, width).alias("seg")))
-    found.append(probe.join(index, ["n", "i", "seg"]).filter(near).select("l", "r"))
+    found.append(_gram_pairs(a.filter(m >= first - t), b.filter(n >= first), t, first).filter(near).select("l", "r"))
 
     if not short:
         # strings too short to be cut: spread one side, copy the other
@@ -99,13 +87,55 @@ def _deletions(values: DataFrame, column: str, t: int) -> DataFrame:
     return out.select(column, F.xxhash64("rest").alias("key"))
 
 
-def _segment(n: Column, i: Column, t: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of piece i of t+1; the last pieces are longer."""
-    base = F.floor(n / (t + 1)).cast("int")
-    longer = F.pmod(n, F.lit(t + 1)).cast("int")
-    first_long = F.lit(t + 1) - longer
-    start = i * base + F.greatest(i - first_long, F.lit(0))
-    return start, base + F.when(i >= first_long, 1).otherwise(0)
+def _gram_length(n: Column, t: int) -> Column:
+    """Longest grams (3 at most) of which a string of length ``n`` has more than t edits can touch."""
+    return F.when(n >= 3 * t + 3, 3).when(n >= 2 * t + 2, 2).otherwise(1)
+
+
+def _rare_grams(values: DataFrame, column: str, slots: DataFrame, t: int) -> DataFrame:
+    """``(value, n, q, g, p)``: the q * t + 1 rarest grams of every value and their places."""
+    grams = _grams(values, column).join(F.broadcast(slots), "slot", "left")
+    ranked = grams.groupBy(column, "q").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "g", "p"))).alias("x"))
+    return ranked.select(column, F.length(column).alias("n"), "q", F.explode(F.slice("x", 1, F.col("q") * t + 1)).alias("x")).select(
+        column, "n", "q", "x.g", "x.p")
+
+
+def _grams(values: DataFrame, column: str) -> DataFrame:
+    c, q = F.col(column), F.col("q")
+    spots = F.sequence(F.lit(1), F.length(c) - q + 1)
+    one = F.transform(spots, lambda p: F.struct(F.xxhash64(q, F.substring(c, p, q)).alias("g"), p.alias("p")))
+    return values.filter(F.length(c) >= q).select(column, "q", F.explode(one).alias("x")).select(
+        column, "q", "x.g", "x.p", F.pmod("x.g", F.lit(SLOTS)).cast("int").alias("slot"))
+
+
+def _gram_pairs(a: DataFrame, b: DataFrame, t: int, first: int) -> DataFrame:
+    """Candidates ``(l, r)`` that share a rare gram at places and with lengths that differ by at most ``t``.
+
+    Keys are gram, band of lengths and band of places; a key that more than ``HEAVY`` strings of ``b`` have is dealt to
+    several cells, to each of which the strings of ``a`` are copied.
+    """
+    m = F.length("l")
+    index = b.withColumn("q", _gram_length(F.length("r"), t))
+    slots = materialize(_grams(index, "r").groupBy("slot").agg(F.count("*").alias("often")), "slots")  # at most SLOTS rows
+    every = F.array_distinct(F.transform(F.sequence(F.greatest(m - t, F.lit(first)), m + t), lambda n: _gram_length(n, t)))
+    probe = a.select("l", F.explode(every).alias("q"))
+    width = t + 1
+    band = lambda c: F.floor(c / width).cast("int")
+    near = lambda c: F.sequence(band(c - t), band(c + t))
+    right = materialize(_rare_grams(index, "r", slots, t).select(
+        "r", "n", "p", F.xxhash64("q", "g", band(F.col("n")), band(F.col("p"))).alias("key")), "grams")
+    left = (_rare_grams(probe, "l", slots, t).select("l", F.col("n").alias("m"), "q", "g", F.col("p").alias("p_l"), F.explode(near(F.col("n"))).alias("by_n"))
+            .select("*", F.explode(near(F.col("p_l"))).alias("by_p")).select("l", "m", "p_l", F.xxhash64("q", "g", "by_n", "by_p").alias("key")))
+    keys = materialize(right.groupBy("key").agg(F.ceil(F.count("*") / HEAVY).cast("int").alias("cells")), "keys")
+    heavy = keys.filter("cells > 1")
+    left = left.join(keys.select("key"), "key", "left_semi")  # most probes find nothing
+    if heavy.isEmpty():
+        met = left.join(right, "key")
+    else:
+        spread = left.join(heavy, "key", "left").select("*", F.explode(F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1)).alias("cell"))
+        dealt = right.join(heavy, "key", "left").withColumn("cell", F.pmod(F.xxhash64("r"), F.coalesce("cells", F.lit(1))).cast("int"))
+        met = spread.join(dealt, ["key", "cell"])
+    return met.filter((F.abs(F.col("m") - F.col("n")) <= t) & (F.abs(F.col("p_l") - F.col("p")) <= t)).select("l", "r").distinct()
 
 
 def _band(kind: Metric, t: float, left: Column, right: Column) -> tuple[Column, Column]:

@@ -299,3 +299,36 @@ def test_wildcard_text_is_no_pattern(spark):
     spec = extend_query(QuerySpec([("s", "prefix", "a(b")]), Rfd({"s": 1.0}, "t", 0.0), df)
     assert spec.apply(df).count() == 2
     assert QuerySpec.from_dict({"i": range(0)}).predicates == ()
+
+
+@pytest.mark.parametrize("t", [3, 4])
+def test_strings_with_one_prefix(spark, monkeypatch, t):
+    """All strings share a prefix: its grams are the most frequent ones and lead to no meeting; heavy keys are dealt."""
+    import nearfd.operators.simjoin as S
+
+    rng = random.Random(t)
+    words = {"customer-with-a-long-name#" + "".join(rng.choice("abcdefghij") for _ in range(rng.randint(15, 18))) for _ in range(300)}
+    words |= {w[:30] + "x" + w[31:-1] for w in list(words)[:60]} | {w.replace("long", "lo") for w in list(words)[:20]}
+    words = sorted(words)
+    df = spark.createDataFrame([(w,) for w in words], "v string")
+    want = {(a, b) for a in words for b in words if abs(len(a) - len(b)) <= t and quick_edit(a, b, t)}
+    for heavy in (512, 20):
+        monkeypatch.setattr(S, "HEAVY", heavy)
+        got = {tuple(r) for r in string_pairs(df, df, t).collect()}
+        assert got == want and len(got) > len(words) + 100
+    met = S._gram_pairs(df.toDF("l"), df.toDF("r"), t, t + 1).count()
+    assert met < len(words) ** 2 / 10
+
+
+def quick_edit(a, b, t):
+    from brute import edit
+
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if not (a and b):
+        return max(len(a), len(b)) <= t
+    if len(set(a) - set(b)) > t or len(set(b) - set(a)) > t:
+        return False
+    return edit(a, b) <= t
