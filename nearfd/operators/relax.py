@@ -8,13 +8,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import INF, MICROS_PER_DAY, Metric, choose_metrics, micros
+from ..functions.metrics import INF, MICROS_PER_DAY, Metric, choose_metrics, micros, within
+from ..session import materialize
 from .query import QuerySpec, extend_query
 from .rfd import Rfd, first_rfds
-from .simjoin import Side, similarity_join
+from .simjoin import MAX_BANDS, Side, _band, similarity_join
 
 
 Metrics = Mapping[str, Metric | DataFrame]
+NO_BAND = -(1 << 62)  # stands for the band of null in keys
 
 
 def relaxing_attributes(df: DataFrame, rfd: Rfd, query: QuerySpec | None = None) -> list[str]:
@@ -142,21 +144,111 @@ def relax_columns(df: DataFrame, answers: DataFrame, rfd: Rfd, attrs: list[str]
     return out
 
 
+def _key_arrays(tag: int, same: list[Column], reaches: list[Column]) -> Column:
+    """One key per combination of the bands that a value reaches."""
+    def grow(left: list[Column], bands: list[Column]) -> Column:
+        if not left:
+            return F.array(F.xxhash64(F.lit(tag), *same, *bands))
+        if len(left) == 1:
+            return F.transform(left[0], lambda x: F.xxhash64(F.lit(tag), *same, *bands, x))
+        return F.flatten(F.transform(left[0], lambda x: grow(left[1:], [*bands, x])))
+
+    return grow(reaches, [])
+
+
+def _tagged_join(rfds: list[tuple[int, Rfd, list[str], dict]], need: list[str]) -> tuple[list[Column], Column, Column]:
+    """(key per dependency of a row ``b*``, keys of an answer ``a*`` by ``tag``, the exact check by ``tag``)."""
+    own, keys, checks = [], F.lit(None).cast("array<bigint>"), F.lit(False)
+    for i, rfd, attrs, kinds in rfds:
+        same_a, same_b, bands, reaches, cond = [], [], [], [], F.lit(True)
+        for c in attrs:
+            at, kind, t = need.index(c), kinds[c], rfd[c]
+            a, b = F.col(f"a{at}"), F.col(f"b{at}")
+            if t == INF:
+                continue
+            cond = cond & within(b, a, t, kind)
+            if t == 0 and kind == "abs" or kind == "edit" and t < 1:
+                clean = (lambda x: F.when(~F.isnan(x.cast("double")), x.cast("double"))) if kind == "abs" else (lambda x: x)
+                # the hash passes over nulls, so they are told apart from the next value
+                for values, x in ((same_a, a), (same_b, b)):
+                    values += [clean(x), clean(x).isNull()]
+            elif kind in ("abs", "days") and len(bands) < MAX_BANDS:
+                band, reach = _band(kind, t, b, a)
+                bands.append(F.coalesce(band, F.lit(NO_BAND)))
+                reaches.append(F.transform(reach, lambda x: F.coalesce(x, F.lit(NO_BAND))))
+        own.append(F.struct(F.lit(i).alias("tag"), F.xxhash64(F.lit(i), *same_b, *bands).alias("key")))
+        keys = F.when(F.col("tag") == i, _key_arrays(i, same_a, reaches)).otherwise(keys)
+        checks = F.when(F.col("tag") == i, cond).otherwise(checks)
+    return own, keys, checks
+
+
+def _shared(df: DataFrame, rfd: Rfd, attrs: list[str], extended: QuerySpec, metrics: Metrics | None) -> dict | None:
+    """Metrics of the attributes if the dependency can take part in the shared join, else None."""
+    if not all(p.is_plain() for p in extended.predicates):
+        return None
+    kinds = choose_metrics(df, attrs, metrics)
+    keyed = any(rfd[c] != INF and (k in ("abs", "days") or k == "edit" and rfd[c] < 1) for c, k in kinds.items() if isinstance(k, str))
+    return kinds if keyed and all(k in ("abs", "days", "edit") for k in kinds.values()) else None
+
+
 def relax_counts(df: DataFrame, spec: QuerySpec, rfds: list[Rfd], mode: str = "distance",
                  extend_mode: str = "interval", metrics: Metrics | None = None) -> DataFrame:
-    """``(rank, rfd_id, n_query, n_extended, n_relaxed)`` for each dependency."""
-    total = spec.apply(df).agg(F.count("*").alias("n_query"))
-    frames = []
+    """``(rank, rfd_id, n_query, n_extended, n_relaxed)`` for each dependency.
+
+    All dependencies share two scans of ``df``: the first one tags every answer with
+    the dependencies whose extended query it satisfies and folds equal answers, the
+    second one folds equal rows and meets the answers of each dependency under one
+    key.  Dependencies that need a join to extend the query, that have only text
+    thresholds, and ``mode='integers'`` go one by one.
+    """
+    frames, shared = [], []
+    plain = mode == "distance" and all(p.is_plain() for p in spec.predicates)
+    total = None
     for i, rfd in enumerate(rfds):
-        answers = extend_query(spec, rfd, df, extend_mode, metrics=metrics).apply(df)
+        extended = extend_query(spec, rfd, df, extend_mode, metrics=metrics)
+        attrs = relaxing_attributes(df, rfd, spec)
+        if plain and (kinds := _shared(df, rfd, attrs, extended, metrics)) is not None:
+            shared.append((i, rfd, attrs, kinds, extended))
+            continue
+        answers = extended.apply(df)
         relaxed = relax_rows(df, answers, rfd, query=spec, mode=mode, metrics=metrics)
         counted = (answers.agg(F.count("*").alias("n_extended")).withColumn("rank", F.lit(i))
                    .join(relaxed.agg(F.count("*").alias("n_relaxed")).withColumn("rank", F.lit(i)), "rank")
                    .withColumn("rfd_id", F.lit(rfd.rfd_id)))
         frames.append(counted)
-    per_rfd = reduce(DataFrame.unionByName, frames).withColumn("k", F.lit(0))
-    return per_rfd.join(total.withColumn("k", F.lit(0)), "k").select(
-        "rank", "rfd_id", "n_query", "n_extended", "n_relaxed")
+    if shared:
+        per_rfd, n_query = _shared_counts(df, spec, shared)
+        frames.append(per_rfd)
+        total = F.lit(n_query)
+    out = reduce(DataFrame.unionByName, frames).withColumn("k", F.lit(0))
+    if total is None:
+        out = out.join(spec.apply(df).agg(F.count("*").alias("n_query")).withColumn("k", F.lit(0)), "k")
+    else:
+        out = out.withColumn("n_query", total)
+    return out.select("rank", "rfd_id", "n_query", "n_extended", "n_relaxed")
+
+
+def _shared_counts(df: DataFrame, spec: QuerySpec, shared: list[tuple]) -> tuple[DataFrame, int]:
+    need = list(dict.fromkeys(c for _, _, attrs, _, _ in shared for c in attrs))
+
+    def tagged(i: int, attrs: list[str], cond: Column) -> Column:
+        values = [(F.col(f"`{c}`") if c in attrs else F.lit(None).cast(df.schema[c].dataType)).alias(f"a{j}") for j, c in enumerate(need)]
+        return F.when(cond, F.struct(F.lit(i).alias("tag"), *values))
+
+    tags = [tagged(-1, [], spec.condition()), *[tagged(i, attrs, extended.condition()) for i, _, attrs, _, extended in shared]]
+    marks = [f"a{j}" for j in range(len(need))]
+    answers = materialize(df.select(F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())).alias("x")).select("x.*")
+                          .groupBy("tag", *marks).agg(F.count("*").alias("n")), "answers")
+    n = {r.tag: r.n for r in answers.groupBy("tag").agg(F.sum("n").alias("n")).collect()}  # a number per dependency
+    own, keys, check = _tagged_join([x[:4] for x in shared], need)
+    wanted = answers.filter("tag >= 0").select(F.col("tag").alias("for"), *marks, F.explode(keys).alias("like"))
+    rows = df.groupBy(*[F.col(f"`{c}`").alias(f"b{j}") for j, c in enumerate(need)]).agg(F.count("*").alias("n"))
+    rows = rows.select("*", F.explode(F.array(*own)).alias("x")).select("*", "x.tag", "x.key").drop("x")
+    near = rows.join(wanted, (F.col("tag") == F.col("for")) & (F.col("key") == F.col("like")) & check, "left_semi")
+    relaxed = near.groupBy("tag").agg(F.sum("n").alias("n_relaxed"))
+    ranks = df.sparkSession.createDataFrame([(i, rfd.rfd_id, n.get(i, 0)) for i, rfd, *_ in shared], "rank int, rfd_id string, n_extended long")
+    return (ranks.join(relaxed, F.col("rank") == F.col("tag"), "left")
+            .select("rank", "rfd_id", "n_extended", F.coalesce("n_relaxed", F.lit(0).cast("long")).alias("n_relaxed"))), n.get(-1, 0)
 
 
 def relax_best(df: DataFrame, spec: QuerySpec, rfds: DataFrame, n: int = 3, mode: str = "distance",

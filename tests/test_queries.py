@@ -332,3 +332,41 @@ def quick_edit(a, b, t):
     if len(set(a) - set(b)) > t or len(set(b) - set(a)) > t:
         return False
     return edit(a, b) <= t
+
+
+def test_shared_scan_of_many_dependencies(spark, tmp_path, monkeypatch):
+    """Counts equal those of one dependency at a time, and the table is scanned twice, whatever their number."""
+    import nearfd.operators.relax as R
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, *range(9)]), rng.choice([None, float("nan"), float("inf"), *[x / 4 for x in range(20)]]),
+             rng.choice([None, "ab", "abc", "xyz", "x"]), rng.choice("pq")) for i in range(150)]
+    spark.createDataFrame(rows, "id int, n int, x double, s string, k string").withColumn(
+        "d", F.expr("timestamp'2024-03-01 00:00:00' + make_interval(0, 0, 0, n, id % 24)")).repartition(3).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    spec = QuerySpec([("k", "=", "p"), ("n", ">", 2)])
+    many = [Rfd({"n": 1.0, "x": 0.5}, "s", 1.0, "a"), Rfd({"x": 0.0, "s": 0.0}, "d", 2.0, "b"), Rfd({"d": 1.0, "x": 1.0}, "n", 2.0, "c"),
+            Rfd({"x": float("inf")}, "d", 0.0, "d"), Rfd({"n": 2.0, "x": 1.0, "d": 3.0}, "s", 0.0, "e"), Rfd({"n": 0.0}, "x", 0.25, "f")]
+    scans = []
+    plain = R.materialize
+
+    def noted(table, name="table"):
+        scans.append(table)
+        return plain(table, name)
+
+    monkeypatch.setattr(R, "materialize", noted)
+    for n in (1, 6):
+        scans.clear()
+        out = relax_counts(df, spec, many[:n])
+        plans = [t._jdf.queryExecution().optimizedPlan().toString() + t._jdf.queryExecution().executedPlan().toString() for t in [*scans, out]]
+        assert sum(p.count(f"{tmp_path}/t") for p in plans) == 2, n
+        got = {r.rfd_id: r for r in out.collect()}
+        assert len(got) == n
+        for rfd in many[:n]:
+            answers = extend_query(spec, rfd, df).apply(df)
+            r = got[rfd.rfd_id]
+            assert (r.n_query, r.n_extended, r.n_relaxed) == (
+                spec.apply(df).count(), answers.count(), relax_rows(df, answers, rfd, query=spec).count()), rfd.rfd_id
+    text = [Rfd({"s": 1.0}, "s", 1.0, "text only"), many[0]]
+    assert {r.rfd_id for r in relax_counts(df, QuerySpec([("k", "=", "p")]), [Rfd({"n": 1.0}, "s", 2.0, "t"), many[1]]).collect()} == {"t", "b"}
+    assert relax_counts(df, spec, text[:1]).count() == 1
