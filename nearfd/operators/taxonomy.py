@@ -1,7 +1,10 @@
 """Distances on a user-supplied taxonomy.
 
 ``taxonomy(child, parent)`` holds the edges and ``lexicon(term, node)`` says
-where a term sits.  The ancestor sets grow level by level with joins.
+where a term sits.  In a forest (one parent at most, no cycle) distances come from
+pointer doubling: tables of the 2^k-th ancestors, by which pairs of nodes climb to
+their nearest common ancestor, so depth d needs about log d rounds and no ancestor
+set.  Otherwise ancestor sets grow level by level with joins.
 """
 
 from __future__ import annotations
@@ -15,6 +18,9 @@ from ..functions.metrics import taxonomy_gap
 from ..session import materialize
 
 
+STORED = 4  # climbs between two written tables
+
+
 def ancestors(nodes: DataFrame, taxonomy: DataFrame, max_steps: int | None = None) -> DataFrame:
     """``(node, ancestor, steps)`` with the fewest steps, the node itself at 0.
 
@@ -40,6 +46,72 @@ def ancestors(nodes: DataFrame, taxonomy: DataFrame, max_steps: int | None = Non
     return seen
 
 
+def forest_jumps(taxonomy: DataFrame) -> tuple[list[DataFrame], DataFrame] | None:
+    """``([(child, up)] of the 2^k-th ancestors, (node, depth, root))``, or None if the edges are no forest.
+
+    Each round follows every pointer once more from where it leads; a node without a 2^k-th ancestor leaves the
+    table of that round.  A table that still has rows after as many steps as there are nodes has a cycle.
+    """
+    edges = materialize(taxonomy.select("child", "parent").dropna().filter("child <> parent").distinct(), "edges")
+    if not edges.groupBy("child").count().filter("count > 1").isEmpty():
+        return None
+    jumps = [edges.withColumnRenamed("parent", "up")]
+    n = edges.count()
+    nodes = edges.select(F.explode(F.array("child", "parent")).alias("node")).distinct()
+    top = materialize(nodes.join(edges, F.col("node") == F.col("child"), "left").select(
+        "node", F.coalesce("parent", "node").alias("root"), F.col("parent").isNotNull().cast("long").alias("depth")), "depths")
+    while not jumps[-1].isEmpty():
+        if 2 ** (len(jumps) - 1) > n:
+            return None
+        last = jumps[-1]
+        onward = last.select(F.col("child").alias("mid"), F.col("up").alias("far"))
+        jumps.append(materialize(last.join(onward, F.col("up") == F.col("mid")).select("child", F.col("far").alias("up")), "jumps"))
+        beyond = top.select(F.col("node").alias("at"), F.col("root").alias("far"), F.col("depth").alias("more"))
+        top = materialize(top.join(beyond, F.col("root") == F.col("at")).select(
+            "node", F.col("far").alias("root"), (F.col("depth") + F.col("more")).alias("depth")), "depths")
+    return jumps[:-1], top
+
+
+def _climb(pairs: DataFrame, jump: DataFrame, *sides: str) -> DataFrame:
+    """Adds ``up_<side>``, the ancestor in ``jump`` of the node in each side's column."""
+    for s in sides:
+        up = jump.select(F.col("child").alias(f"of_{s}"), F.col("up").alias(f"up_{s}"))
+        pairs = pairs.join(up, F.col(s) == F.col(f"of_{s}"), "left").drop(f"of_{s}")
+    return pairs
+
+
+def forest_paths(pairs: DataFrame, jumps: list[DataFrame], depths: DataFrame) -> DataFrame:
+    """``(a, b, path)``: edges between two nodes through their nearest common ancestor; null without one.
+
+    The deeper node climbs to the other's depth by the bits of the difference; then both climb by falling powers of two
+    as long as they stay apart.
+    """
+    def placed(side: str) -> DataFrame:
+        return depths.select(F.col("node").alias(side), F.col("depth").alias(f"d_{side}"), F.col("root").alias(f"r_{side}"))
+
+    at = pairs.select("a", "b").distinct().join(placed("a"), "a", "left").join(placed("b"), "b", "left")
+    # a node without any edge is its own root
+    for s in ("a", "b"):
+        at = at.withColumns({f"d_{s}": F.coalesce(f"d_{s}", F.lit(0).cast("long")), f"r_{s}": F.coalesce(f"r_{s}", s)})
+    deep = F.col("d_a") >= F.col("d_b")
+    at = at.select("a", "b", F.when(deep, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(deep, F.col("b")).otherwise(F.col("a")).alias("v"),
+                   F.abs(F.col("d_a") - F.col("d_b")).alias("gap"), (F.col("r_a") == F.col("r_b")).alias("met"), F.lit(0).cast("long").alias("moved"))
+    at = materialize(at, "pairs")
+    for k in reversed(range(len(jumps))):
+        climbs = F.col("met") & F.col("gap").bitwiseAND(F.lit(1 << k)).cast("boolean")
+        at = _climb(at, jumps[k], "u").withColumn("u", F.when(climbs, F.col("up_u")).otherwise(F.col("u"))).drop("up_u")
+        if k % STORED == 0:
+            at = materialize(at, "pairs")
+    for k in reversed(range(len(jumps))):
+        at = _climb(at, jumps[k], "u", "v")
+        apart = F.col("met") & (F.col("up_u") != F.col("up_v"))
+        at = at.select("a", "b", "gap", "met", *[F.when(apart, F.col(f"up_{s}")).otherwise(F.col(s)).alias(s) for s in ("u", "v")],
+                       (F.col("moved") + F.when(apart, 1 << k).otherwise(0)).alias("moved"))
+        if k % STORED == 0:
+            at = materialize(at, "pairs")
+    return at.select("a", "b", F.when(F.col("met"), F.col("gap") + 2 * (F.col("moved") + (F.col("u") != F.col("v")).cast("long"))).alias("path"))
+
+
 def ancestor_maps(lexicon: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """``(term, up)``: map from each ancestor of the term's first node to its steps."""
     first = lexicon.select("term", "node").dropna().groupBy("term").agg(F.min("node").alias("node"))
@@ -64,6 +136,17 @@ def taxonomy_distance(pairs: DataFrame, lexicon: DataFrame, taxonomy: DataFrame,
 
     It is NULL when a term is not in the lexicon and 1 when no ancestor is shared.
     """
+    forest = forest_jumps(taxonomy)
+    if forest is not None:
+        first = materialize(lexicon.select("term", "node").dropna().groupBy("term").agg(F.min("node").alias("node")), "terms")
+        a = first.select(F.col("term").alias(left), F.col("node").alias("_a"))
+        b = first.select(F.col("term").alias(right), F.col("node").alias("_b"))
+        rows = pairs.join(a, left, "left").join(b, right, "left")
+        known = rows.select(F.col("_a").alias("a"), F.col("_b").alias("b")).dropna()
+        paths = forest_paths(known, *forest).select(F.col("a").alias("_x"), F.col("b").alias("_y"), "path")
+        out = rows.join(paths, (F.col("_a") == F.col("_x")) & (F.col("_b") == F.col("_y")), "left")
+        gap = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.coalesce(1 - 1 / (F.col("path") + 1), F.lit(1.0)))
+        return out.select(*pairs.columns, gap.alias("distance"))
     maps = ancestor_maps(lexicon, taxonomy)
     a = maps.select(F.col("term").alias(left), F.col("up").alias("_a"))
     b = maps.select(F.col("term").alias(right), F.col("up").alias("_b"))

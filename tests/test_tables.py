@@ -327,3 +327,36 @@ def test_wide_boxes_need_no_edges(spark, monkeypatch):
     best = max(sum(x <= a <= x + 48 and y <= b <= y + 504 for a, b in rows) for x in range(97) for y in range(0, 1009, 1)
                if x <= 48 and y <= 504)
     assert len(got) == best
+
+
+def test_forest_distances_equal_ancestor_sets(spark, monkeypatch):
+    import nearfd.operators.taxonomy as X
+
+    rng = random.Random(5)
+    edges = [(f"n{i}", f"n{rng.randint(max(0, i - 6), i - 1)}") for i in range(1, 60) if i not in (20, 41)] + [("n3", "n3")]
+    taxonomy = spark.createDataFrame(edges, "child string, parent string")
+    terms = [f"n{i}" for i in range(62)]
+    lexicon = spark.createDataFrame([(f"t{i}", n) for i, n in enumerate(terms)], "term string, node string")
+    pairs = spark.createDataFrame([(f"t{rng.randint(0, 63)}", f"t{rng.randint(0, 63)}") for _ in range(300)], "left string, right string")
+    forest = sorted(tuple(r) for r in taxonomy_distance(pairs, lexicon, taxonomy).collect() if r.distance is not None)
+    jumps, depths = X.forest_jumps(taxonomy)
+    assert 2 <= len(jumps) <= 6 and max(r.depth for r in depths.collect()) >= 8
+    monkeypatch.setattr(X, "forest_jumps", lambda t: None)
+    sets = sorted(tuple(r) for r in taxonomy_distance(pairs, lexicon, taxonomy).collect() if r.distance is not None)
+    assert [r[:2] for r in forest] == [r[:2] for r in sets] and all(abs(a[2] - b[2]) < 1e-12 for a, b in zip(forest, sets))
+    assert X.forest_paths(spark.createDataFrame([], "a string, b string"), jumps, depths).count() == 0
+
+
+def test_long_chains_take_few_rounds(spark):
+    import nearfd.operators.taxonomy as X
+
+    n = 5000
+    taxonomy = spark.range(n).selectExpr("concat('n', id) AS child", "concat('n', id + 1) AS parent")
+    lexicon = spark.range(n + 1).selectExpr("concat('n', id) AS term", "concat('n', id) AS node")
+    jumps, depths = X.forest_jumps(taxonomy)
+    assert len(jumps) <= 14 and depths.filter("root <> 'n5000'").isEmpty() and depths.agg({"depth": "max"}).first()[0] == n
+    assert X.forest_jumps(taxonomy.union(spark.sql("SELECT 'n5000', 'n7'"))) is None  # a cycle
+    assert X.forest_jumps(taxonomy.union(spark.sql("SELECT 'n1', 'n7'"))) is None  # two parents
+    pairs = spark.createDataFrame([("n0", "n5000"), ("n4999", "n17"), ("n5", "n5"), ("n5", "zz")], "left string, right string")
+    got = {(r.left, r.right): r.distance for r in taxonomy_distance(pairs, lexicon, taxonomy).collect()}
+    assert got == {("n0", "n5000"): 1 - 1 / 5001, ("n4999", "n17"): 1 - 1 / 4983, ("n5", "n5"): 0.0, ("n5", "zz"): None}
