@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfd import (
-    QuerySpec, Rfd, append_results, bench_summary, column_values, discover, discover_all, distance_medians, extend_query, extent_pct,
-    filter_rfds, format_islands, format_rfd, is_consecutive, mark_rows, make_rfds, materialize, name_rhs, pair_distances,
+    QuerySpec, Rfd, append_results, bench_summary, column_values, columns_with_role, discover, discover_all, distance_medians,
+    divert_stream, diverted, extend_query, extent_pct,
+    filter_rfds, format_islands, format_rfd, is_consecutive, mark_rows, make_rfds, materialize, measure_discovery, name_rhs, pair_distances,
     parse_messages, rank_rfds,
     read_rfds, read_table, relax_best, relax_columns, relax_counts, relax_rows, rfd_edges, rfd_extent, rfd_holds,
     rfd_intervals, rfd_points, rfd_single, rfd_violations, rfds_from_wide, rfds_to_wide, shared_dir, side_combinations,
@@ -55,6 +58,11 @@ def stored(spark: SparkSession, sf_dir: str, name: str, make: Query) -> DataFram
     return _made[key]
 
 
+def forget() -> None:
+    """Make the next query write its tables anew."""
+    _made.clear()
+
+
 def supplier_pairs(spark: SparkSession, d: str) -> DataFrame:
     return stored(spark, d, "supplier_pairs", lambda s, p: pair_distances(table(s, p, "supplier"), SUPPLIER))
 
@@ -351,6 +359,13 @@ def q_relax_integers(spark, d):
     return relax_rows(df, RELAX_QUERY.apply(df), rfd, query=RELAX_QUERY, mode="integers").select("p_partkey")
 
 
+def q_relax_integers_all(spark, d):
+    """All rows: unknown sizes are near unknown sizes."""
+    df = parts(spark, d)
+    rfd = Rfd({"p_size": 3.0}, "p_retailprice", 2.0)
+    return relax_rows(df, RELAX_QUERY.apply(df), rfd, query=RELAX_QUERY, mode="integers").select("p_partkey")
+
+
 def q_relax_lineitem(spark, d):
     df = table(spark, d, "lineitem")
     query = QuerySpec([("l_quantity", "=", 50), ("l_discount", "=", 0.1)])
@@ -469,6 +484,31 @@ def q_table_csv(spark, d):
     return read_table(spark, path, schema=df.schema)
 
 
+def q_two_headers(spark, d):
+    """Suppliers as text whose files begin with a line of names and a line of roles; the columns of one role."""
+    path = shared_dir(spark, "two-headers")
+
+    def lines(batches):
+        head = ["s_suppkey;s_name;s_nationkey", "LHS;RHS;LHS"]
+        for pdf in batches:
+            yield pd.DataFrame({"value": [*head, *pdf["value"]]})
+            head = []
+
+    rows = table(spark, d, "supplier").select(F.concat_ws(";", "s_suppkey", "s_name", F.coalesce(
+        F.expr("cast(nullif(s_nationkey, 3) AS string)"), F.lit("?"))).alias("value"))
+    rows.mapInPandas(lines, "value string").write.text(path)
+    left = columns_with_role(read_table(spark, path, sep=";", header_rows=2), "LHS")
+    return left.select(*[F.col(f"`{c}`").cast("long").alias(c.split("|")[0]) for c in left.columns])
+
+
+def q_run_metrics(spark, d):
+    """Sizes and numbers of dependencies per combination of sides; times are left out."""
+    path = shared_dir(spark, "measured")
+    write_table(order_profile(spark, d), path)
+    runs = measure_discovery(spark, path, "orders", ORDERS, sep=";", header=True)
+    return runs.select("ds_name", "ds_len", "ds_attr_size", "rfd_count", "attr_comb", "iterations")
+
+
 def q_sniff(spark, d):
     path = shared_dir(spark, "orders-csv")
     write_table(table(spark, d, "orders"), path, sep="|", date_format="yyyy/MM/dd")
@@ -631,6 +671,40 @@ def q_stream_project(spark, d):
     return a.withColumn("part", F.lit("kept")).unionByName(b.withColumn("part", F.lit("rejected")))
 
 
+def halves(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Events of the first and of the second half of their time."""
+    df = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    mid = df.agg(F.timestamp_micros(((F.unix_micros(F.min("ts")) + F.unix_micros(F.max("ts"))) / 2).cast("long")).alias("m")).first().m
+    return [df.filter(F.col("ts") <= mid), df.filter(F.col("ts") > mid)]
+
+
+def in_two_runs(spark: SparkSession, d: str, start: Callable[[DataFrame], object]) -> None:
+    """Events arrive in two parts; the stream is stopped and started anew between them."""
+    source = shared_dir(spark, "arriving")
+    for part in halves(spark, d):
+        part.write.mode("append").parquet(source)
+        stream = stream_source(spark, source, part.schema, "parquet", files_per_batch=2)
+        if not start(stream).awaitTermination(600):
+            raise TimeoutError("the stream did not end")
+
+
+def q_stream_divert(spark, d):
+    """Both parts of a stream from one pass over it, with a restart between its two halves."""
+    out, check = shared_dir(spark, "diverted"), shared_dir(spark, "check")
+    in_two_runs(spark, d, lambda stream: divert_stream(
+        stream, {"event_id": F.col("event_id"), "value": F.col("value") * 100}, F.col("value") >= 1000, out, check, F.col("event_type") == "click"))
+    return diverted(spark, out, "event_id long, value double").groupBy("part").agg(
+        F.count("*").alias("n"), F.count_distinct("event_id").alias("n_events"), F.round(F.sum("value"), 2).alias("total"))
+
+
+def q_stream_restart(spark, d):
+    """Windows that are open when the stream stops are held by its checkpoint and end in the next run."""
+    out, check = shared_dir(spark, "restarted"), shared_dir(spark, "check")
+    in_two_runs(spark, d, lambda stream: write_stream(stream_topk(
+        stream.select("event_id", "ts", "value"), "ts", ["value", "event_id"], 5, watermark="1 day"), out, check))
+    return spark.read.parquet(out).select(F.unix_seconds("window_start").alias("start_s"), "rank", "event_id", "value")
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         "pair_distances_supplier": q_pairs_supplier,
@@ -669,6 +743,7 @@ def queries() -> dict[str, Query]:
         "relax_rhs_only": q_relax_rhs,
         "relax_rows": q_relax_rows,
         "relax_integers": q_relax_integers,
+        "relax_integers_all": q_relax_integers_all,
         "relax_lineitem": q_relax_lineitem,
         "relax_counts": q_relax_counts,
         "relax_best": q_relax_best,
@@ -701,6 +776,10 @@ def queries() -> dict[str, Query]:
         "taxonomy_extension": q_taxonomy_extension,
         "bench_summary": q_bench_summary,
         "csv_blanks": q_csv_blanks,
+        "table_two_headers": q_two_headers,
+        "run_metrics": q_run_metrics,
+        "stream_divert": q_stream_divert,
+        "stream_restart": q_stream_restart,
         "append_results": q_append_results,
         "name_rhs": q_name_rhs,
         "rfds_rounded": q_rounded,
@@ -1000,6 +1079,10 @@ SELECT unnest(ids) AS s_suppkey FROM b""",
             "a AS (SELECT * FROM d WHERE p_brand = 'Brand#12') SELECT p_partkey FROM d WHERE p_retailprice = "
             "floor(p_retailprice) AND EXISTS (SELECT 1 FROM a WHERE d.p_size BETWEEN a.p_size - 3 AND a.p_size + 3 AND "
             "d.p_retailprice BETWEEN floor(a.p_retailprice - 2) AND floor(a.p_retailprice + 3) - 1)",
+        "relax_integers_all": f"WITH d AS (SELECT * FROM {PARTS_SQL}), a AS (SELECT DISTINCT p_size, p_retailprice FROM d WHERE "
+            "p_brand = 'Brand#12') SELECT p_partkey FROM d WHERE p_retailprice = floor(p_retailprice) AND EXISTS (SELECT 1 FROM a "
+            "WHERE (d.p_size IS NULL AND a.p_size IS NULL OR d.p_size BETWEEN a.p_size - 3 AND a.p_size + 3) AND "
+            "d.p_retailprice BETWEEN floor(a.p_retailprice - 2) AND floor(a.p_retailprice + 3) - 1)",
         "relax_lineitem": "WITH a AS (SELECT l_tax, l_extendedprice FROM lineitem WHERE l_quantity BETWEEN 49 AND 51 AND "
             "l_discount = 0.1) SELECT l_returnflag, count(*) AS n, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi "
             "FROM lineitem d WHERE EXISTS (SELECT 1 FROM a WHERE d.l_extendedprice BETWEEN a.l_extendedprice - 5.01 AND "
@@ -1074,6 +1157,14 @@ SELECT unnest(ids) AS s_suppkey FROM b""",
         "batch_topk": f"SELECT * FROM ({topk}) WHERE rank <= 5",
         "stream_project": "SELECT count(*) AS n, round(sum(value * 100), 2) AS total, CASE WHEN value * 100 >= 1000 THEN "
             "'kept' ELSE 'rejected' END AS part FROM events WHERE event_type = 'click' GROUP BY 3",
+        "stream_divert": "SELECT CASE WHEN value * 100 >= 1000 THEN 'kept' ELSE 'rejected' END AS part, count(*) AS n, "
+            "count(DISTINCT event_id) AS n_events, round(sum(value * 100), 2) AS total FROM events WHERE event_type = 'click' GROUP BY 1",
+        "stream_restart": f"SELECT * FROM ({topk}) WHERE rank <= 5 AND start_s + 600 <= (SELECT epoch(max(ts)) FROM events) - 86400",
+        "table_two_headers": "SELECT s_suppkey, nullif(s_nationkey, 3)::BIGINT AS s_nationkey FROM supplier",
+        "run_metrics": "WITH " + sql_rfds(order_src, order_attrs) + " " + " UNION ALL ".join(
+            f"SELECT 'orders' AS ds_name, (SELECT count(*) FROM src) AS ds_len, {len(ORDERS)} AS ds_attr_size, "
+            f"(SELECT count(*) FROM rfds WHERE rhs = '{rhs}') AS rfd_count, '{json.dumps({'rhs': [rhs], 'lhs': lhs})}' AS attr_comb, "
+            "1 AS iterations" for rhs, lhs in side_combinations(ORDERS)),
         "taxonomy_distance": """WITH RECURSIVE e AS (SELECT DISTINCT p_name AS child, p_brand AS parent FROM part
   UNION SELECT p_brand, p_type FROM part UNION SELECT p_type, 'part' FROM part),
 up AS (SELECT DISTINCT child AS node, child AS anc, 0 AS steps FROM e

@@ -29,4 +29,4 @@ from .sources.rfd_files import read_rfds, write_rfds
 from .sources.tables import (
     Dialect, columns_with_role, read_table, sniff_csv, table_profile, with_row_id, write_table)
 from .streaming.topk import (
-    MESSAGE_SCHEMA, parse_messages, stream_project, stream_source, stream_topk, tweet_fields, write_stream)
+    MESSAGE_SCHEMA, divert_stream, diverted, parse_messages, stream_project, stream_source, stream_topk, tweet_fields, write_stream)

@@ -236,7 +236,15 @@ class QuerySpec:
             f"{p.column.title().replace('_', ' ')} {p.op} {p.value}" for p in self.predicates)
 
     def to_json(self) -> str:
-        return json.dumps([[p.column, p.op, p.value] for p in self.predicates], ensure_ascii=False)
+        """The predicates as text; one over a table of similar values becomes the list of the values it accepts."""
+        out = []
+        for p in self.predicates:
+            op, value = p.op, p.value
+            if op == "similar by list":
+                sources, pairs = value
+                op, value = "∈", sorted(r[0] for r in pairs.filter(F.col("r").isin(list(sources))).select("l").distinct().collect())
+            out.append([p.column, op, value])
+        return json.dumps(out, ensure_ascii=False)
 
     @classmethod
     def from_json(cls, text: str) -> QuerySpec:

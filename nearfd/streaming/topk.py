@@ -67,6 +67,33 @@ def stream_project(messages: DataFrame, columns: dict[str, Column], keep: Column
     return rows.filter(good), rows.filter(~good)
 
 
+def divert_stream(messages: DataFrame, columns: dict[str, Column], keep: Column, path: str, checkpoint: str,
+                  where: Column | None = None, once: bool = True, every: str = "10 minutes"):
+    """Start parting a stream into the folders ``path/part=kept`` and ``path/part=rejected``, reading it once.
+
+    Each batch is one write, dealt by whether ``keep`` (on the projected columns; NULL rejects) holds, into folders
+    of its own number.  A batch that is tried again replaces these folders, so nothing is written twice, whatever
+    failed before.  ``once`` works off what is there and stops, otherwise it triggers ``every``.
+    """
+    part = F.when(F.coalesce(keep, F.lit(False)), F.lit("kept")).otherwise(F.lit("rejected"))
+    rows = messages if where is None else messages.filter(where)
+    rows = rows.select(*[c.alias(n) for n, c in columns.items()]).withColumn("part", part)
+
+    def write(batch: DataFrame, number: int) -> None:
+        (batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("part", "batch").parquet(path))
+
+    trigger = {"availableNow": True} if once else {"processingTime": every}
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def diverted(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """What ``divert_stream`` wrote: its columns by ``schema``, and ``part`` ('kept' or 'rejected')."""
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    full = T.StructType([*wanted.fields, T.StructField("part", T.StringType()), T.StructField("batch", T.LongType())])
+    return spark.read.schema(full).parquet(path).drop("batch")
+
+
 def tweet_fields() -> dict[str, Column]:
     """Projection of a scored message; list columns become counts."""
     # fixed values: names of the projected fields

@@ -71,3 +71,54 @@ def test_messages(spark):
     row = parse_messages(raw).first()
     assert row["text"] == "a\\nb" and row["sentiment_score"] == 2.5 and row["retweet_count"] is None
     assert parse_messages(raw).columns == MESSAGE_SCHEMA.names
+
+
+def test_divert_reads_once_and_survives_a_second_try(spark, tmp_path):
+    """Kept and rejected rows from one pass; a batch whose commit was lost is written again and adds nothing."""
+    from nearfd import divert_stream, diverted
+
+    src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    schema = "id long, v int, k string"
+    frame = lambda lo, hi: spark.createDataFrame([(i, None if i % 10 == 0 else i % 7, "ab"[i % 2]) for i in range(lo, hi)], schema)
+    run = lambda: divert_stream(stream_source(spark, src, schema, "parquet", files_per_batch=1), {"id": F.col("id"), "w": F.col("v") * 2},
+                                F.col("w") > 6, out, check, F.col("k") == "a")
+    frame(0, 100).coalesce(1).write.mode("append").parquet(src)
+    frame(100, 130).coalesce(1).write.mode("append").parquet(src)
+    query = run()
+    query.awaitTermination(120)
+    read = sum(p["numInputRows"] for p in query.recentProgress)
+    assert read == 130  # every row once, for both parts
+    first = sorted(map(str, diverted(spark, out, "id long, w int").collect()))
+    commits = sorted((tmp_path / "check" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    frame(130, 150).coalesce(1).write.mode("append").parquet(src)
+    run().awaitTermination(120)
+    got = diverted(spark, out, "id long, w int")
+    want = {(i, None if i % 10 == 0 else i % 7 * 2, "kept" if i % 10 and i % 7 > 3 else "rejected") for i in range(0, 150, 2)}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want) and set(first) < set(map(str, got.collect()))
+
+
+def test_topk_goes_on_after_a_restart(spark, tmp_path):
+    """Windows that are open at the stop are in the checkpoint; the two runs together equal the batch result."""
+    src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    schema = "id long, ts timestamp, v double"
+    every = spark.range(600).selectExpr("id", "timestamp_seconds(id * 60) AS ts", "cast(id * 37 % 101 AS double) AS v")
+    for part in ("id < 305", "id >= 305"):  # the stop is inside a window
+        every.filter(part).write.mode("append").parquet(src)
+        top = stream_topk(stream_source(spark, src, schema, "parquet"), "ts", ["v", "id"], k=3, watermark="20 minutes")
+        write_stream(top, out, check).awaitTermination(120)
+    got = {(r.window_start, r["rank"], r.id) for r in spark.read.parquet(out).collect()}
+    batch = stream_topk(every, "ts", ["v", "id"], k=3).filter("window_end <= timestamp_seconds(599 * 60 - 1200)")
+    assert got == {(r.window_start, r["rank"], r.id) for r in batch.collect()} and len(got) > 100
+
+
+def test_query_over_a_list_of_similar_values_is_saved(spark):
+    from nearfd import QuerySpec
+
+    near = spark.createDataFrame([("dog", "cat"), ("cat", "cat"), ("cow", "hen")], "l string, r string")
+    spec = QuerySpec([("kind", "similar by list", (["cat"], near)), ("n", ">", 1)])
+    back = QuerySpec.from_json(spec.to_json())
+    df = spark.createDataFrame([("dog", 2), ("cat", 1), ("cat", 3), ("cow", 5)], "kind string, n int")
+    assert sorted(map(tuple, back.apply(df).collect())) == sorted(map(tuple, spec.apply(df).collect())) == [("cat", 3), ("dog", 2)]
