@@ -55,6 +55,11 @@ def hilbert_column(cells: list[Column], bits: int) -> Column:
     return index(*cells)
 
 
+def _rank(value: Column, cuts: list[float]) -> Column:
+    """How many of the split points lie below a value."""
+    return F.size(F.filter(F.lit(cuts), lambda c: c < value))
+
+
 def quantised(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
     """Cell of each column; nulls share the lowest cell.
 
@@ -68,8 +73,7 @@ def quantised(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
     for d in dims:
         if d in numeric:
             cuts = sorted(set(found[f"q{numeric.index(d)}"] or []))
-            value = F.col(d).cast("double")
-            cell = F.size(F.filter(F.lit(cuts), lambda c, v=value: c < v)) if cuts else F.lit(0)
+            cell = _rank(F.col(d).cast("double"), cuts) if cuts else F.lit(0)
         else:
             cell = F.pmod(F.xxhash64(F.col(d).cast("string")), F.lit(1 << bits)).cast("int")
         cells.append(F.when(F.col(d).isNull(), 0).otherwise(cell).cast("int"))
@@ -98,15 +102,19 @@ def hilbert_shards(df: DataFrame, dims: list[str], shards: int, id_col: str, tie
     """``df`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (place in the shard from 0).
 
     The law is ``rows``: shard sizes differ by at most one row.  Ties on the curve are ordered by ``tie_cols`` (for
-    instance a checksum of the text, so that equal texts of a cell are neighbours), then by ``id_col``, then by a hash
+    instance a checksum of the text, so that equal texts of a cell are neighbours; equal texts with other metadata lie in
+    other cells, which the law ``rows`` allows), then by ``id_col``, then by a hash
     of the whole row; rows equal in all of these are interchangeable.  Null metadata share the lowest cell.  Fewer rows than shards leave
     shards empty; an empty table stays empty.  Columns named ``shard`` or ``slot`` are replaced.
     """
     columns = [c for c in df.columns if c not in ("shard", "slot")]
-    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
-    curve = hilbert_column(quantised(df, dims, bits), bits)
-    keys = [curve, *[F.col(c) for c in tie_cols], F.col(id_col), F.xxhash64(*[F.col(f"`{c}`") for c in columns])]
-    keyed = df.select(row, *[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    named = lambda names, as_: [F.col(f"`{c}`").alias(f"{as_}{i}") for i, c in enumerate(names)]
+    # own names first: a lambda looks names up among the new columns of its own select, too
+    base = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), *named(dims, "d"), *named(tie_cols, "t"), *named([id_col], "id"),
+                     F.xxhash64(*[F.col(f"`{c}`") for c in columns]).alias("hash"))
+    own = [f"d{i}" for i in range(len(dims))]
+    keys = [hilbert_column(quantised(base, own, bits), bits), *[F.col(f"t{i}") for i in range(len(tie_cols))], F.col("id0"), F.col("hash")]
+    keyed = base.select("row", *[k.alias(f"k{i}") for i, k in enumerate(keys)])
     placed = ordered(keyed, [f"k{i}" for i in range(len(keys))], "rank")
     n = max(df.count(), 1)
     # shard s holds the ranks from ceil(s n / shards) up to ceil((s + 1) n / shards)

@@ -4,14 +4,15 @@ window's earliest place.
 1. Anchors.  The ``window``-word window at each place has an anchor: the leftmost of its smallest ``gram``-word
    hashes.  Equal windows have equal anchors, about one word in seven is one, and only windows with an anchor that
    occurs twice can repeat.
-2. Prefix-partitioned suffix trees.  The suffix that begins at each such window is dealt by a prefix of variable
-   length, the words from its begin to the end of its anchor (8 to 20 words), into groups that fit in memory.
-   Equal suffixes of a task are folded first, so a passage that a third of all documents have sends one suffix per
-   task.  Each group's suffixes are sorted into the levels of their tree, prefix and full depth; the internal nodes
-   of full depth are the repeats, and all their leaves but the earliest begin a removed window.
+2. Groups by prefix.  The window that begins at each such place is dealt by a prefix of variable length, the words from
+   its begin to the end of its anchor (8 to 20 words), into groups that fit in memory.  Equal windows of a task are
+   folded first, so a passage that a third of all documents have sends one window per task.  Each group is sorted by
+   prefix and window; all places of a window but the earliest begin a removed one.
 3. The removed windows of a document are united and its other words kept.
 
-Anchors, prefixes and nodes are told apart by 64-bit hashes.
+Anchors, prefixes and windows are told apart by 64-bit hashes, and words are not compared again.  This takes the dealing
+by variable-length prefixes from suffix trees, but builds none: there are no common-prefix lengths, no internal nodes
+and no maximal repeats beyond a window's length.
 """
 
 from __future__ import annotations
@@ -257,7 +258,7 @@ def _repeated_windows(docs: DataFrame, cfg: Repeats, parts: int) -> DataFrame:
             yield flush()
 
     def solve(node, prefix, doc, pos):
-        # leaves in the order of the tree: by prefix, by the full depth below it, then by place in the corpus
+        # by prefix, by the whole window, then by place in the corpus
         order = np.lexsort((pos, doc, node, prefix))
         deep = (node[order][1:] == node[order][:-1]) & (prefix[order][1:] == prefix[order][:-1])
         later = order[1:][deep]

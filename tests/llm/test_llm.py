@@ -464,6 +464,19 @@ def test_op7(spark, data, docs, odd, empty):
     assert hilbert_shards(empty, ["text"], 24, "doc_id").count() == 0
 
 
+def test_shards_prune_files(spark, tmp_path):
+    """Filters on any of the dimensions rule out most files by their minima and maxima; shards by hash rule out none."""
+    rng = np.random.default_rng(3)
+    rows = [(i, int(a), int(b), int(c)) for i, (a, b, c) in enumerate(rng.integers(0, 1000, (6000, 3)))]
+    df = spark.createDataFrame(rows, "doc_id long, a int, b int, c int")
+    placed = hilbert_shards(df, ["a", "b", "c"], 64, "doc_id").withColumn("hashed", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+    read = {}
+    for by in ("shard", "hashed"):
+        spans = placed.groupBy(by).agg(*[F.min(c).alias(f"lo_{c}") for c in "abc"], *[F.max(c).alias(f"hi_{c}") for c in "abc"]).collect()
+        read[by] = [sum(r[f"lo_{c}"] <= x + 50 and r[f"hi_{c}"] >= x for r in spans) / len(spans) for c in "abc" for x in (100, 470, 900)]
+    assert max(read["shard"]) <= 0.6 and np.mean(read["shard"]) < 0.4 and min(read["hashed"]) == 1.0
+
+
 # ------------------------------------------------------------------ op8
 
 def test_marginals_equal_enumeration():
