@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from nearfd import (
     QuerySpec, Rfd, append_results, bench_summary, column_values, columns_with_role, discover, discover_all, distance_medians,
     divert_stream, diverted, extend_query, extent_pct,
-    filter_rfds, format_islands, format_rfd, is_consecutive, mark_rows, make_rfds, materialize, measure_discovery, name_rhs, pair_distances,
+    filter_rfds, format_islands, format_rfd, is_consecutive, mark_rows, make_rfds, materialize, measure_discovery, median_sketches, name_rhs, pair_distances,
     parse_messages, rank_rfds,
     read_rfds, read_table, relax_best, relax_columns, relax_counts, relax_rows, rfd_edges, rfd_extent, rfd_holds,
     rfd_intervals, rfd_points, rfd_single, rfd_violations, rfds_from_wide, rfds_to_wide, shared_dir, side_combinations,
-    similar_values, similarity_join, skyline, sniff_csv, sort_table, split_sides, stream_project, stream_source,
+    similar_values, similarity_join, sketch_error, sketched_medians, skyline, sniff_csv, sort_table, split_sides, stream_project, stream_source,
     stream_topk, string_pairs, table_profile, taxonomy_distance, taxonomy_pairs, union_wide, value_islands, with_row_id, write_rfds,
     write_stream, write_table)
 from nearfd.plans.profiles import SHIPPING, event_profile, order_profile, part_profile, shipping_profile, table
@@ -131,6 +131,20 @@ def q_medians(spark, d):
     return distance_medians(supplier_pairs(spark, d))
 
 
+def q_median_sketches(spark, d):
+    """Sketches of three parts of the pairs, stored as they come and merged: is each median's rank near the middle?"""
+    path, pairs = shared_dir(spark, "sketches"), supplier_pairs(spark, d)
+    for part in range(3):
+        rows = pairs.filter(F.pmod(F.xxhash64(*SUPPLIER), F.lit(3)) == part)
+        median_sketches(rows, f"p{part}").write.mode("append").partitionBy("part").parquet(path)
+    found = sketched_medians(spark.read.parquet(path))
+    ranks = pairs.select(F.explode(F.array(*[F.struct(F.lit(c).alias("attr"), F.col(c).alias("v")) for c in SUPPLIER])).alias("x")).select("x.*")
+    ranks = ranks.join(F.broadcast(found), "attr").groupBy("attr", "n").agg(
+        F.avg(F.when(F.col("v") < F.col("median"), 1).otherwise(0)).alias("lo"), F.avg(F.when(F.col("v") <= F.col("median"), 1).otherwise(0)).alias("hi"))
+    slack = sketch_error()
+    return ranks.select("attr", "n", ((F.col("lo") <= 0.5 + slack) & (F.col("hi") >= 0.5 - slack)).alias("near"))
+
+
 # ---------------------------------------------------------------- skylines
 
 def q_skyline_part(spark, d):
@@ -718,6 +732,7 @@ def queries() -> dict[str, Query]:
         "discover_wide": q_discover_wide,
         "split_sides": q_split_sides,
         "distance_medians": q_medians,
+        "median_sketches": q_median_sketches,
         "skyline_part": q_skyline_part,
         "skyline_lineitem": q_skyline_lineitem,
         "skyline_pairs": q_skyline_pairs,
@@ -1006,6 +1021,8 @@ def oracle_sql() -> dict[str, str]:
         "split_sides": f"{vec_sup} SELECT s_nationkey AS RHS, s_name, s_acctbal FROM vec",
         "distance_medians": vec_sup + " " + " UNION ALL ".join(
             f"SELECT '{c}' AS attr, median({c}::DOUBLE) AS median FROM vec" for c in SUPPLIER),
+        "median_sketches": vec_sup + " " + " UNION ALL ".join(
+            f"SELECT '{c}' AS attr, count(*) AS n, TRUE AS near FROM vec" for c in SUPPLIER),
         "skyline_part": "SELECT p_partkey, p_retailprice, p_size FROM part p WHERE NOT EXISTS (SELECT 1 FROM part q WHERE "
             "q.p_retailprice <= p.p_retailprice AND q.p_size >= p.p_size AND "
             "(q.p_retailprice < p.p_retailprice OR q.p_size > p.p_size))",

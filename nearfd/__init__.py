@@ -12,7 +12,8 @@ from .functions.metrics import choose_metrics, distance, within
 from .operators.check import rfd_edges, rfd_holds, rfd_nodes, rfd_violations
 from .operators.discover import discover, discover_all, rfd_intervals, rfd_points, rfd_single
 from .operators.extent import max_clique, rfd_extent
-from .operators.pairs import distance_medians, pair_distances, side_combinations, split_sides
+from .operators.pairs import (
+    distance_medians, median_sketches, pair_distances, side_combinations, sketch_error, sketched_medians, split_sides)
 from .operators.query import Predicate, QuerySpec, extend_query
 from .operators.relax import (
     extent_pct, mark_rows, relax_best, relax_columns, relax_counts, relax_rows, relaxing_attributes)

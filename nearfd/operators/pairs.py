@@ -194,3 +194,28 @@ def distance_medians(pairs: DataFrame, attrs: list[str] | None = None, approx: b
     if marks[0] and marks[0][0] == -INF:
         return exact_medians(hist, small=True)
     return exact_medians(materialize(hist, "hist"))
+
+
+def median_sketches(pairs: DataFrame, part: str, attrs: list[str] | None = None, k: int = 1000) -> DataFrame:
+    """``(part, attr, n, sketch)``: a mergeable quantile sketch of every distance column, to be stored beside the table.
+
+    ``part`` names the part of the table whose pairs these are.  When rows are appended, the pairs they form are
+    sketched as a part of their own; no old pair is read again.
+    """
+    attrs = list(attrs) if attrs else list(pairs.columns)
+    made = pairs.agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.col(f"`{c}`").cast("double"), F.lit(k)).alias(f"s{i}") for i, c in enumerate(attrs)])
+    rows = [F.struct(F.lit(part).alias("part"), F.lit(c).alias("attr"), F.col("n"), F.col(f"s{i}").alias("sketch")) for i, c in enumerate(attrs)]
+    return made.filter("n > 0").select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def sketched_medians(sketches: DataFrame, k: int = 1000) -> DataFrame:
+    """``(attr, n, median)`` from the sketches of all parts: a value whose rank is within ``sketch_error(k)`` of the
+    middle with a confidence of 99 %.  A vector that several parts have counts in each of them."""
+    merged = sketches.groupBy("attr").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("s"))
+    return merged.select("attr", "n", F.kll_sketch_get_quantile_double("s", F.lit(0.5)).alias("median"))
+
+
+def sketch_error(k: int = 1000) -> float:
+    """Largest share of ranks by which a median of sketches of size ``k`` is off (Karnin, Lang and Liberty, FOCS 2016;
+    the constant is that of the sketch library's double-sided bound)."""
+    return 2.446 / k**0.9433

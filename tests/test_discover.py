@@ -309,3 +309,21 @@ def test_regions_have_one_key_and_many_packs(spark, monkeypatch):
 def test_split_sides(spark):
     pairs = pair_distances(spark.createDataFrame(NUMERIC, NUMERIC_COLS))
     assert split_sides(pairs, "age").columns == ["RHS", "height", "weight", "shoe_size"]
+
+
+def test_sketched_medians_of_parts(spark, tmp_path):
+    """Parts are sketched once and merged; appended pairs need no look at old ones."""
+    from nearfd import median_sketches, sketch_error, sketched_medians
+
+    df = spark.range(40_000).selectExpr("id", "cast(pmod(xxhash64(id), 5000) as double) AS a",
+                                        "CASE WHEN id % 9 = 0 THEN double('inf') ELSE cast(id as double) END AS b").drop("id")
+    path = str(tmp_path / "sketches")
+    for i, part in enumerate(df.randomSplit([0.7, 0.2, 0.1], 3)):
+        median_sketches(part, f"p{i}").write.mode("append").parquet(path)
+    median_sketches(df.limit(0), "none").write.mode("append").parquet(path)
+    got = {r.attr: (r.n, r.median) for r in sketched_medians(spark.read.parquet(path)).collect()}
+    exact = {r.attr: r.median for r in distance_medians(df).collect()}
+    for c in "ab":
+        assert got[c][0] == 40_000
+        lo, hi = df.agg(F.avg((F.col(c) < got[c][1]).cast("int")), F.avg((F.col(c) <= got[c][1]).cast("int"))).first()
+        assert lo - sketch_error() <= 0.5 <= hi + sketch_error() and abs(got[c][1] - exact[c]) < 0.03 * exact[c]
