@@ -146,9 +146,9 @@ def _solved(sent: DataFrame, solve, cfg: Repeats, parts: int) -> DataFrame:
                 held.append((np.frombuffer(row["doc"], np.int64), np.frombuffer(row["pos"], np.int32)))
         yield from done()
 
-    dealt = sent.repartition("part").sortWithinPartitions("part")
+    dealt = sent.repartition(parts, "part").sortWithinPartitions("part")
     answers = dealt.mapInArrow(run, "bucket int, doc binary, pos binary")
-    return answers.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "doc_id long, pos binary")
+    return answers.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "doc_id long, pos binary")
 
 
 def _repeated_anchors(docs: DataFrame, cfg: Repeats, parts: int) -> DataFrame:
