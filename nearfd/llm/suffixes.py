@@ -4,15 +4,18 @@ window's earliest place.
 1. Anchors.  The ``window``-word window at each place has an anchor: the leftmost of its smallest ``gram``-word
    hashes.  Equal windows have equal anchors, about one word in seven is one, and only windows with an anchor that
    occurs twice can repeat.
-2. Groups by prefix.  The window that begins at each such place is dealt by a prefix of variable length, the words from
-   its begin to the end of its anchor (8 to 20 words), into groups that fit in memory.  Equal windows of a task are
-   folded first, so a passage that a third of all documents have sends one window per task.  Each group is sorted by
-   prefix and window; all places of a window but the earliest begin a removed one.
-3. The removed windows of a document are united and its other words kept.
-
-Anchors, prefixes and windows are told apart by 64-bit hashes, and words are not compared again.  This takes the dealing
-by variable-length prefixes from suffix trees, but builds none: there are no common-prefix lengths, no internal nodes
-and no maximal repeats beyond a window's length.
+2. Repeated windows.  Windows with such an anchor are dealt by the words from their begin to the end of their anchor
+   into groups that fit in memory, and compared by 64-bit hashes; equal ones of a task are folded first.  What repeats
+   is cut into runs of consecutive begins, and equal runs are folded, so a passage that a third of all documents have
+   is one run.
+3. Prefix-partitioned suffix trees over the distinct runs.  Each suffix, of ``reach`` words at most, goes to the group
+   of its variable-length prefix (8 to 20 words, from its begin to the end of its anchor), so every subtree is whole in
+   one group.  A group's suffixes are sorted by their words and the lengths of the common prefixes of neighbours give
+   the tree: an internal node of ``window`` or more words is a repeat, and of its leaves all but the earliest begin a
+   removed window.  ``maximal_repeats`` reports these nodes where no word can be added on either side.
+4. The removed windows of a document are united and its other words kept.
+
+Hashes only choose what is compared (64 bits for windows, 128 for runs); that suffixes are equal is decided by their words.
 """
 
 from __future__ import annotations
@@ -35,10 +38,12 @@ SCHEMA = "part int, direct boolean, a binary, b binary, doc binary, pos binary"
 
 @dataclass(frozen=True)
 class Repeats:
-    """``flush``: places a task holds before it sends them on; ``group``: places of a group on average."""
+    """``flush``: places a task holds before it sends them on; ``group``: places of a group on average; ``reach``: words
+    of a suffix in a tree."""
 
     window: int = 20
     gram: int = 8
+    reach: int = 32
     flush: int = 2_000_000
     group: int = 500_000
 
@@ -87,7 +92,22 @@ def _replies(doc: np.ndarray, pos: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "pos"])
 
 
-def _solved(sent: DataFrame, solve, cfg: Repeats, parts: int) -> DataFrame:
+def _numbers(a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)
+
+
+def _texts(a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of a packet and what stands before them, one per line."""
+    out = []
+    for x in (a, b):
+        lines = x.split(b"\n")
+        column = np.empty(len(lines), object)
+        column[:] = lines
+        out.append(column)
+    return out[0], out[1]
+
+
+def _solved(sent: DataFrame, solve, cfg: Repeats, parts: int, read=_numbers) -> DataFrame:
     """Deal rows by ``part``, solve each part by itself, gather the places of each document: ``doc_id, pos``.
 
     Answers travel packed by buckets of documents, so their number of rows follows the input and not the number
@@ -124,7 +144,7 @@ def _solved(sent: DataFrame, solve, cfg: Repeats, parts: int) -> DataFrame:
                     if row["part"] != part:
                         done()
                         part, held = row["part"], []
-                    held.append((np.frombuffer(row["a"], np.uint64), np.frombuffer(row["b"], np.uint32), doc, pos))
+                    held.append((*read(row["a"], row["b"]), doc, pos))
                 if count >= cfg.flush:
                     yield packed()
         done()
@@ -207,7 +227,7 @@ def _places(packed: bytes | None, first: int = 0) -> np.ndarray:
 
 
 def _repeated_windows(docs: DataFrame, cfg: Repeats, parts: int) -> DataFrame:
-    """``doc_id, pos``: packed begins of the windows that also occur earlier; ``docs`` has ``anchors``."""
+    """``doc_id, pos``: packed begins of all windows that occur more than once; ``docs`` has ``anchors``."""
     depth = cfg.window
 
     def send(batches):
@@ -220,10 +240,13 @@ def _repeated_windows(docs: DataFrame, cfg: Repeats, parts: int) -> DataFrame:
             head = np.concatenate([[True], n[1:] != n[:-1]])
             later = order[~head]
             first = order[head]
+            twice = np.zeros(len(n), bool)
+            twice[first] = np.diff(np.append(np.flatnonzero(head), len(n))) > 1
             first = first[np.lexsort((pos[first], doc[first]))]
             part = (prefix[first] % np.uint64(parts)).astype(np.int32)
             rows = [_row(int(part[0]), True, prefix[:0], prefix[:0].astype(np.uint32), doc[later], pos[later])] if len(later) else []
-            low = (prefix[first] >> np.uint64(32)).astype(np.uint32)
+            # the lowest bit tells that the window occurs twice in this task
+            low = (prefix[first] >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE) | twice[first].astype(np.uint32)
             rows += [_row(p, False, *x) for p, *x in _parts(part, node[first], low, doc[first], pos[first])]
             return _batch(rows)
 
@@ -257,16 +280,172 @@ def _repeated_windows(docs: DataFrame, cfg: Repeats, parts: int) -> DataFrame:
         if held:
             yield flush()
 
-    def solve(node, prefix, doc, pos):
-        # by prefix, by the whole window, then by place in the corpus
-        order = np.lexsort((pos, doc, node, prefix))
-        deep = (node[order][1:] == node[order][:-1]) & (prefix[order][1:] == prefix[order][:-1])
-        later = order[1:][deep]
-        return doc[later], pos[later]
+    def solve(node, low, doc, pos):
+        prefix, twice = low >> np.uint32(1), (low & np.uint32(1)).astype(bool)
+        order = np.lexsort((prefix, node))
+        same = (node[order][1:] == node[order][:-1]) & (prefix[order][1:] == prefix[order][:-1])
+        many = np.append(False, same) | np.append(same, False) | twice[order] if len(order) else np.zeros(0, bool)
+        found = order[many]
+        return doc[found], pos[found]
 
     return _solved(docs.select("doc_id", "text", "anchors").mapInArrow(send, SCHEMA), solve, cfg, parts)
 
 
+RUNS = "doc_id long, first int, n int, key binary, text binary"
+
+
+def _runs(docs: DataFrame, cfg: Repeats) -> DataFrame:
+    """``RUNS``: runs of ``n`` consecutive begins of repeated windows, with the MD5 of their words and, for the first of
+    equal runs of a task, the words; ``docs`` has ``places``."""
+    def run(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
+            rows = []
+            for doc, text, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words, at = text.encode().split(), np.unique(_places(packed))
+                cuts = np.flatnonzero(np.diff(at) > 1) + 1
+                for part in np.split(at, cuts):
+                    body = b" ".join(words[part[0]:part[-1] + cfg.window])
+                    key = hashlib.md5(body).digest()
+                    # the word before a run tells whether its repeats can be extended to the left
+                    before = words[part[0] - 1] if part[0] else b""
+                    new = key not in seen
+                    if new:
+                        seen.add(key)
+                    rows.append((doc, int(part[0]), len(part), key, before + b"\n" + body if new else None))
+            if len(seen) > 500_000:  # a memory bound; forgotten runs only send their words again
+                seen.clear()
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)],
+                                             names=["doc_id", "first", "n", "key", "text"])
+
+    return docs.select("doc_id", "text", "places").mapInArrow(run, RUNS)
+
+
+def _suffixes(runs: DataFrame, cfg: Repeats, parts: int) -> DataFrame:
+    """Suffixes of the distinct ``runs (doc_id, first, text, copies)``, dealt by their prefixes (``SCHEMA``); ``b`` has the
+    copies of the run and the word before the suffix."""
+    def send(batches):
+        powers = Powers()
+        for batch in batches:
+            ids, first = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            packed = [t.split(b"\n", 1) for t in batch.column(2).to_pylist()]
+            copies = batch.column(3).to_pylist()
+            for lo, _, raw, offsets in chunks(pa.array([t[1] for t in packed], pa.binary()).cast(pa.string())):
+                words = words_of(raw, offsets, powers)
+                at, anchor, _ = _windows(words, cfg)
+                if not len(at):
+                    continue
+                up, down = powers.upto(len(words.starts) + 1)
+                sums = np.zeros(len(words.starts) + 1, np.uint64)
+                np.cumsum(words.hashes * up[:-1], out=sums[1:])
+                end = anchor + cfg.gram
+                prefix = mix((sums[end] - sums[at]) * down[at] + (end - at).astype(np.uint64))
+                doc = words.doc_of()[at]
+                pos = at - words.first[doc]
+                last = np.minimum(at + cfg.reach, words.first[doc + 1]) - 1
+                body = raw.tobytes()
+                text = [body[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[last].tolist(), strict=True)]
+                # copies of a run differ in the word before it, or it would be longer
+                left = [b"%d %s" % (copies[lo + d], body[a:b] if p else packed[lo + d][0] if copies[lo + d] == 1 else b"") for p, d, a, b in zip(
+                    pos.tolist(), doc.tolist(), words.starts[np.maximum(at - 1, 0)].tolist(), words.ends[np.maximum(at - 1, 0)].tolist(), strict=True)]
+                text, left = (np.array([*x, None], object)[:-1] for x in (text, left))
+                rows = [(p, False, b"\n".join(a.tolist()), b"\n".join(b.tolist()), d.astype(np.int64).tobytes(), q.astype(np.int32).tobytes())
+                        for p, a, b, d, q in _parts((prefix % np.uint64(parts)).astype(np.int32), text, left, ids[lo + doc], first[lo + doc] + pos)]
+                yield _batch(rows)
+
+    return runs.select("doc_id", "first", "text", "copies").mapInArrow(send, SCHEMA)
+
+
+def common_words(a: bytes, b: bytes) -> int:
+    """Number of leading words that two texts (words joined by a blank) have in common."""
+    if a == b:
+        return a.count(b" ") + 1
+    n = min(len(a), len(b))
+    lo, hi = 0, n  # longest common prefix in bytes, by halves
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    whole = (lo == len(a) or a[lo:lo + 1] == b" ") and (lo == len(b) or b[lo:lo + 1] == b" ")
+    return a[:lo].count(b" ") + (1 if whole and lo else 0)
+
+
+def deep_nodes(texts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes in the order of their tree, the words that each shares with the one before, and the number of the
+    node of ``depth`` that it belongs to (a node of one suffix is a leaf)."""
+    # a blank sorts before the characters of words, so a text stands before its extensions; control characters do not
+    plain = not len(texts) or np.frombuffer(b"".join(texts), np.uint8).min(initial=255) >= 32
+    order = np.array(sorted(range(len(texts)), key=texts.__getitem__ if plain else lambda i: texts[i].split(b" ")), np.int64)
+    shared = np.zeros(len(order), np.int64)
+    for i in range(1, len(order)):
+        shared[i] = common_words(texts[order[i - 1]], texts[order[i]])
+    return order, shared, np.cumsum(shared < depth)
+
+
+def _tree_answers(suffixes: DataFrame, cfg: Repeats, parts: int) -> DataFrame:
+    """``doc_id, pos``: packed begins of the suffixes below a node of ``window`` words that are not its earliest leaf."""
+    def solve(texts, _, doc, pos):
+        order, _, node = deep_nodes(texts, cfg.window)
+        by = np.lexsort((pos[order], doc[order], node))
+        later = order[by[np.append(False, node[by][1:] == node[by][:-1])]] if len(by) else order
+        return doc[later], pos[later]
+
+    return _solved(suffixes, solve, cfg, parts, _texts)
+
+
+REPEATS = "words string, n_words int, places long, doc_id long, pos int, cut boolean"
+
+
+def inner_nodes(shared: np.ndarray, depth: int) -> list[tuple[int, int, int]]:
+    """``(words, first, last)`` of the internal nodes of ``depth`` or more: ranges of suffixes, from common prefixes."""
+    out, stack = [], [(0, 0)]  # (words, first suffix)
+    for i in range(1, len(shared) + 1):
+        now = int(shared[i]) if i < len(shared) else 0
+        first = i - 1
+        while stack[-1][0] > now:
+            words, first = stack.pop()
+            if words >= depth:
+                out.append((words, first, i - 1))
+        if stack[-1][0] < now:
+            stack.append((now, first))
+    return out
+
+
+def _nodes(suffixes: DataFrame, cfg: Repeats, parts: int) -> DataFrame:
+    """``REPEATS`` of every group: its internal nodes whose places differ in the word before."""
+    def run(batches):
+        part, held = None, []
+
+        def found():
+            texts, left, doc, pos = (np.concatenate([h[i] for h in held]) for i in range(4))
+            copies = np.array([int(x.split(b" ", 1)[0]) for x in left], np.int64)
+            before = np.array([x.split(b" ", 1)[1] for x in left] + [None], object)[:-1]
+            order, shared, _ = deep_nodes(texts, cfg.window)
+            rows = []
+            for words, lo, hi in inner_nodes(shared, cfg.window):
+                leaves = order[lo:hi + 1]
+                words_before = set(before[leaves].tolist())
+                if len(words_before) > 1 or b"" in words_before:
+                    head = leaves[np.lexsort((pos[leaves], doc[leaves]))[0]]
+                    text = b" ".join(texts[head].split(b" ")[:words]).decode()
+                    rows.append((text, words, int(copies[leaves].sum()), int(doc[head]), int(pos[head]), words == cfg.reach))
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)],
+                                              names=["words", "n_words", "places", "doc_id", "pos", "cut"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["part"] != part:
+                    if held:
+                        yield found()
+                    part, held = row["part"], []
+                held.append((*_texts(row["a"], row["b"]), np.frombuffer(row["doc"], np.int64), np.frombuffer(row["pos"], np.int32)))
+        if held:
+            yield found()
+
+    return suffixes.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, REPEATS)
+
+
 def _kept(docs: DataFrame, cfg: Repeats, with_text: bool) -> DataFrame:
     """Counts, digest and, if asked for, text of what is kept; ``docs`` has ``starts`` (null: nothing removed)."""
     size = cfg.window
@@ -279,9 +458,12 @@ def _kept(docs: DataFrame, cfg: Repeats, with_text: bool) -> DataFrame:
                 n, lists = len(words), lists.as_py()
                 if lists:
                     edge = np.zeros(n + 1, np.int32)
-                    at = _places(lists)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + size, -1)
+                    for at in map(_places, lists["pos"]):
+                        np.add.at(edge, at, 1)
+                        np.add.at(edge, at + size, -1)
+                    for run in lists["runs"]:
+                        edge[run["first"]] += 1
+                        edge[run["first"] + run["n"] - 1 + size] -= 1
                     words = list(compress(words, np.cumsum(edge[:n]) == 0))
                 line = b" ".join(words)
                 n_words.append(n)
@@ -296,14 +478,16 @@ def _kept(docs: DataFrame, cfg: Repeats, with_text: bool) -> DataFrame:
         run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: Repeats = Repeats(),
-                   with_text: bool = True) -> DataFrame:
-    """``id_col, n_words, n_removed, kept_sha256, kept_text`` for every row.
+def _distinct_runs(rows: DataFrame, wanted: DataFrame, cfg: Repeats, parts: int) -> tuple[DataFrame, DataFrame]:
+    """All runs, and of equal ones the first in order of (document, place) with its words."""
+    places = materialize(_repeated_windows(wanted, cfg, parts), "places").select(F.col("doc_id").alias("_id"), F.col("pos").alias("places"))
+    runs = materialize(_runs(rows.join(places, rows.doc_id == F.col("_id")).drop("_id"), cfg), "runs")
+    distinct = runs.groupBy("key").agg(F.min(F.struct("doc_id", "first")).alias("place"), F.first("text", True).alias("text"), F.count("*").alias("copies"))
+    return runs, materialize(distinct.select("key", "place.*", "text", "copies"), "distinct")
 
-    Earlier means a smaller id, or the same document and an earlier place.  Windows are judged on the input.
-    Null texts have no words.  If ids repeat or are null, rows are first numbered by (id, nulls last, text), so of
-    equal rows one is the earliest.  Texts shorter than a window keep all words.  An empty table stays empty.
-    """
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str, cfg: Repeats) -> tuple[DataFrame, DataFrame | None, int]:
+    """``(doc_id, text)`` with ids that tell rows apart, the given ids if they did not, and the number of groups."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n, ids = rows.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids")).first()
     numbered = None
@@ -312,10 +496,53 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         numbered = materialize(ordered(keyed, ["last", "given", "hash"], "doc_id").select("doc_id", "given", "text"), "numbered")
         rows = numbered.select("doc_id", "text")
     words = rows.agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes")).first().bytes or 0
-    parts = max(8, int(words // 6 // 7 // cfg.group) * 2)  # about 6 bytes a word, one anchor in 7 words
+    return rows, numbered, max(8, int(words // 6 // 7 // cfg.group) * 2)  # about 6 bytes a word, one anchor in 7 words
+
+
+def _with_anchors(rows: DataFrame, cfg: Repeats, parts: int) -> DataFrame:
     anchors = materialize(_repeated_anchors(rows, cfg, parts), "anchors").select(F.col("doc_id").alias("_id"), F.col("pos").alias("anchors"))
-    wanted = rows.join(anchors, rows.doc_id == F.col("_id")).drop("_id")
-    starts = materialize(_repeated_windows(wanted, cfg, parts), "starts").select(F.col("doc_id").alias("_id"), F.col("pos").alias("starts"))
+    return rows.join(anchors, rows.doc_id == F.col("_id")).drop("_id")
+
+
+def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: Repeats = Repeats()) -> DataFrame:
+    """``words, n_words, places, doc_id, pos, cut``: word sequences of ``cfg.window`` words or more that occur ``places``
+    times (2 at least) and cannot be extended by one word at all of them on either side, with their earliest place.
+
+    They are the internal nodes of the trees whose places differ in the word before, and the runs that occur as a whole
+    more than once.  Trees know ``cfg.reach`` words of a suffix; a longer common part inside of runs is reported with its
+    first ``reach`` words and ``cut``.  If ids repeat or are null, rows are numbered by (id, nulls last, text) and
+    ``doc_id`` is that number.  Null texts have no words; an empty table gives an empty table.
+    """
+    rows, _, parts = _numbered(docs, id_col, text_col, cfg)
+    _, distinct = _distinct_runs(rows, _with_anchors(rows, cfg, parts), cfg, parts)
+    body = F.element_at(F.split(F.decode("text", "UTF-8"), "\n"), 2)
+    whole = distinct.filter("copies > 1").select(body.alias("words"), F.size(F.split(body, " ")).alias("n_words"), F.col("copies").alias("places"),
+                                                 "doc_id", F.col("first").alias("pos"), F.lit(False).alias("cut"))
+    found = _nodes(_suffixes(distinct, cfg, parts), cfg, parts).unionByName(whole)
+    best = found.groupBy("words").agg(F.first("n_words").alias("n_words"), F.max("places").alias("places"), F.min(F.struct("doc_id", "pos")).alias("at"),
+                                      F.min("cut").alias("cut"))
+    return best.select("words", "n_words", "places", F.col("at.doc_id").alias("doc_id"), F.col("at.pos").alias("pos"), "cut")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: Repeats = Repeats(),
+                   with_text: bool = True) -> DataFrame:
+    """``id_col, n_words, n_removed, kept_sha256, kept_text`` for every row.
+
+    Earlier means a smaller id, or the same document and an earlier place.  Windows are judged on the input.
+    Null texts have no words.  If ids repeat or are null, rows are first numbered by (id, nulls last, text), so of
+    equal rows one is the earliest.  Texts shorter than a window keep all words.  An empty table stays empty.
+    """
+    rows, numbered, parts = _numbered(docs, id_col, text_col, cfg)
+    wanted = _with_anchors(rows, cfg, parts)
+    runs, distinct = _distinct_runs(rows, wanted, cfg, parts)
+    trees = _tree_answers(_suffixes(distinct, cfg, parts), cfg, parts)
+    # every begin of a run that is not the first one of its words is removed
+    heads = distinct.select(F.col("key").alias("of"), F.col("doc_id").alias("doc"), F.col("first").alias("at"))
+    copies = runs.join(heads, (F.col("key") == F.col("of")) & ((F.col("doc_id") != F.col("doc")) | (F.col("first") != F.col("at")))).select("doc_id", "first", "n")
+    found = trees.select("doc_id", "pos", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("n")).unionByName(
+        copies.withColumn("pos", F.lit(None).cast("binary")))
+    starts = materialize(found.groupBy("doc_id").agg(F.collect_list("pos").alias("pos"), F.collect_list(F.when(
+        F.col("n").isNotNull(), F.struct("first", "n"))).alias("runs")), "starts").select(F.col("doc_id").alias("_id"), F.struct("pos", "runs").alias("starts"))
     out = _kept(rows.join(starts, rows.doc_id == F.col("_id"), "left").drop("_id"), cfg, with_text)
     if numbered is not None:
         given = numbered.select(F.col("doc_id").alias("_id"), "given")

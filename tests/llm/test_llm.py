@@ -23,7 +23,7 @@ from nearfd.llm.mixing import mix_sources
 from nearfd.llm.neardup import NearDup, near_duplicates, without_near_duplicates
 from nearfd.llm.rules import judged, learn_rules, text_stats
 from nearfd.llm.separators import file_blocks, scan, token_counts
-from nearfd.llm.suffixes import Repeats, remove_repeats
+from nearfd.llm.suffixes import Repeats, maximal_repeats, remove_repeats
 from nearfd.llm.urls import judge_urls
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -376,6 +376,49 @@ def test_op5_odd_rows(odd, empty):
     assert remove_repeats(empty).count() == 0
 
 
+def brute_maximal(texts, least):
+    """Word sequences that occur twice and differ in the words before and behind; with places."""
+    where = defaultdict(list)
+    for d, t in texts:
+        w = words(t)
+        for i in range(len(w)):
+            for j in range(i + least, len(w) + 1):
+                where[" ".join(w[i:j])].append((d, i, w[i - 1] if i else None, w[j] if j < len(w) else None))
+    ends = lambda xs: len(set(xs)) > 1 or None in xs
+    return {k: (len(v), v[0][0], v[0][1]) for k, v in where.items() if len(v) > 1 and ends([x[2] for x in v]) and ends([x[3] for x in v])}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_maximal_repeats_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    vocabulary = ["a", "b", "ab", "a\x01", "\x01", "c", "d", "é"]
+    passage = [rng.choice(vocabulary) for _ in range(14)]
+    texts = []
+    for d in range(30):
+        cut = sorted(rng.sample(range(15), 2))
+        body = [rng.choice(vocabulary) for _ in range(rng.randint(0, 9))] + passage[cut[0]:cut[1]] + [rng.choice(vocabulary) for _ in range(rng.randint(0, 9))]
+        texts.append((d, " ".join(body)))
+    texts += [(40, " ".join(passage)), (41, " ".join(passage)), (42, "q " + " ".join(passage * 2)), (43, None), (44, "")]
+    cfg = Repeats(window=3, gram=2, reach=60)
+    got = maximal_repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), cfg=cfg).collect()
+    assert {r.words: (r.places, r.doc_id, r.pos) for r in got} == brute_maximal(texts, 3) and len(got) > 60
+    assert all(r.n_words == len(words(r.words)) and not r.cut for r in got)
+    short = maximal_repeats(spark.createDataFrame(texts, "doc_id long, text string"), cfg=Repeats(window=3, gram=2, reach=5)).collect()
+    assert {r.words for r in short if not r.cut} >= {w for w in brute_maximal(texts, 3) if len(words(w)) < 5}
+    kept = remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), cfg=cfg).drop("kept_text").collect()
+    assert sorted(map(tuple, kept)) == sorted(brute_repeats(texts, 3))
+
+
+def test_trees_from_common_words():
+    from nearfd.llm.suffixes import common_words, deep_nodes, inner_nodes
+
+    assert [common_words(*x) for x in ((b"a b c", b"a b"), (b"a b", b"a bc"), (b"a", b"b"), (b"ab c", b"ab c"), (b"", b"a"))] == [2, 1, 0, 2, 0]
+    texts = np.array([b"x y z", b"x y", b"x\x01 y", b"x y\x01", b"x y z w", b"u"], object)
+    order, shared, node = deep_nodes(texts, 2)
+    assert [texts[i] for i in order] == [b"u", b"x y", b"x y z", b"x y z w", b"x y\x01", b"x\x01 y"]
+    assert shared.tolist() == [0, 0, 2, 3, 1, 0] and inner_nodes(shared, 2) == [(3, 2, 3), (2, 1, 3)]
+
+
 # ------------------------------------------------------------------ op6
 
 def brute_rule(url):
