@@ -21,7 +21,7 @@ Hashes only choose what is compared (64 bits for windows, 128 for runs); that su
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import compress
 
 import numpy as np
@@ -33,6 +33,7 @@ from ..session import materialize
 from .hilbert import ordered
 from .words import Powers, Words, chunks, inside, mix, window_hashes, words_of
 
+FOLDED = 400_000  # suffixes of a task, with their words, among which equal ones are folded
 SCHEMA = "part int, direct boolean, a binary, b binary, doc binary, pos binary"
 
 
@@ -322,11 +323,24 @@ def _runs(docs: DataFrame, cfg: Repeats) -> DataFrame:
     return docs.select("doc_id", "text", "places").mapInArrow(run, RUNS)
 
 
-def _suffixes(runs: DataFrame, cfg: Repeats, parts: int) -> DataFrame:
+def _suffixes(runs: DataFrame, cfg: Repeats, parts: int, fold: bool = False) -> DataFrame:
     """Suffixes of the distinct ``runs (doc_id, first, text, copies)``, dealt by their prefixes (``SCHEMA``); ``b`` has the
-    copies of the run and the word before the suffix."""
+    copies of the run and the word before the suffix.  ``fold`` sends one of the equal suffixes that a task holds, the
+    earliest, answers for the others at once and leaves ``b`` empty."""
+    def folded(held: list[tuple]) -> pa.RecordBatch:
+        prefix, text, doc, pos = (np.concatenate([x[i] for x in held]) for i in range(4))
+        seen: set[bytes] = set()
+        order = np.lexsort((pos, doc))
+        new = np.array([not (t in seen or seen.add(t)) for t in text[order].tolist()], bool)
+        first, later = order[new], order[~new]
+        part = (prefix[first] % np.uint64(parts)).astype(np.int32)
+        rows = [(int(part[0]), True, b"", b"", doc[later].tobytes(), pos[later].astype(np.int32).tobytes())] if len(later) else []
+        rows += [(p, False, b"\n".join(a.tolist()), b"\n" * (len(a) - 1), d.tobytes(), q.astype(np.int32).tobytes())
+                 for p, a, d, q in _parts(part, text[first], doc[first], pos[first])]
+        return _batch(rows)
+
     def send(batches):
-        powers = Powers()
+        powers, held, count = Powers(), [], 0
         for batch in batches:
             ids, first = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             packed = [t.split(b"\n", 1) for t in batch.column(2).to_pylist()]
@@ -346,6 +360,13 @@ def _suffixes(runs: DataFrame, cfg: Repeats, parts: int) -> DataFrame:
                 last = np.minimum(at + cfg.reach, words.first[doc + 1]) - 1
                 body = raw.tobytes()
                 text = [body[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[last].tolist(), strict=True)]
+                if fold:
+                    held.append((prefix, np.array([*text, None], object)[:-1], ids[lo + doc].astype(np.int64), first[lo + doc] + pos))
+                    count += len(at)
+                    if count >= FOLDED:
+                        yield folded(held)
+                        held, count = [], 0
+                    continue
                 # copies of a run differ in the word before it, or it would be longer
                 left = [b"%d %s" % (copies[lo + d], body[a:b] if p else packed[lo + d][0] if copies[lo + d] == 1 else b"") for p, d, a, b in zip(
                     pos.tolist(), doc.tolist(), words.starts[np.maximum(at - 1, 0)].tolist(), words.ends[np.maximum(at - 1, 0)].tolist(), strict=True)]
@@ -353,6 +374,8 @@ def _suffixes(runs: DataFrame, cfg: Repeats, parts: int) -> DataFrame:
                 rows = [(p, False, b"\n".join(a.tolist()), b"\n".join(b.tolist()), d.astype(np.int64).tobytes(), q.astype(np.int32).tobytes())
                         for p, a, b, d, q in _parts((prefix % np.uint64(parts)).astype(np.int32), text, left, ids[lo + doc], first[lo + doc] + pos)]
                 yield _batch(rows)
+        if held:
+            yield folded(held)
 
     return runs.select("doc_id", "first", "text", "copies").mapInArrow(send, SCHEMA)
 
@@ -535,7 +558,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows, numbered, parts = _numbered(docs, id_col, text_col, cfg)
     wanted = _with_anchors(rows, cfg, parts)
     runs, distinct = _distinct_runs(rows, wanted, cfg, parts)
-    trees = _tree_answers(_suffixes(distinct, cfg, parts), cfg, parts)
+    only = replace(cfg, reach=cfg.window)  # what lies deeper removes nothing more
+    trees = _tree_answers(_suffixes(distinct, only, parts, fold=True), only, parts)
     # every begin of a run that is not the first one of its words is removed
     heads = distinct.select(F.col("key").alias("of"), F.col("doc_id").alias("doc"), F.col("first").alias("at"))
     copies = runs.join(heads, (F.col("key") == F.col("of")) & ((F.col("doc_id") != F.col("doc")) | (F.col("first") != F.col("at")))).select("doc_id", "first", "n")
