@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 from .hilbert import ordered
@@ -46,7 +47,7 @@ class Repeats:
     gram: int = 8
     reach: int = 32
     flush: int = 2_000_000
-    group: int = 500_000
+    group: int = 125_000
 
 
 def _windows(words: Words, cfg: Repeats) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,9 +168,11 @@ def _solved(sent: DataFrame, solve, cfg: Repeats, parts: int, read=_numbers) ->
                 held.append((np.frombuffer(row["doc"], np.int64), np.frombuffer(row["pos"], np.int32)))
         yield from done()
 
-    dealt = sent.repartition(parts, "part").sortWithinPartitions("part")
+    # a task has about four groups, which evens out what the hash deals
+    tasks = max(8, parts // 4)
+    dealt = sent.repartition(tasks, "part").sortWithinPartitions("part")
     answers = dealt.mapInArrow(run, "bucket int, doc binary, pos binary")
-    return answers.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "doc_id long, pos binary")
+    return answers.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "doc_id long, pos binary")
 
 
 def _repeated_anchors(docs: DataFrame, cfg: Repeats, parts: int) -> DataFrame:
@@ -323,6 +326,27 @@ def _runs(docs: DataFrame, cfg: Repeats) -> DataFrame:
     return docs.select("doc_id", "text", "places").mapInArrow(run, RUNS)
 
 
+def _neighbours(distinct: DataFrame, cfg: Repeats) -> DataFrame:
+    """``distinct`` runs in ranges of their smallest gram hash, so that near copies of a run mostly lie in one task; ties are
+    ordered by key, so a large group is cut and is no task of its own."""
+    def run(batches):
+        powers = Powers()
+        for batch in batches:
+            least = np.zeros(batch.num_rows, np.int64)
+            for lo, hi, raw, offsets in chunks(batch.column(3).cast(pa.string())):
+                words = words_of(raw, offsets, powers)
+                grams = window_hashes(words.hashes, cfg.gram)
+                at = inside(words, cfg.gram)
+                doc = words.doc_of()[at]
+                if len(at):
+                    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+                    least[lo + doc[first]] = np.minimum.reduceat(grams[at], first).view(np.int64)
+            yield batch.append_column("least", pa.array(least))
+
+    schema = T.StructType([*distinct.schema.fields, T.StructField("least", T.LongType())])
+    return distinct.mapInArrow(run, schema).repartitionByRange("least", "key").drop("least")
+
+
 def _suffixes(runs: DataFrame, cfg: Repeats, parts: int, fold: bool = False) -> DataFrame:
     """Suffixes of the distinct ``runs (doc_id, first, text, copies)``, dealt by their prefixes (``SCHEMA``); ``b`` has the
     copies of the run and the word before the suffix.  ``fold`` sends one of the equal suffixes that a task holds, the
@@ -506,7 +530,7 @@ def _distinct_runs(rows: DataFrame, wanted: DataFrame, cfg: Repeats, parts: int)
     places = materialize(_repeated_windows(wanted, cfg, parts), "places").select(F.col("doc_id").alias("_id"), F.col("pos").alias("places"))
     runs = materialize(_runs(rows.join(places, rows.doc_id == F.col("_id")).drop("_id"), cfg), "runs")
     distinct = runs.groupBy("key").agg(F.min(F.struct("doc_id", "first")).alias("place"), F.first("text", True).alias("text"), F.count("*").alias("copies"))
-    return runs, materialize(distinct.select("key", "place.*", "text", "copies"), "distinct")
+    return runs, materialize(_neighbours(distinct.select("key", "place.*", "text", "copies"), cfg), "distinct")
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str, cfg: Repeats) -> tuple[DataFrame, DataFrame | None, int]:
