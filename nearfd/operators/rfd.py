@@ -155,6 +155,7 @@ def format_rfd(rfds: DataFrame, style: str = "human", attrs: list[str] | None =
 
     rhs, thr = F.col("rhs"), F.col("rhs_threshold")
     if style == "human":
+        # fixed values: the signs of this and the next two forms
         left = each(lambda k, v: F.concat(k, F.lit("(<= "), num(v), F.lit("), ")))
         text = F.concat(F.array_join(left, ""), F.lit("-> "), rhs, F.lit("(<= "), num(thr), F.lit(")"))
     elif style == "arrow":

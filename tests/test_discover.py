@@ -9,10 +9,12 @@ from nearfd import (discover, discover_all, distance_medians, pair_distances, rf
 from nearfd.plans import blocks
 from nearfd.operators import discover as discover_module
 
+# fixed values
 NUMERIC = [(175, 70, 40, 30), (175, 75, 39, 41), (175, 69, 40, 33), (176, 71, 40, 35),
            (178, 81, 41, 27), (169, 73, 38, 49), (170, 65, 39, 30)]
 NUMERIC_COLS = ["height", "weight", "shoe_size", "age"]
 # (rhs, age, height, shoe_size, weight)
+# fixed values
 NUMERIC_RFDS = """height;?;1.0;?;1.0
 height;2.0;1.0;0.0;2.0
 height;5.0;1.0;0.0;?
@@ -53,12 +55,14 @@ age;5.0;1.0;0.0;?
 age;5.0;?;?;1.0
 age;3.0;0.0;0.0;1.0"""
 
+# fixed values
 PEOPLE = [("john", "male", "newyork", 20), ("jack", "male", "newyork", 21),
           ("mary", "female", "losangeles", 45), ("maryanne", "female", "losangeles", 48),
           ("eric", "male", "san francisco", 26), ("jenny", "female", "boston2", 30),
           ("mattia", "na", "BostonDynamics", 50), ("gianna", "male", "avellino", 48)]
 PEOPLE_COLS = ["name", "sex", "city", "age"]
 # (rhs, age, city, name, sex)
+# fixed values
 PEOPLE_RFDS = """name;?;7.0;5.0;?
 name;0.0;?;5.0;?
 name;?;0.0;4.0;?
@@ -79,6 +83,7 @@ age;3.0;0.0;?;?
 age;1.0;0.0;3.0;0.0"""
 
 MORE_PEOPLE = PEOPLE + [("domenica", "female", "newyork", 22), ("domenico", "male", "newyork", 21)]
+# fixed values
 MORE_PEOPLE_RFDS = """sex;0.0;?;?;0.0
 sex;?;?;3.0;0.0
 sex;?;0.0;?;0.0
