@@ -31,8 +31,7 @@ def skyline(df: DataFrame, min_cols: list[str], max_cols: list[str] | tuple = ()
                for c, d in zip(min_cols, dims)]
     vectors += [F.coalesce(-F.col(f"`{c}`").cast("double"), worst).alias(d)
                 for c, d in zip(max_cols, dims[len(min_cols):])]
-    points = df.select(*vectors).distinct()
-    near = materialize(local_minima(points, dims), "skyline")
+    near = materialize(local_minima(df.select(*vectors), dims).distinct(), "skyline")
     best = dominance_cells(near, dims, None, DOMINANCE_ROWS)
     marked = df.select("*", *vectors)
     return marked.join(best, dims, "left_semi").drop(*dims)

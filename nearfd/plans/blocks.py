@@ -25,6 +25,9 @@ STRONGEST = 256
 POOL_STEP = 2048
 CORNERS = 1024  # regions whose corners meet in one cell
 QUANTILES = 256
+GUARDS = 12
+GUARD_ROWS = 500
+WAITING = 20_000  # rows that wait for a pass over a pool
 
 
 def block_count(rows: int, parallelism: int, block_rows: int = BLOCK_ROWS) -> int:
@@ -97,18 +100,74 @@ def local_minima(points: DataFrame, dims: list[str], key: str | None = None,
         pools: dict = {}
         for pdf in batches:
             for k, part in (pdf.groupby(key, sort=False) if key else [(None, pdf)]):
-                if k in pools:
-                    part = pd.concat([pools.pop(k), part], ignore_index=True)
-                part = part.iloc[_local_pool(part[dims].to_numpy(dtype=float))]
-                if len(part) > pool_rows:
-                    yield part
-                else:
-                    pools[k] = part
-        yield from pools.values()
+                yield from pools.setdefault(k, Pool(dims, pool_rows)).add(part)
+        for pool in pools.values():
+            yield from pool.rest()
 
     return points.mapInPandas(run, schema=schema)
 
 
+class Pool:
+    """The minimal rows among those added so far.
+
+    A few of them, the *guards*, rule out most new rows by plain comparisons; the others wait until they are worth a pass.
+    """
+
+    def __init__(self, dims: list[str], most: int):
+        self.dims, self.most, self.parts, self.size, self.guards, self.fresh = dims, most, [], 0, [], GUARD_ROWS
+
+    def add(self, part: pd.DataFrame):
+        if self.guards:
+            cols = [part[d].to_numpy(dtype=float) for d in self.dims]
+            part = part[~ruled_out(cols, self.guards)]
+        if len(part):
+            self.parts.append(part)
+            self.size += len(part)
+        if self.size >= self.fresh:
+            yield from self._pass()
+
+    def _pass(self):
+        rows = pd.concat(self.parts, ignore_index=True)
+        m = rows[self.dims].to_numpy(dtype=float)
+        kept = _local_pool(m)
+        self.guards = _guards(m[kept], m[:: max(1, len(m) // GUARD_ROWS)]) or self.guards
+        rows = rows.iloc[kept]
+        if len(rows) > self.most:
+            yield rows
+            rows = rows[:0]
+        self.parts, self.size = [rows], len(rows)
+        self.fresh = max(2 * self.size, GUARD_ROWS if not self.guards else WAITING)
+
+    def rest(self):
+        if self.size:
+            yield from self._pass()
+            yield from (p for p in self.parts if len(p))
+
+
+def ruled_out(cols: list[np.ndarray], guards: list[np.ndarray]) -> np.ndarray:
+    """Rows that one of the guards reaches from below."""
+    out = np.zeros(len(cols[0]), bool)
+    for g in guards:
+        below, under = np.ones(len(out), bool), np.zeros(len(out), bool)
+        for c, x in zip(cols, g, strict=True):
+            below &= c >= x
+            under |= c > x
+        out |= below & under
+    return out
+
+
+def _guards(pool: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """Up to ``GUARDS`` pool vectors that rule out most of the rows, one after the other."""
+    some = pool[:: max(1, len(pool) // GUARD_ROWS)]
+    hit = np.stack([ruled_out(list(rows.T), [g]) for g in some]) if len(some) else np.zeros((0, len(rows)), bool)
+    found = []
+    while len(found) < GUARDS and hit.any():
+        best = int(hit.sum(axis=1).argmax())
+        found.append(some[best])
+        hit = hit & ~hit[best]
+    return found
+
+
 def z_order(m: np.ndarray, splits: list[np.ndarray], bits: int) -> np.ndarray:
     """Place on the Z curve: the dimensions' quantile ranks with their bits interleaved, high bits first."""
     z = np.zeros(len(m), np.int64)
