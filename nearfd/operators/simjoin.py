@@ -25,6 +25,7 @@ MAX_BANDS = 3
 SALTS = 16
 SLOTS = 1 << 16  # hash slots in which gram frequencies are counted; any order of grams gives the same pairs
 HEAVY = 512  # strings of one gram key that meet in one cell
+FEW = 1000  # rows that may meet each row on bands before other keys are looked for; different strings that can be such keys
 DELETION_LENGTH = {1: 256, 2: 64}  # longest string per threshold that meets on deletions
 
 Side = Callable[[str], Column]
@@ -164,6 +165,36 @@ def _listed(right: DataFrame, column: str, pairs: DataFrame, name: str) -> tuple
     return right.join(near, c.eqNullSafe(F.col("_value"))).drop("_value"), F.col(name)
 
 
+def _fewer_by_strings(l: DataFrame, r: DataFrame, column: str, t: int, bands: list[tuple[str, Metric, float]]) -> DataFrame | None:
+    """The similar strings of a column, if fewer rows meet on them than on the bands of numbers; else None.
+
+    The rows that meet on a band are estimated from the width of the middle 80 % of its values, those that meet on
+    strings are counted by value.  It only chooses the keys of the join; all thresholds are checked on either way.
+    """
+    if t not in DELETION_LENGTH:
+        return None
+    a, b = F.col(f"`{column}_l`"), F.col(f"`{column}_r`")
+    ends = []
+    for c, kind, _ in bands:
+        v = F.col(f"`{c}_r`")
+        ends.append(F.percentile_approx(micros(v).cast("double") if kind == "days" else F.when(F.abs(v.cast("double")) < INF, v.cast("double")), F.array(F.lit(0.1), F.lit(0.9))))
+    found = r.agg(F.count("*").alias("n"), F.approx_count_distinct(b).alias("words"), *[e.alias(f"e{i}") for i, e in enumerate(ends)]).first()
+    share = 1.0
+    for i, (_, kind, width) in enumerate(bands):
+        ends_of = found[f"e{i}"] or [0.0, 0.0]
+        width = (int(width) + 1) * float(MICROS_PER_DAY) if kind == "days" else width
+        share *= min(1.0, 2.4 * width / (ends_of[1] - ends_of[0])) if ends_of[1] > ends_of[0] else 1.0
+    if found["n"] * share < FEW or found["words"] < FEW:
+        return None
+    by_l, by_r = (materialize(x.groupBy(c.alias(name)).agg(F.count("*").alias(f"n_{name}")), "words") for x, c, name in ((l, a, "l"), (r, b, "r")))
+    near = materialize(string_pairs(by_l.select("l"), by_r.select("r"), t), "near")
+    met = near.unionByName(near.sparkSession.createDataFrame([(None, None)], "l string, r string")).alias("m")
+    met = met.join(by_l.withColumnRenamed("l", "l0"), F.col("m.l").eqNullSafe(F.col("l0"))).join(by_r.withColumnRenamed("r", "r0"), F.col("m.r").eqNullSafe(F.col("r0")))
+    meetings = met.agg(F.sum(F.col("n_l").cast("double") * F.col("n_r"))).first()[0] or 0.0
+    rows = by_l.agg(F.sum("n_l")).first()[0] or 0
+    return near if meetings < rows * found["n"] * share else None
+
+
 def similarity_join(left: DataFrame, right: DataFrame, on: Conditions, how: str = "inner",
                     extra: Callable[[Side, Side], Column] | None = None, salts: int = SALTS) -> DataFrame:
     """Join rows that are within ``on[col] = (metric, threshold)`` on every column.
@@ -191,7 +222,8 @@ def similarity_join(left: DataFrame, right: DataFrame, on: Conditions, how: str
     keys: list[Column] = []
     checks: list[Column] = []
     edits: list[tuple[int, str]] = []
-    bands = 0
+    bands: list[tuple[str, Metric, float]] = []
+    l0, r0 = l, r
     for i, (c, (kind, t)) in enumerate(on.items()):
         a, b = lcol[c], F.col(f"`{c}_r`")
         if t == INF:
@@ -204,8 +236,8 @@ def similarity_join(left: DataFrame, right: DataFrame, on: Conditions, how: str
             if kind == "abs" and isinstance(left.schema[c].dataType, (T.DoubleType, T.FloatType)):
                 a, b = (F.when(~F.isnan(x), x) for x in (a, b.cast("double")))
             keys.append(a.eqNullSafe(b))
-        elif kind in ("abs", "days") and bands < MAX_BANDS:
-            bands += 1
+        elif kind in ("abs", "days") and len(bands) < MAX_BANDS:
+            bands.append((c, kind, t))
             own, reach = _band(kind, t, a, b)
             l = l.withColumn(f"_band{i}", own)
             r = r.withColumn(f"_reach{i}", F.explode(reach))
@@ -215,9 +247,15 @@ def similarity_join(left: DataFrame, right: DataFrame, on: Conditions, how: str
             if kind == "edit":
                 edits.append((int(t), c))
             checks.append(within(a, b, t, kind))
-    if not keys and edits:
+    near = None
+    if edits and not keys:
+        near = string_pairs(l.select(f"`{min(edits)[1]}_l`"), r.select(f"`{min(edits)[1]}_r`"), min(edits)[0])
+    elif edits and len(keys) == len(bands):
+        near = _fewer_by_strings(l0, r0, *reversed(min(edits)), bands)
+        if near is not None:
+            l, r, keys = l0, r0, []
+    if near is not None:
         t, c = min(edits)
-        near = string_pairs(l.select(f"`{c}_l`"), r.select(f"`{c}_r`"), t)
         r, key = _listed(r, f"{c}_r", near, "_like")
         keys.append(lcol[c].eqNullSafe(key))
         checks = [within(lcol[o], F.col(f"`{o}_r`"), on[o][1], on[o][0])
