@@ -10,7 +10,8 @@ window's earliest place.
    is one run.
 3. Prefix-partitioned suffix trees over the distinct runs.  Each suffix, of ``reach`` words at most, goes to the group
    of its variable-length prefix (8 to 20 words, from its begin to the end of its anchor), so every subtree is whole in
-   one group.  A group's suffixes are sorted by their words and the lengths of the common prefixes of neighbours give
+   one group.  To remove repeats, up to ``step - 1`` words at the begin of a prefix do not count, so neighbouring suffixes
+   share a group and travel as one piece of text.  A group's suffixes are sorted by their words and the lengths of the common prefixes of neighbours give
    the tree: an internal node of ``window`` or more words is a repeat, and of its leaves all but the earliest begin a
    removed window.  ``maximal_repeats`` reports these nodes where no word can be added on either side.
 4. The removed windows of a document are united and its other words kept.
@@ -41,13 +42,14 @@ SCHEMA = "part int, direct boolean, a binary, b binary, doc binary, pos binary"
 @dataclass(frozen=True)
 class Repeats:
     """``flush``: places a task holds before it sends them on; ``group``: places of a group on average; ``reach``: words
-    of a suffix in a tree."""
+    of a suffix in a tree; ``step``: most neighbouring suffixes that one anchor deals to one group."""
 
     window: int = 20
     gram: int = 8
     reach: int = 32
     flush: int = 2_000_000
     group: int = 125_000
+    step: int = 7
 
 
 def _windows(words: Words, cfg: Repeats) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,8 +96,23 @@ def _replies(doc: np.ndarray, pos: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "pos"])
 
 
-def _numbers(a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)
+def _numbers(a: bytes, b: bytes, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    return np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32), doc, pos
+
+
+def _pieces(reach: int):
+    """A reader of packets of pieces of text, one per line: their suffixes of ``reach`` words, with documents and places."""
+    def read(a: bytes, _: bytes, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+        raw = np.frombuffer(a, np.uint8)
+        ends = np.append(np.flatnonzero((raw == 32) | (raw == 10)), len(raw))
+        starts = np.append(0, ends[:-1] + 1)
+        line = np.cumsum(np.append(0, raw[ends[:-1]] == 10))
+        at = np.flatnonzero(line[:len(line) - reach + 1] == line[reach - 1:])
+        text = np.array([*(a[x:y] for x, y in zip(starts[at].tolist(), ends[at + reach - 1].tolist(), strict=True)), None], object)[:-1]
+        first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+        return text, doc[line[at]], (pos[line[at]] + at - first[line[at]]).astype(np.int32)
+
+    return read
 
 
 def _texts(a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +143,7 @@ def _solved(sent: DataFrame, solve, cfg: Repeats, parts: int, read=_numbers) ->
 
         def done():
             if held:
-                answer(*solve(*(np.concatenate([h[i] for h in held]) for i in range(4))))
+                answer(*solve(*(np.concatenate(column) for column in zip(*held, strict=True))))
 
         def packed():
             nonlocal docs, places, count
@@ -146,7 +163,7 @@ def _solved(sent: DataFrame, solve, cfg: Repeats, parts: int, read=_numbers) ->
                     if row["part"] != part:
                         done()
                         part, held = row["part"], []
-                    held.append((*read(row["a"], row["b"]), doc, pos))
+                    held.append(read(row["a"], row["b"], doc, pos))
                 if count >= cfg.flush:
                     yield packed()
         done()
@@ -349,18 +366,26 @@ def _neighbours(distinct: DataFrame, cfg: Repeats) -> DataFrame:
 
 def _suffixes(runs: DataFrame, cfg: Repeats, parts: int, fold: bool = False) -> DataFrame:
     """Suffixes of the distinct ``runs (doc_id, first, text, copies)``, dealt by their prefixes (``SCHEMA``); ``b`` has the
-    copies of the run and the word before the suffix.  ``fold`` sends one of the equal suffixes that a task holds, the
-    earliest, answers for the others at once and leaves ``b`` empty."""
+    copies of the run and the word before the suffix.  ``fold`` keeps one of the equal suffixes that a task holds, the
+    earliest, answers for the others at once, sends neighbours of a group as one piece of text with the place of its first
+    suffix (``_pieces``) and leaves ``b`` empty; suffixes then have exactly ``reach = window`` words."""
+    step = cfg.step if fold else 1
+
     def folded(held: list[tuple]) -> pa.RecordBatch:
-        prefix, text, doc, pos = (np.concatenate([x[i] for x in held]) for i in range(4))
+        prefix, text, doc, pos, begin, end, chunk = (np.concatenate([x[i] for x in held]) for i in range(7))
+        bodies = [x[7] for x in held]
         seen: set[bytes] = set()
         order = np.lexsort((pos, doc))
         new = np.array([not (t in seen or seen.add(t)) for t in text[order].tolist()], bool)
         first, later = order[new], order[~new]
         part = (prefix[first] % np.uint64(parts)).astype(np.int32)
         rows = [(int(part[0]), True, b"", b"", doc[later].tobytes(), pos[later].astype(np.int32).tobytes())] if len(later) else []
-        rows += [(p, False, b"\n".join(a.tolist()), b"\n" * (len(a) - 1), d.tobytes(), q.astype(np.int32).tobytes())
-                 for p, a, d, q in _parts(part, text[first], doc[first], pos[first])]
+        # first is in order of place; a run's begins are in one chunk, and between two runs of a document lies another begin
+        apart = (part[1:] != part[:-1]) | (doc[first][1:] != doc[first][:-1]) | (np.diff(pos[first]) != 1)
+        head, tail = first[np.append(True, apart)], first[np.append(apart, True)]
+        pieces = np.array([*(bodies[c][x:y] for c, x, y in zip(chunk[head].tolist(), begin[head].tolist(), end[tail].tolist(), strict=True)), None], object)[:-1]
+        rows += [(p, False, b"\n".join(a.tolist()), b"", d.tobytes(), q.astype(np.int32).tobytes())
+                 for p, a, d, q in _parts(part[np.append(True, apart)], pieces, doc[head], pos[head])]
         return _batch(rows)
 
     def send(batches):
@@ -377,15 +402,16 @@ def _suffixes(runs: DataFrame, cfg: Repeats, parts: int, fold: bool = False) ->
                 up, down = powers.upto(len(words.starts) + 1)
                 sums = np.zeros(len(words.starts) + 1, np.uint64)
                 np.cumsum(words.hashes * up[:-1], out=sums[1:])
-                end = anchor + cfg.gram
-                prefix = mix((sums[end] - sums[at]) * down[at] + (end - at).astype(np.uint64))
+                end, begin = anchor + cfg.gram, at + (anchor - at) % step
+                prefix = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
                 doc = words.doc_of()[at]
                 pos = at - words.first[doc]
                 last = np.minimum(at + cfg.reach, words.first[doc + 1]) - 1
                 body = raw.tobytes()
                 text = [body[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[last].tolist(), strict=True)]
                 if fold:
-                    held.append((prefix, np.array([*text, None], object)[:-1], ids[lo + doc].astype(np.int64), first[lo + doc] + pos))
+                    held.append((prefix, np.array([*text, None], object)[:-1], ids[lo + doc].astype(np.int64), first[lo + doc] + pos,
+                                 words.starts[at], words.ends[last], np.full(len(at), len(held)), body))
                     count += len(at)
                     if count >= FOLDED:
                         yield folded(held)
@@ -431,13 +457,13 @@ def deep_nodes(texts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, n
 
 def _tree_answers(suffixes: DataFrame, cfg: Repeats, parts: int) -> DataFrame:
     """``doc_id, pos``: packed begins of the suffixes below a node of ``window`` words that are not its earliest leaf."""
-    def solve(texts, _, doc, pos):
+    def solve(texts, doc, pos):
         order, _, node = deep_nodes(texts, cfg.window)
         by = np.lexsort((pos[order], doc[order], node))
         later = order[by[np.append(False, node[by][1:] == node[by][:-1])]] if len(by) else order
         return doc[later], pos[later]
 
-    return _solved(suffixes, solve, cfg, parts, _texts)
+    return _solved(suffixes, solve, cfg, parts, _pieces(cfg.reach))
 
 
 REPEATS = "words string, n_words int, places long, doc_id long, pos int, cut boolean"

@@ -391,6 +391,26 @@ def brute_maximal(texts, least):
     return {k: (len(v), v[0][0], v[0][1]) for k, v in where.items() if len(v) > 1 and ends([x[2] for x in v]) and ends([x[3] for x in v])}
 
 
+def test_neighbouring_suffixes_travel_as_one_text(spark):
+    import nearfd.llm.suffixes as suffixes
+
+    rng = random.Random(5)
+    runs = [(d, 3, ("\n" + " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(300))).encode(), 2) for d in range(20)]
+    sent = suffixes._suffixes(spark.createDataFrame(runs, "doc_id long, first int, text binary, copies long"), Repeats(reach=20), 8, fold=True).collect()
+    read = suffixes._pieces(20)
+    got = Counter()
+    for r in sent:
+        got.update(zip(*map(list, read(bytes(r.a), b"", np.frombuffer(r.doc, np.int64), np.frombuffer(r.pos, np.int32))), strict=True))
+    words_ = {d: t[1:].split() for d, _, t, _ in runs}
+    assert got == Counter((b" ".join(w[k:k + 20]), d, 3 + k) for d, w in words_.items() for k in range(281))
+    assert sum(len(r.a) for r in sent) < sum(len(x[0]) for x in got) / 2.5
+    # the begin of a window decides its group by nothing that lies before the window
+    cut = [(d, 3 + c, t[:1] + b" ".join(t.split()[c:]), n) for c, (d, _, t, n) in enumerate(runs)]
+    again = suffixes._suffixes(spark.createDataFrame(cut, "doc_id long, first int, text binary, copies long"), Repeats(reach=20), 8, fold=True).collect()
+    place = lambda rows: {(r.part, x) for r in rows for x in read(bytes(r.a), b"", np.frombuffer(r.doc, np.int64), np.frombuffer(r.pos, np.int32))[0]}
+    assert place(again) < place(sent)
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_maximal_repeats_equal_brute_force(spark, seed):
     rng = random.Random(seed)
