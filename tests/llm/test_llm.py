@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,6 +229,37 @@ def test_frequencies_are_exact_over_slices(spark, monkeypatch, tasks):
     assert N.frequent_shingles(spark.createDataFrame([], "text string"), "text", cfg)[2] == 0
 
 
+def test_members_of_a_cell_are_rows(spark):
+    import nearfd.llm.neardup as neardup
+
+    table = spark.range(300).select((F.col("id") % 2).alias("band"), F.lit(150).alias("n"), F.encode(F.col("id").cast("string"), "UTF-8").alias("key"),
+                                    F.encode((F.col("id") % 7).cast("string"), "UTF-8").alias("cls"))
+    cells = neardup._cells(table, "band", "n", 50, "key", "cls")
+    assert cells.columns == ["band", "p", "q", "key", "cls"] and cells.count() == 300 * 3  # no cell is one row
+    got = cells.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(m)]), pa.array([len({x[0] for x in m})])], names=["n", "keys"])
+                                            for m in neardup._by_cell(batches)), "n long, keys long").collect()
+    assert len(got) == 2 * 6 and sum(r.n for r in got) == 900 and all(r.n == r.keys for r in got)
+
+
+@pytest.mark.parametrize("share", [0.01, 0.5])
+def test_slices_are_counted_in_place(spark, share):
+    import tracemalloc
+
+    import nearfd.llm.neardup as neardup
+
+    rng = np.random.default_rng(3)
+    every = rng.zipf(1.3, 200_000).astype(np.uint64) & neardup.ID_MASK
+    ids, n = np.unique(every, return_counts=True)
+    least = max(1, int(2000 * share / 4))
+    held = [x.copy() for x in np.array_split(every, 7)]
+    tracemalloc.start()
+    got, times = neardup._counted(held, least)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == ids[n >= least].tolist() and times.tolist() == n[n >= least].tolist() and not held
+    assert peak < 2.5 * every.nbytes
+
+
 def test_hot_bands_and_other_ids(spark, monkeypatch):
     import nearfd.llm.neardup as N
 
