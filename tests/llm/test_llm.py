@@ -241,6 +241,16 @@ def test_members_of_a_cell_are_rows(spark):
     assert len(got) == 2 * 6 and sum(r.n for r in got) == 900 and all(r.n == r.keys for r in got)
 
 
+def test_tasks_give_memory_back_at_their_end(monkeypatch):
+    import nearfd.llm.neardup as neardup
+
+    done = []
+    monkeypatch.setattr(neardup.gc, "collect", lambda: done.append(1))
+    rows = neardup._released(lambda batches: (b + 1 for b in batches))(iter([1, 2]))
+    assert next(rows) == 2 and not done
+    assert list(rows) == [3] and done
+
+
 @pytest.mark.parametrize("share", [0.01, 0.5])
 def test_slices_are_counted_in_place(spark, share):
     import tracemalloc
