@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.metrics import INF, MICROS_PER_DAY, is_whole, micros
 from ..plans.blocks import block_count
-from ..session import mark_stored, materialize
+from ..session import Later, mark_stored, materialize
 
 DENSE_ROWS = 4096  # rows of a block whose vectors fit a bitmap
 SPARSE_ROWS = 2048
@@ -44,6 +44,18 @@ class Axis:
     unit: float | None = None  # 10**decimals if distances are rounded
 
 
+@dataclass(frozen=True)
+class Rows:
+    """What the vectors are made of: the distinct tuples as columns ``_0..`` and how they are coded; ``zero``: some had copies."""
+
+    values: DataFrame
+    attrs: list[str]
+    space: list[Axis]
+    by: int | None
+    n: int
+    zero: bool
+
+
 def _value(c, kind):
     return {"abs": lambda: c.cast("double"), "days": lambda: micros(c), "edit": lambda: c.cast("string")}[kind]()
 
@@ -169,7 +181,7 @@ class _Numbers:
         sure = v[self.odd == 0]
         v -= sure.min() if len(sure) else 0
         self.step = MICROS_PER_DAY if axis.kind == "days" else 1
-        self.value = v.astype(np.int32) if v.max(initial=0) < 1 << 30 else v
+        self.value = v.astype(np.int32) if self.step == 1 and v.max(initial=0) < 1 << 30 else v
 
     def span(self, a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
         """Smallest and largest distance the rows of two blocks can have."""
@@ -338,6 +350,7 @@ def coded_distances(df: DataFrame, attrs: list[str], kinds: dict[str, str], deci
     """The distinct distance vectors of all pairs of rows, one double column per attribute; None if a number is off the grid.
 
     ``rows`` are the distinct tuples with ``_copies`` (written), ``kinds`` are ``abs``, ``days`` and ``edit``.
+    The vectors are written when they are first read; what discovery needs of them it can make from the frame's ``source``.
     """
     if not 0 <= decimals <= 9 or any(k not in ("abs", "days", "edit") for k in kinds.values()):
         return None
@@ -349,6 +362,15 @@ def coded_distances(df: DataFrame, attrs: list[str], kinds: dict[str, str], deci
     if made is None:
         return None
     space, by = made
+    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in attrs])
+    out = Later(spark, schema, lambda: _written(values, rows, attrs, space, by, n, blocks))
+    out.source = lambda: Rows(values, attrs, space, by, n, not rows.filter("_copies").isEmpty())
+    return mark_stored(out)
+
+
+def _written(values: DataFrame, rows: DataFrame, attrs: list[str], space: list[Axis], by: int | None, n: int, blocks: int | None) -> DataFrame:
+    """The vectors as packed gaps on disk, opened to columns."""
+    spark = values.sparkSession
     total = math.prod(a.size for a in space)
     cores = spark.sparkContext.defaultParallelism
     dense = blocks or block_count(n, cores, DENSE_ROWS)
@@ -393,4 +415,4 @@ def coded_distances(df: DataFrame, attrs: list[str], kinds: dict[str, str], deci
                 columns = columns_of(unpack(codes) * buckets + bucket, space)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=attrs)
 
-    return mark_stored(vectors.mapInArrow(opened, schema))
+    return vectors.mapInArrow(opened, schema)

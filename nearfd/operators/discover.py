@@ -20,7 +20,8 @@ from ..functions.metrics import Metric
 from ..plans.bitmaps import SLICE, at_most, everyone, free_sets, held, rank_table
 from ..plans.blocks import DOMINANCE_ROWS, WAITING, Pool, dominance_cells, local_minima
 from ..plans.prefix import minima_above, range_splits, with_buckets
-from ..session import is_stored, materialize
+from ..session import Later, is_stored, materialize
+from .bands import band_cuts, banded
 from .pairs import Sides, distance_medians, pair_distances, side_combinations, split_sides
 from .rfd import make_rfds
 
@@ -111,6 +112,20 @@ def near_points(pairs: DataFrame, sides: Sides, medians: dict[str, float] | None
     return pairs.mapInPandas(run, kind).groupBy("side", *dims).agg(F.max("r").alias("r"))
 
 
+def _medians_and_points(pairs: DataFrame, sides: Sides, medians: DataFrame | None, compat_int_rhs: bool) -> tuple[dict[str, float], DataFrame]:
+    """Vectors that are not written yet stay so if the rows can be taken band by band."""
+    rows = pairs.source() if isinstance(pairs, Later) and not pairs.is_made() else None
+    cuts = band_cuts(rows) if rows is not None else None
+    if cuts is None:
+        med = _median_map(medians if medians is not None else distance_medians(pairs))
+        return med, near_points(pairs, sides, med, compat_int_rhs)
+    points, counted = banded(rows, cuts, sides, medians is None, compat_int_rhs)
+    med = _median_map(counted if medians is None else medians)
+    if compat_int_rhs:
+        points = points.filter(f"r > {_per_side([med[rhs] for rhs, _ in sides])} OR r = floor(r)")
+    return med, points.groupBy("side", *_dims(_width(sides))).agg(F.max("r").alias("r"))
+
+
 def rfd_intervals(points: DataFrame) -> DataFrame:
     """Relevant points with ``reach``; each is in the pool of levels [reach, r)."""
     dims = [c for c in points.columns if c.startswith("v")]
@@ -298,8 +313,7 @@ def discover(
         raise ValueError("at most 62 left-side attributes")
     if not all(left for _, left in sides):
         raise ValueError("a dependency needs at least one left-side attribute")
-    med = _median_map(medians if medians is not None else distance_medians(pairs))
-    points = near_points(pairs, sides, med, compat_int_rhs)
+    med, points = _medians_and_points(pairs, sides, medians, compat_int_rhs)
     intervals = materialize(rfd_intervals(points), "intervals")
     splits = level_splits(intervals)
     minima = materialize(rfd_minima(intervals, med, sides, splits), "minima")

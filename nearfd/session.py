@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.classic.dataframe import DataFrame as ClassicDataFrame
+from pyspark.sql.types import StructType
 
 _fallback_dir: str | None = None
 
@@ -39,6 +41,35 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Later(ClassicDataFrame):
+    """A frame of a known schema that ``make`` makes when its rows or plan are first asked for."""
+
+    def __new__(cls, spark: SparkSession, schema: StructType, make):
+        return object.__new__(cls)
+
+    def __init__(self, spark: SparkSession, schema: StructType, make) -> None:
+        self._make, self._made = make, None
+        super().__init__(None, spark)
+        self.__dict__["schema"] = schema
+
+    @property
+    def _jdf(self):
+        if self._made is None:
+            self._made = self._make()
+        return self._made._jdf
+
+    @_jdf.setter
+    def _jdf(self, value) -> None:
+        """The base class sets it before there is one."""
+
+    @property
+    def columns(self) -> list[str]:
+        return self.schema.names
+
+    def is_made(self) -> bool:
+        return self._made is not None
+
+
 def mark_stored(df: DataFrame) -> DataFrame:
     """Say that ``df`` only reads a written table, row by row: reading it again costs little."""
     df._nearfd_stored = True
